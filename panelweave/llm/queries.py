@@ -4,7 +4,9 @@ import importlib
 import os
 
 
-from panelweave.llm import langid, toxicity
+from pyspark.sql import functions as F
+
+from panelweave.llm import dedup, langid, packing, topk, toxicity
 from panelweave.llm.common import table
 
 
@@ -26,5 +28,37 @@ def op2_language(spark, sf_dir):
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_language": op2_language}
-ORACLES: dict[str, str] = {}
+def op4_dedup(spark, sf_dir):
+    return dedup.group(table(spark, sf_dir, "documents"), words=4, share=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer=vocabulary_file("word_bpe_49k.json"), capacity=4096, end_id=2)
+
+
+def op10_topk(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 50 == 0, k=5)
+
+
+OP10_SQL = """
+WITH fine AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, c -> c IS NULL OR isnan(c) OR isinf(c))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM fine q JOIN fine c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language": op2_language,
+    "op4_dedup": op4_dedup,
+    "op7_packing": op7_packing,
+    "op10_topk": op10_topk,
+}
+ORACLES: dict[str, str] = {"op10_topk": OP10_SQL}
