@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from panelweave.llm import dedup, langid, packing, topk, toxicity
+from panelweave.llm import chat, dedup, fingerprint, langid, lm, mixing, packing, topk, toxicity, urltree
 from panelweave.llm.common import table
 
 
@@ -40,6 +40,35 @@ def op10_topk(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 50 == 0, k=5)
 
 
+def op3_lm(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+#: Wanted shares of tokens by domain.
+TARGETS = {"en": 0.42, "de": 0.18, "fr": 0.18, "es": 0.14, "junk": 0.08}
+
+
+def op5_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.domains_of(docs, table(spark, sf_dir, "labels")), targets=TARGETS)
+
+
+#: Host and path rules; the longest that fits wins.
+RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op6_urls(spark, sf_dir):
+    return urltree.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+def op8_chat(spark, sf_dir):
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op9_fingerprints(spark, sf_dir):
+    return fingerprint.fingerprint(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = """
 WITH fine AS (
   SELECT DISTINCT vec_id, list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS v FROM embeddings
@@ -57,8 +86,13 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
+    "op3_lm": op3_lm,
     "op4_dedup": op4_dedup,
+    "op5_mixing": op5_mixing,
+    "op6_urls": op6_urls,
     "op7_packing": op7_packing,
+    "op8_chat": op8_chat,
+    "op9_fingerprints": op9_fingerprints,
     "op10_topk": op10_topk,
 }
-ORACLES: dict[str, str] = {"op10_topk": OP10_SQL}
+ORACLES: dict[str, str] = {"op8_chat": chat.ROTATE_SQL, "op10_topk": OP10_SQL}
