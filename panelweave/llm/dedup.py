@@ -10,7 +10,7 @@ Bands of registers make candidate buckets; links are confirmed on full sets.
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import hold, mix, slices, string_hashes, whole_texts
@@ -143,45 +143,67 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs a, b whose sets pass 100 * intersection >= share * union."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For pairs a, b: the sizes na, nb of their sets, how many they have in both, and what of a is outside b."""
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
 
-    def verify(batches):
+    def compare(batches):
         for batch in batches:
-            keep = []
+            na, nb, both, outside = [], [], [], []
             for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= share * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+                inside = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                na.append(len(x))
+                nb.append(len(y))
+                both.append(int(inside.sum()))
+                outside.append(x[~inside].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in (na, nb, both)), pa.array(outside, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "both", "outside"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long, na long, nb long, both long, outside array<long>")
 
 
-def group(docs: DataFrame, *, words: int = 5, share: int = 80, bands: int = 32, rows: int = 4, id_column: str = "doc_id") -> DataFrame:
+def apart(seen: DataFrame, found: DataFrame, share: int) -> DataFrame:
+    """Buckets (key, id, n, centre) that may still link members which their centre left apart.
+
+    The centre c is the smallest set of its bucket. If a is not linked to c, any set that a is
+    linked to is no smaller than c and has at least need = share / (100 + share) * (|a| + |c|) - |a and c| > 0 of a's elements that are
+    outside c. So it has one of any |outside| - need + 1 of them; the rarest are taken, and those that
+    no other member has can be passed over. Those that are left are the keys of new buckets.
+    """
+    label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    rows = seen.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    rows = rows.select("a", "b", F.col("na").alias("n"), "outside", F.coalesce("of_a", "a").alias("of"), (F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).alias("open"), (F.ceil(share * (F.col("na") + F.col("nb")) / (100 + share)) - F.col("both")).alias("need"))
+    centres = rows.groupBy("b").agg(F.max("open").alias("any"), F.count("*").alias("size")).filter("any and size > 1").select("b")
+    rows = hold(rows.join(centres, "b", "left_semi"), "apart")
+    each = rows.select("b", "a", "of", "open", F.explode("outside").alias("e"))
+    common = each.groupBy("b", "e").agg(F.count("*").alias("times"), F.max("open").alias("any"), (F.min("of") != F.max("of")).alias("mixed")).filter("times > 1 and any")
+    each = hold(each.join(common, ["b", "e"]).select("b", "a", "open", "e", "times", "mixed"), "shared-elements")
+    having = each.filter("open").groupBy("b", "a").agg(F.count("*").alias("having"))
+    wanted = rows.filter("open").join(having, ["b", "a"]).filter("having >= need").select("b", "a", (F.col("having") - F.col("need") + 1).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("b", "a").orderBy("times", "e"))
+    keys = each.filter("open").withColumn("rank", rank).join(wanted, ["b", "a"]).filter("rank <= first and mixed").select("b", "e").distinct()
+    members = each.join(keys, ["b", "e"]).join(rows.select("b", "a", "n"), ["b", "a"]).select(F.xxhash64("b", "e").alias("key"), F.col("a").alias("id"), "n")
+    centre = members.groupBy("key").agg(F.min(F.struct("n", "id")).alias("centre"))
+    return hold(members.join(centre, "key"), "buckets")
+
+
+def group(docs: DataFrame, *, words: int = 5, share: int = 80, bands: int = 32, rows: int = 4, levels: int = 5, id_column: str = "doc_id") -> DataFrame:
     """n_shingles, component_id and kept of every document.
 
     Documents are linked at share percent of the union or more. Null and empty texts have no
     shingles and stand alone. At the share of 80, 32 bands of 4 registers miss a link with
-    probability 5e-8. A bucket links its members to two centres, its smallest and its largest id; members
-    that stay in another component than the bucket's main one are compared with all of it, so no
-    pair of one bucket goes unchecked and copies are not expanded into pairs. Rows that repeat an
-    id count as one node.
+    probability 5e-8. A bucket compares its members with its smallest one alone, so copies are not
+    expanded into pairs; what that leaves apart is dealt into smaller buckets (see apart) and compared
+    again, and what `levels` rounds leave, usually nothing, pair by pair. No pair of a bucket goes
+    unchecked. Rows that repeat an id count as one node.
     """
     signed = hold(signatures(docs, words=words, bands=bands, rows=rows, id_column=id_column), "signatures")
     classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "keys")).alias("x"))
     classes = hold(classes.select("digest", F.col("x.id").alias("id"), F.col("x.n_shingles").alias("n"), F.col("x.keys").alias("keys")), "classes")
     members = classes.select("id", "n", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("low"), F.max(F.struct("id", "n")).alias("high")).filter("size > 1")
-    shared = hold(members.join(buckets, "key").select("key", "id", "n", "low", "high"), "buckets")
-    fits = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * share
-    star = shared.select("id", "n", F.explode(F.array("low", "high")).alias("c")).filter((F.col("id") != F.col("c.id")) & fits(F.col("n"), F.col("c.n")))
-    star = hold(star.select(F.greatest("id", "c.id").alias("a"), F.least("id", "c.id").alias("b")).distinct(), "star-pairs")
+    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("n", "id")).alias("centre")).filter("size > 1").drop("size")
+    shared = hold(members.join(buckets, "key"), "buckets")
     nodes = shared.select("id").distinct()
 
     def cut(batches):
@@ -192,19 +214,22 @@ def group(docs: DataFrame, *, words: int = 5, share: int = 80, bands: int = 32,
 
     texts = whole_texts(docs, id_column).select(F.col(id_column).cast("long").alias("id"), "text").join(nodes, "id", "left_semi")
     sets = hold(texts.mapInArrow(cut, "id long, hashes binary").dropDuplicates(["id"]), "sets")
-    links = hold(confirmed(star, sets, share), "links")
-    found = components(links)
-    # what the stars left apart: members of smaller components against the rest of their bucket
-    labelled = shared.select("key", "id", "n").join(found, shared.id == found.node, "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    parts = labelled.groupBy("key", "component").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("main")).filter("parts > 1").select("key", F.col("main.component").alias("main"))
-    open_ = hold(labelled.join(mixed, "key"), "open-buckets")
-    few = open_.filter("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    rest = few.join(open_, "key").filter((F.col("component") != F.col("ca")) & fits(F.col("n"), F.col("na")))
-    rest = rest.select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = hold(confirmed(rest, sets, share), "more-links")
-    if not more.isEmpty():
-        found = components(links.union(more))
+    links, members, found = None, shared, None
+    for level in range(levels + 1):
+        if level < levels:
+            stars = members.select(F.col("id").alias("a"), F.col("centre.id").alias("b"))
+        else:  # few are left: each against the rest of its buckets
+            one, two = members.select("key", F.col("id").alias("a")), members.select("key", F.col("id").alias("b"))
+            stars = one.join(two, "key").filter("a > b")
+        seen = hold(compared(stars.filter("a <> b").distinct(), sets), "compared")
+        new = seen.filter(100 * F.col("both") >= share * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+        links = new if links is None else links.union(new)
+        found = components(links)
+        if level == levels:
+            break
+        members = apart(seen, found, share)
+        if members.isEmpty():
+            break
     named = classes.join(found, classes.id == found.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("id", "n_shingles", "digest").join(named, "digest", "left")
     out = out.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
