@@ -135,9 +135,9 @@ def _fit(positive: list[str], weight: np.ndarray, negative: list[str], against:
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     importance = np.r_[weight / weight.sum() * 0.5, against / against.sum() * 0.5] * len(y)
     rows, cols, vals = features(words)
-    order = np.argsort(-weight, kind="stable")[: landmarks // 2]
+    order = np.argsort(-weight, kind="stable")[: landmarks * 2 // 5]
     near = min(len(negative), landmarks - len(order))
-    spread = np.r_[np.arange(near // 4), np.linspace(0, len(negative) - 1, near - near // 4).astype(int)]
+    spread = np.r_[np.argsort(-against, kind="stable")[: near * 3 // 4], np.linspace(0, len(negative) - 1, near - near * 3 // 4).astype(int)]
     chosen = np.unique(np.r_[order, len(positive) + spread])
     space, where = np.unique(cols[np.isin(rows, chosen)], return_inverse=True)
     basis = np.zeros((len(space), len(chosen)), np.float32)
@@ -157,13 +157,13 @@ def _fit(positive: list[str], weight: np.ndarray, negative: list[str], against:
     w = np.zeros(z.shape[1])
     ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-6
-    for _ in range(25):  # Newton's method on the squared hinge
+    for _ in range(8):  # Newton's method on the squared hinge
         active = y * (z @ w) < 1
         gram, right = np.diag(ridge * len(y)), np.zeros(len(w))
         for part in np.array_split(np.flatnonzero(active), max(1, int(active.sum()) // 4000)):
-            rows_ = z[part].astype(float)
-            gram += (rows_ * importance[part, None]).T @ rows_
-            right += rows_.T @ (importance[part] * y[part])
+            rows_, own = z[part], importance[part].astype(np.float32)
+            gram += (rows_ * own[:, None]).T @ rows_
+            right += rows_.T @ (own * y[part])
         new = np.linalg.solve(gram, right)
         if np.allclose(new, w, atol=1e-8):
             break
@@ -174,7 +174,7 @@ def _fit(positive: list[str], weight: np.ndarray, negative: list[str], against:
     return table, float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", out=None, sample_rows: int = 15000, witnesses: int = 3000, negatives: int = 12000, landmarks: int = 640, penalty: float = 2e-5, rounds: int = 6) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", out=None, sample_rows: int = 15000, witnesses: int = 3000, negatives: int = 8000, landmarks: int = 512, penalty: float = 1e-5, purity: float = 0.05, rounds: int = 4) -> Machine:
     """Learn from the sentences of labelled documents that are not held out.
 
     sample_rows bounds the documents taken of each class (in expectation, by a hash of the id);
@@ -215,22 +215,38 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", out=
     if len(n) < 2:
         return nothing
     one, zero = float(n[1]), float(n[0])
-    lift = (F.col("toxic") + 0.0) / one / ((F.col("clean") + 0.5) / zero)
     expected = (F.col("toxic") + F.col("clean")) * one / (one + zero)
     surprise = F.when(F.col("toxic") > expected, 2 * F.col("toxic") * F.log(F.col("toxic") / expected)).otherwise(0.0)
-    top = units.filter((F.col("toxic") >= 2) & (lift > 8)).select("unit", "toxic", surprise.alias("s")).orderBy(F.desc("s"), "unit").limit(witnesses).toPandas()
+    pure = units.filter((F.col("toxic") >= 2) & (F.col("clean") <= purity * F.col("toxic")))
+    top = pure.select("unit", "clean", surprise.alias("s")).orderBy(F.desc("s"), "unit").limit(witnesses).toPandas()
     if top.empty:
         return nothing
+    asked = set(top.unit)
+
+    def contexts(batches):
+        """The different words before each candidate: near copies of one sentence count once."""
+        for batch in batches:
+            for part in slices(batch):
+                words, codes, _ = text_units(part.column("text").filter(pc.equal(part.column("y"), 1)))
+                here = np.array([w in asked for w in words.to_pylist()], bool)
+                at = np.flatnonzero(here[codes]) if len(codes) else np.zeros(0, np.int64)
+                pair = np.unique(codes[at].astype(np.int64) * len(words) + np.r_[0, codes][at]) if len(at) else at
+                if len(pair):
+                    yield pa.RecordBatch.from_arrays([words.take(pa.array(pair // len(words))), words.take(pa.array(pair % len(words)))], ["unit", "before"])
+
+    told = sentences.mapInArrow(contexts, "unit string, before string").groupBy("unit").agg(F.countDistinct("before").alias("toxic")).toPandas()
+    top = top.merge(told, on="unit")
     # chance puts some rare words only in toxic documents: keep those too surprising for so many tries
     tries = max(units.filter("toxic > 0").count(), 2)
-    sure = top[top.s >= min(2 * float(np.log(tries)), float(top.s.max()) / 2)]
+    top["s"] = 2 * top.toxic * np.log(np.maximum(top.toxic / ((top.toxic + top.clean) * one / (one + zero)), 1))
+    sure = top[top.s >= min(2 * float(np.log(tries)), float(top.s.max()) / 2)].sort_values(["s", "unit"], ascending=[False, True])
     clean = units.filter("clean > 0").select("unit", "clean")
     common = clean.orderBy(F.desc("clean"), "unit").limit(negatives // 2).toPandas()
     other = clean.orderBy(F.xxhash64("unit")).limit(negatives // 2).toPandas()
     counts = dict(zip([*common.unit, *other.unit], [*common.clean, *other.clean], strict=True))
     positive, weight = sure.unit.tolist(), np.sqrt(sure.toxic.to_numpy(float))
     counts = {x: n for x, n in counts.items() if x not in set(positive)}
-    if not counts:
+    if not counts or not len(positive):
         return nothing
     draw = np.random.default_rng(7)
     for word, w in list(zip(positive, weight, strict=True))[:64]:  # the chief insults with a character put in
@@ -248,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", out=
                     yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("toxic"), batch.column("clean"), pa.array(machine.units(batch.column("unit")).astype(float))], ["unit", "toxic", "clean", "f"])
 
         valued = units.mapInArrow(value, "unit string, toxic long, clean long, f double")
-        hard = valued.filter("clean > 0 and f > -1").orderBy(F.desc("f"), "unit").limit(negatives // 2).toPandas()
+        hard = valued.filter("clean > 0 and f > -1").orderBy(F.desc("f"), "unit").limit(negatives // 4).toPandas()
         push |= {x: 4 * push.get(x, 2.0) for x, v in zip(hard.unit, hard.f, strict=True) if v > -0.3}
         counts |= {x: n for x, n in zip(hard.unit, hard.clean, strict=True) if x not in set(positive)}
     best = _largest(sample, machine, ("y",)).toPandas()
