@@ -16,34 +16,41 @@ from pyspark.sql import functions as F
 
 def threshold_search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
     """For each query: positions and scores of its k best vectors, ties to the smaller id, without its own id."""
-    n, dims = vectors.shape
-    order = np.argsort(vectors, axis=0, kind="stable")
-    values = np.take_along_axis(vectors, order, axis=0)
+    n = len(vectors)
+    order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
     for q, me in zip(queries, own, strict=True):
         used = np.flatnonzero(q)
         down = q[used] > 0
-        seen, scores = np.zeros(n, bool), np.zeros(n, vectors.dtype)
-        found, depth, step = np.zeros(0, np.int64), 0, 2 * k
+        seen, scores, scored = np.zeros(n, bool), np.zeros(n, vectors.dtype), 0
+        depth, step, valid, bound = 0, 32, ids != me, None
         while depth < n:
-            if not len(used):
-                new, depth = np.arange(n), n
+            if len(used):
+                last = min(depth + step, n)
+                for d, high in zip(used, down, strict=True):
+                    seen[order[d, n - last : n - depth] if high else order[d, depth:last]] = True
+                end = np.where(down, order[used, n - last], order[used, last - 1])
+                depth, step, bound = last, step * 4, float((vectors[end, used] * q[used]).sum())
             else:
-                rows = np.arange(depth, min(depth + step, n))
-                at = np.where(down[None, :], n - 1 - rows[:, None], rows[:, None])
-                new = np.unique(order[at, used[None, :]])
-                new, depth, step = new[~seen[new]], depth + len(rows), step * 2
-            seen[new] = True
-            scores[new] = vectors[new] @ q
-            found = np.r_[found, new[ids[new] != me]]
+                seen[:], depth, bound = True, n, None
+            new = np.flatnonzero(seen & (scores == 0)) if scored else np.flatnonzero(seen)
+            # a gather of most rows costs more than one pass over all; only seen rows' scores are used
+            scores = np.where(seen, vectors @ q, scores) if len(new) > n // 4 else _put(scores, new, vectors[new] @ q)
+            scored = 1
+            found = np.flatnonzero(seen & valid)
             if len(found) > k:
                 kth = np.partition(scores[found], len(found) - k)[len(found) - k]
                 found = found[scores[found] >= kth]
-                if len(used) and kth > (values[at[-1], used] * q[used]).sum():
+                if bound is not None and kth > bound:
                     break
         best = found[np.lexsort((ids[found], -scores[found]))][:k]
         yield best, scores[best]
 
 
+def _put(scores: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    scores[at] = values
+    return scores
+
+
 def search(vectors: DataFrame, *, is_query, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 256, block: int = 4096, query_block: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each query row by integer inner product.
 
@@ -70,7 +77,7 @@ def search(vectors: DataFrame, *, is_query, k: int = 5, id_column: str = "vec_id
                 vectors, queries = np.stack(same.v.to_numpy()), np.stack(part.v.to_numpy())
                 ids = same.id.to_numpy(np.int64)
                 limit = int(np.abs(vectors).max()) * int(np.abs(queries).max()) * int(size)
-                kind = np.float64 if limit < 2**53 else np.int64  # exact either way
+                kind = np.float32 if limit < 2**24 else np.float64 if limit < 2**53 else np.int64  # exact in each case
                 for own, (best, scores) in zip(part.id, threshold_search(queries.astype(kind), part.id.to_numpy(np.int64), vectors.astype(kind), ids, k), strict=True):
                     out.append((np.full(len(best), own), ids[best], scores.astype(np.int64)))
         query, found, score = (np.concatenate(c) for c in zip(*out, strict=True))
