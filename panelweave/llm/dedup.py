@@ -164,46 +164,54 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def apart(seen: DataFrame, found: DataFrame, share: int) -> DataFrame:
-    """Buckets (key, id, n, centre) that may still link members which their centre left apart.
+    """Pairs a, b of one bucket that may still be linked although its centre left a apart.
 
-    The centre c is the smallest set of its bucket. If a is not linked to c, any set that a is
-    linked to is no smaller than c and has at least need = share / (100 + share) * (|a| + |c|) - |a and c| > 0 of a's elements that are
-    outside c. So it has one of any |outside| - need + 1 of them; the rarest are taken, and those that
-    no other member has can be passed over. Those that are left are the keys of new buckets.
+    If a is not linked to the centre c, a set y of the bucket that a is linked to has at least
+    need = share / (100 + share) * (|a| + |y|) - |a and c| of a's elements that are outside c, where |y| is at least the bucket's
+    smallest size and share percent of |a|. Where need is positive, y has one of any |outside| - need + 1 of them: the
+    rarest are taken, and those that no other member has are passed over. Where it is not, sets small
+    enough to make it so are taken as they are.
     """
     label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     rows = seen.join(label("a"), "a", "left").join(label("b"), "b", "left")
-    rows = rows.select("a", "b", F.col("na").alias("n"), "outside", F.coalesce("of_a", "a").alias("of"), (F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).alias("open"), (F.ceil(share * (F.col("na") + F.col("nb")) / (100 + share)) - F.col("both")).alias("need"))
-    centres = rows.groupBy("b").agg(F.max("open").alias("any"), F.count("*").alias("size")).filter("any and size > 1").select("b")
-    rows = hold(rows.join(centres, "b", "left_semi"), "apart")
+    rows = rows.select("a", "b", "na", "both", "outside", F.coalesce("of_a", "a").alias("of"), (F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).alias("open"))
+    centres = rows.groupBy("b").agg(F.max("open").alias("any"), F.count("*").alias("size"), F.min("na").alias("least")).filter("any and size > 1").select("b", "least")
+    rows = hold(rows.join(centres, "b").withColumn("need", F.ceil(share * (F.col("na") + F.greatest("least", F.ceil(F.col("na") * share / 100))) / (100 + share)) - F.col("both")), "apart")
     each = rows.select("b", "a", "of", "open", F.explode("outside").alias("e"))
     common = each.groupBy("b", "e").agg(F.count("*").alias("times"), F.max("open").alias("any"), (F.min("of") != F.max("of")).alias("mixed")).filter("times > 1 and any")
-    each = hold(each.join(common, ["b", "e"]).select("b", "a", "open", "e", "times", "mixed"), "shared-elements")
+    each = hold(each.join(common, ["b", "e"]).select("b", "a", "of", "open", "e", "times", "mixed"), "shared-elements")
     having = each.filter("open").groupBy("b", "a").agg(F.count("*").alias("having"))
-    wanted = rows.filter("open").join(having, ["b", "a"]).filter("having >= need").select("b", "a", (F.col("having") - F.col("need") + 1).alias("first"))
+    wanted = rows.filter("open and need > 0").join(having, ["b", "a"]).filter("having >= need").select("b", "a", (F.col("having") - F.col("need") + 1).alias("first"))
     rank = F.row_number().over(Window.partitionBy("b", "a").orderBy("times", "e"))
-    keys = each.filter("open").withColumn("rank", rank).join(wanted, ["b", "a"]).filter("rank <= first and mixed").select("b", "e").distinct()
-    members = each.join(keys, ["b", "e"]).join(rows.select("b", "a", "n"), ["b", "a"]).select(F.xxhash64("b", "e").alias("key"), F.col("a").alias("id"), "n")
-    centre = members.groupBy("key").agg(F.min(F.struct("n", "id")).alias("centre"))
-    return hold(members.join(centre, "key"), "buckets")
+    keys = each.filter("open").withColumn("rank", rank).join(wanted, ["b", "a"]).filter("rank <= first and mixed").select("b", "e", F.col("a").alias("x"), F.col("of").alias("of_x"))
+    pairs = keys.join(each.select("b", "e", "a", "of"), ["b", "e"]).filter("of <> of_x").select("a", F.col("x").alias("b"))
+    loose = rows.filter("open and need <= 0").select("b", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("both").alias("bx"), F.col("of").alias("of_x"))
+    small = (F.ceil(share * (F.col("nx") + F.col("na")) / (100 + share)) <= F.col("bx")) & (F.col("na") * 100 >= F.col("nx") * share) & (F.col("nx") * 100 >= F.col("na") * share)
+    more = loose.join(rows.select("b", "a", "na", "of"), "b").filter((F.col("of") != F.col("of_x")) & small).select("a", F.col("x").alias("b"))
+    both = pairs.unionByName(more)
+    return hold(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "open-pairs")
 
 
-def group(docs: DataFrame, *, words: int = 5, share: int = 80, bands: int = 32, rows: int = 4, levels: int = 5, id_column: str = "doc_id") -> DataFrame:
+def group(docs: DataFrame, *, words: int = 5, share: int = 80, bands: int = 32, rows: int = 4, id_column: str = "doc_id") -> DataFrame:
     """n_shingles, component_id and kept of every document.
 
     Documents are linked at share percent of the union or more. Null and empty texts have no
     shingles and stand alone. At the share of 80, 32 bands of 4 registers miss a link with
-    probability 5e-8. A bucket compares its members with its smallest one alone, so copies are not
-    expanded into pairs; what that leaves apart is dealt into smaller buckets (see apart) and compared
-    again, and what `levels` rounds leave, usually nothing, pair by pair. No pair of a bucket goes
-    unchecked. Rows that repeat an id count as one node.
+    probability 5e-8. A bucket compares its members with a centre alone, the member that meets most
+    others, so copies are not expanded into pairs; pairs that this may have left apart are found by
+    the elements that they share outside the centre (see apart). No link within a bucket is lost.
+    Rows that repeat an id count as one node.
     """
     signed = hold(signatures(docs, words=words, bands=bands, rows=rows, id_column=id_column), "signatures")
     classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "keys")).alias("x"))
     classes = hold(classes.select("digest", F.col("x.id").alias("id"), F.col("x.n_shingles").alias("n"), F.col("x.keys").alias("keys")), "classes")
     members = classes.select("id", "n", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("n", "id")).alias("centre")).filter("size > 1").drop("size")
-    shared = hold(members.join(buckets, "key"), "buckets")
+    buckets = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = hold(members.join(buckets, "key"), "members")
+    # the centre is the member that meets most others over all its buckets: near copies of one text meet that text
+    meets = shared.groupBy("id").agg(F.sum("size").alias("meets"))
+    centre = shared.join(meets, "id").groupBy("key").agg(F.max_by("id", F.struct("meets", -F.col("n"), -F.col("id"))).alias("centre"))
+    shared = hold(shared.join(centre, "key").select("id", "centre").distinct(), "buckets")
     nodes = shared.select("id").distinct()
 
     def cut(batches):
@@ -214,22 +222,14 @@ def group(docs: DataFrame, *, words: int = 5, share: int = 80, bands: int = 32,
 
     texts = whole_texts(docs, id_column).select(F.col(id_column).cast("long").alias("id"), "text").join(nodes, "id", "left_semi")
     sets = hold(texts.mapInArrow(cut, "id long, hashes binary").dropDuplicates(["id"]), "sets")
-    links, members, found = None, shared, None
-    for level in range(levels + 1):
-        if level < levels:
-            stars = members.select(F.col("id").alias("a"), F.col("centre.id").alias("b"))
-        else:  # few are left: each against the rest of its buckets
-            one, two = members.select("key", F.col("id").alias("a")), members.select("key", F.col("id").alias("b"))
-            stars = one.join(two, "key").filter("a > b")
-        seen = hold(compared(stars.filter("a <> b").distinct(), sets), "compared")
-        new = seen.filter(100 * F.col("both") >= share * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-        links = new if links is None else links.union(new)
-        found = components(links)
-        if level == levels:
-            break
-        members = apart(seen, found, share)
-        if members.isEmpty():
-            break
+    linked = 100 * F.col("both") >= share * (F.col("na") + F.col("nb") - F.col("both"))
+    seen = hold(compared(shared.select(F.col("id").alias("a"), F.col("centre").alias("b")).filter("a <> b").distinct(), sets), "compared")
+    links = seen.filter(linked).select("a", "b")
+    found = components(links)
+    pairs = apart(seen, found, share)
+    if not pairs.isEmpty():
+        more = hold(compared(pairs, sets).filter(linked).select("a", "b"), "more-links")
+        found = components(links.unionByName(more))
     named = classes.join(found, classes.id == found.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("id", "n_shingles", "digest").join(named, "digest", "left")
     out = out.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
