@@ -8,6 +8,8 @@ labelled purity passes a threshold. DataFrame functions only.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.common import hold
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,13 +60,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, labels: DataFrame |
     last = F.array_join(F.slice(parts, depth, 1_000_000), "/")
     segments = [F.coalesce(F.try_element_at(parts, F.lit(i + 1)) if i < depth - 1 else F.when(F.size(parts) >= depth, last), F.lit("")) for i in range(depth)]
     paths = rows.select("host", "path", "bad", *(x.alias(f"s{i}") for i, x in enumerate(segments))).groupBy("host", *(F.col(f"s{i}") for i in range(depth))).agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.sum("bad").alias("bad"))
-    tree = paths.withColumn("template", F.lit(""))
+    tree = hold(paths.withColumn("template", F.lit("")), "url-paths")
     for i in range(depth):  # level by level: what stands above a segment is already general
         children = tree.groupBy("host", "template", f"s{i}").agg(F.sum("n").alias("n"))
         nodes = children.groupBy("host", "template").agg(((F.count("*") >= values) & (F.sum("n") < repeats * F.count("*"))).alias("variable"))
         tree = spread_join(tree, nodes, ["host", "template"], [f"s{j}" for j in range(depth)])
         piece = F.when(F.col(f"s{i}") == "", "").when(F.col("variable") & F.col(f"s{i}").rlike("[0-9]"), F.regexp_replace(shape(F.col(f"s{i}")), "0", "*")).when(F.col("variable"), "*").otherwise(F.col(f"s{i}"))
-        tree = tree.withColumn("parent", F.col("template")).withColumn("template", F.when(piece == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), piece))).drop("variable")
+        tree = tree.withColumn("template", F.when(piece == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), piece))).drop("variable")
+        tree = hold(tree, "url-tree")  # each level is read twice: without this, plans double with each
     # a template's parent is all but its last segment; siblings merge into it when alike
     tree = tree.withColumn("above", F.regexp_replace("template", "/[^/]*$", ""))
     leaves = tree.groupBy("host", "above", "template").agg(F.sum("known").alias("known"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"))
@@ -72,6 +75,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, labels: DataFrame |
     share = F.coalesce(F.col("pb") / F.nullif(F.col("pk"), F.lit(0)), F.lit(0.0))
     alike = (F.col("branches") > 1) & (F.abs(F.col("bad") - F.col("known") * share) <= z * F.sqrt(F.greatest(F.col("known") * share * (1 - share), F.lit(0.0))))
     leaves = leaves.join(above, ["host", "above"]).withColumn("merged", F.when(alike, F.concat("above", F.lit("/{*}"))).otherwise(F.col("template")))
+    leaves = hold(leaves.select("host", "template", "merged", "known", "bad"), "url-leaves")
     branch = leaves.groupBy("host", "merged").agg(F.sum("known").alias("bk"), F.sum("bad").alias("bb"))
     branch = branch.select("host", "merged", F.round((F.col("bb") + smoothing * prior) / (F.col("bk") + smoothing), 6).alias("purity"))
     judged = leaves.select("host", "template", "merged").join(branch, ["host", "merged"])
