@@ -486,3 +486,195 @@ def st1(spark, sf):
     from panelweave.streaming.bars import tick_bars
 
     return tick_bars(A.table(spark, sf, "events")).select("bar", "ticker", "high", "low", "ticks")
+
+
+def model_rows(spark, sf):
+    rows = panel(spark, sf).withColumns({"vol": W.volatility("r", 6, YEAR), "beta": W.beta("r", "m", 12), "gap": W.ma_gap("close", 6), "mom": W.momentum("close", 6), "rsi": W.rsi("diff", 6)})
+    rows = labels.horizon_labels(rows, A.market(spark, sf), HORIZON, LAG).filter("observed").withColumn("eligible", F.lit(True))
+    return joins.attach_sector(rows, A.sectors(spark, sf))
+
+
+FEATURES = ["vol", "beta", "gap", "mom", "rsi"]
+
+
+def fold_days(spark, sf, sessions):
+    rows = A.market(spark, sf).filter(F.col("session_no").isin(*sessions)).select("session_no", "date").collect()
+    return [r["date"] for r in sorted(rows)]
+
+
+@query("m5_walk_forward")
+def m5(spark, sf):
+    from panelweave.plans import models
+
+    folds = list(enumerate(fold_days(spark, sf, [48, 60])))
+    return models.walk_forward(model_rows(spark, sf), folds, FEATURES, "target_excess", {"elastic_net": models.elastic_net, "boosted": lambda: models.boosted(maxIter=8)}).select("model", "fold", "date", "ticker", "pred")
+
+
+@query("m4_training_scopes")
+def m4(spark, sf):
+    from panelweave.plans import models
+
+    day = fold_days(spark, sf, [60])[0]
+    rows = model_rows(spark, sf)
+    train = labels.purged(rows, spark.createDataFrame([(0, day)], "fold int, day date"))
+    return models.training_scopes(train, rows.filter(F.col("date") == F.lit(day)), FEATURES, ["vol", "beta"], "target_excess", models.elastic_net).select("scope", "ticker", "stable", "pred")
+
+
+@query("m12_risk_classifiers")
+def m12(spark, sf):
+    from panelweave.plans import models
+
+    rows = labels.future_risk(labels.forward_outcomes(model_rows(spark, sf), HORIZON, YEAR).dropna(subset=["future_vol", "future_mdd"]), 0.3)
+    a, b = fold_days(spark, sf, [48, 60])
+    return models.risk_classifiers(rows.filter(F.col("date") < F.lit(a)), rows.filter(F.col("date").between(a, b)), rows.filter(F.col("date") > F.lit(b)), FEATURES, "future_risky")
+
+
+@query("m14_locked_ensemble")
+def m14(spark, sf):
+    from panelweave.plans import models
+
+    rows, days = model_rows(spark, sf), fold_days(spark, sf, [40, 42, 60])
+    cv = models.purged_cv(rows, [(days[0], days[1])], FEATURES, "target_excess", models.elastic_net).select(F.lit("elastic_net").alias("model"), "ic")
+    cv = cv.unionByName(stats.daily_ic(rows.filter(F.col("date") < F.lit(days[0])), "mom", "target_excess").select(F.lit("momentum").alias("model"), "ic"))
+    scores = models.walk_forward(rows, [(0, days[2])], FEATURES, "target_excess", {"elastic_net": models.elastic_net}).select("model", "date", "ticker", "sector", "pred")
+    scores = scores.unionByName(rows.filter((F.col("date") == F.lit(days[2])) & F.col("mom").isNotNull()).select(F.lit("momentum").alias("model"), "date", "ticker", "sector", F.col("mom").alias("pred")))
+    return models.locked_ensemble(cv, scores).select("date", "ticker", "sector", "pick", *r6("blend"))
+
+
+@query("g1_ticker_coverage", """, byflag AS (SELECT ticker, date, l_returnflag AS source FROM lines GROUP BY ALL)
+SELECT ticker, count(*) AS n_rows, min(date) AS first_date, max(date) AS last_date, string_agg(DISTINCT source, ',' ORDER BY source) AS sources,
+ round(count(*) / (SELECT count(*) FROM range(DATE '1992-01-01', DATE '1999-01-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6), 6) AS coverage, count(*) < 150 AS short_history FROM byflag GROUP BY ticker""")
+def g1(spark, sf):
+    from panelweave.operators import tables
+
+    raw = A.monthly_bars(spark, sf, "l_returnflag").withColumnRenamed("l_returnflag", "source")
+    return tables.ticker_coverage(raw, "1992-01-01", "1999-01-01", 150).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("g3_member_coverage", """, m AS (SELECT DISTINCT c.date, m.ticker FROM cal c JOIN member m ON c.date >= m.start_date AND (m.end_date IS NULL OR c.date < m.end_date))
+SELECT m.date, count(*) AS expected, count(b.close) AS priced, coalesce(string_agg(CASE WHEN b.close IS NULL THEN m.ticker END, ',' ORDER BY m.ticker), '') AS missing FROM m LEFT JOIN bars b ON b.ticker = m.ticker AND b.date = m.date GROUP BY m.date""")
+def g3(spark, sf):
+    from panelweave.operators import tables
+
+    cal = A.market(spark, sf)
+    spans = A.membership(spark, sf, cal)
+    rows = joins.members(spans.select("ticker").distinct().crossJoin(F.broadcast(cal.select("date"))), spans).filter("member")
+    return tables.member_coverage(rows, A.monthly_bars(spark, sf))
+
+
+RISK = """, y AS (SELECT ticker, date, list(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS p FROM bars),
+o AS (SELECT ticker, date, round(list_stddev_samp(list_transform(range(1, 7), lambda i: ln(p[i + 1] / p[i]))) * sqrt(12), 8) AS v, round(list_min(list_transform(range(1, 8), lambda i: p[i] / list_max(p[1:i]) - 1)), 8) AS d FROM y WHERE len(p) = 7),
+s AS (SELECT *, round((coalesce((v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0), 0) - coalesce((d - avg(d) OVER w) / nullif(stddev_pop(d) OVER w, 0), 0)) / 2, 10) AS z FROM o WINDOW w AS (PARTITION BY date)),
+risk AS (SELECT *, z >= round(quantile_cont(z, 0.7) OVER (PARTITION BY date), 10) AS risky FROM s)"""
+
+
+def risk_rows(spark, sf):
+    rows = labels.forward_outcomes(A.monthly_bars(spark, sf), HORIZON, YEAR).dropna(subset=["future_vol", "future_mdd"])
+    rows = rows.withColumn("future_vol", F.round("future_vol", 8)).withColumn("future_mdd", F.round("future_mdd", 8))
+    return joins.attach_sector(labels.future_risk(rows, 0.3), A.sectors(spark, sf))
+
+
+@query("g5_group_risk", RISK + " SELECT sector, count(*) AS n_rows, count(DISTINCT date) AS n_dates, round(avg(v), 6) AS mean_future_vol, round(avg(d), 6) AS mean_future_mdd, round(avg(CAST(d <= -0.5 AS DOUBLE)), 6) AS mdd_breach, round(avg(CAST(risky AS DOUBLE)), 6) AS future_risky_rate FROM risk JOIN sect USING (ticker) GROUP BY sector")
+def g5(spark, sf):
+    from panelweave.operators import tables
+
+    return tables.group_risk(risk_rows(spark, sf), "sector", -0.5).select("sector", "n_rows", "n_dates", *r6("mean_future_vol", "mean_future_mdd", "mdd_breach", "future_risky_rate"))
+
+
+@query("g11_transitions", RANKS.replace("(rn - 1) * 5 / ", "(rn - 1) * 5.0::DOUBLE / ") + """, st AS (SELECT ticker, session_no, CASE WHEN bucket = 1 THEN 'low' WHEN bucket = 5 THEN 'high' ELSE 'mid' END AS state FROM bk),
+pr AS (SELECT a.state AS state_from, b.state AS state_to FROM st a JOIN st b ON a.ticker = b.ticker AND b.session_no = a.session_no + 6)
+SELECT state_from, count(*) FILTER (WHERE state_to = 'low') AS n_low, count(*) FILTER (WHERE state_to = 'mid') AS n_mid, count(*) FILTER (WHERE state_to = 'high') AS n_high,
+ round(avg(CAST(state_to = 'low' AS DOUBLE)), 6) AS share_low, round(avg(CAST(state_to = 'mid' AS DOUBLE)), 6) AS share_mid, round(avg(CAST(state_to = 'high' AS DOUBLE)), 6) AS share_high FROM pr GROUP BY state_from""")
+def g11(spark, sf):
+    from panelweave.operators import tables
+
+    rows = xsec.buckets(signals(spark, sf), "mom6", 5)
+    state = F.when(F.col("bucket") == 1, "low").when(F.col("bucket") == 5, "high").otherwise("mid")
+    pairs = joins.snapshot_pairs(rows.select("ticker", "session_no", state.alias("state")), 6)
+    return tables.transitions(pairs, ["low", "mid", "high"]).select("state_from", "n_low", "n_mid", "n_high", *r6("share_low", "share_mid", "share_high"))
+
+
+@query("w22_regimes", """, mk AS (SELECT session_no, ln(m_close / lag(m_close) OVER (ORDER BY session_no)) AS r FROM cal),
+a AS (SELECT *, CASE WHEN count(r) OVER w12 = 12 THEN exp(sum(r) OVER w12) - 1 END AS trend, CASE WHEN count(r) OVER w3 = 3 THEN stddev_samp(r) OVER w3 END AS vol FROM mk
+ WINDOW w12 AS (ORDER BY session_no ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), w3 AS (ORDER BY session_no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+b AS (SELECT *, CASE WHEN count(vol) OVER p >= 12 THEN quantile_cont(vol, 0.75) OVER p END AS cut FROM a WINDOW p AS (ORDER BY session_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT CAST(session_no AS BIGINT) AS session_no, CASE WHEN trend IS NOT NULL AND cut IS NOT NULL THEN CASE WHEN trend >= 0 THEN 'up' ELSE 'down' END || '_' || CASE WHEN vol > cut THEN 'wild' ELSE 'calm' END END AS regime FROM b""")
+def w22(spark, sf):
+    from panelweave.operators import tables
+
+    rows = A.market(spark, sf).withColumn("r", F.log(F.col("m_close") / F.lag("m_close").over(Window.orderBy("session_no"))))
+    return tables.regimes(rows, "r", 12, 3).select(F.col("session_no").cast("long").alias("session_no"), "regime")
+
+
+@query("e13_offsets", RANKS + " SELECT CAST(session_no % 6 AS INTEGER) AS offset_no, round(avg(target_simple) FILTER (WHERE pct > 0.8), 6) AS picked, round(avg(target_simple), 6) AS equal, count(DISTINCT date) AS n_dates FROM rk GROUP BY 1")
+def e13(spark, sf):
+    from panelweave.operators import tables
+
+    rows = signals(spark, sf).withColumn("pct", xsec.percentile_rank("mom6", "date"))
+    return tables.offset_sweep(rows, "target_simple", 6, F.col("pct") > 0.8).select(F.col("offset").cast("int").alias("offset_no"), *r6("picked", "equal"), "n_dates")
+
+
+@query("e19_paired_exact", RANKS + """, d AS (SELECT sector, count(*) FILTER (WHERE pct > 0.5 AND target_excess > 0 AND mom6 <= 0) AS b, count(*) FILTER (WHERE pct <= 0.5 AND target_excess > 0 AND mom6 > 0) AS c FROM rk GROUP BY sector)
+SELECT sector, b, c FROM d""")
+def e19(spark, sf):
+    rows = signals(spark, sf).withColumn("pct", xsec.percentile_rank("mom6", "date"))
+    up = F.col("target_excess") > 0
+    return rows.groupBy("sector").agg(F.count(F.when((F.col("pct") > 0.5) & up & (F.col("mom6") <= 0), 1)).alias("b"), F.count(F.when((F.col("pct") <= 0.5) & up & (F.col("mom6") > 0), 1)).alias("c"))
+
+
+@query("e21_correlations", " SELECT 'mom6' AS a, 'mom6' AS b, 1.0::DOUBLE AS r UNION ALL SELECT 'mom6', 'vol6', (SELECT round(corr(mom6, vol6), 6) FROM sig) UNION ALL SELECT 'vol6', 'vol6', 1.0")
+def e21(spark, sf):
+    return stats.correlation_matrix(signals(spark, sf), ["mom6", "vol6"]).withColumn("r", F.round("r", 6))
+
+
+@query("t10_seeded_sample", " SELECT ticker, date FROM bars ORDER BY ('0x' || substr(md5('42|' || ticker || '|' || CAST(date AS VARCHAR)), 1, 8))::BIGINT, ticker, date LIMIT 50")
+def t10(spark, sf):
+    from panelweave.operators import tables
+
+    rows = A.monthly_bars(spark, sf).withColumn("day", F.col("date").cast("string"))
+    return tables.seeded_sample(rows, ["ticker", "day"], 50).select("ticker", "date")
+
+
+@query("b2_compounded", PICKS + """, p AS (SELECT period, min(date) AS date, avg(target_simple) AS r FROM held GROUP BY period), k AS (SELECT *, row_number() OVER (ORDER BY r DESC, date) AS n FROM p WHERE r IS NOT NULL)
+SELECT 'momentum' AS strategy, round(exp(sum(ln(1 + r))) - 1, 6) AS compound, round(exp(coalesce(sum(ln(1 + r)) FILTER (WHERE n > 1), 0)) - 1, 6) AS without_best, count(*) AS n_periods FROM k""")
+def b2(spark, sf):
+    rows = picks(spark, sf).groupBy("period").agg(F.min("date").alias("date"), F.avg("target_simple").alias("r")).withColumn("strategy", F.lit("momentum"))
+    return portfolio.compounded(rows, "r", "strategy").select("strategy", *r6("compound", "without_best"), "n_periods")
+
+
+@query("b10_sector_effects", PICKS + """, u AS (SELECT date, sector, count(*) AS un, avg(target_simple) AS ur FROM sig WHERE session_no >= 13 AND (session_no - 13) % 6 = 0 AND session_no + 7 <= (SELECT max(session_no) FROM cal) GROUP BY ALL),
+p AS (SELECT date, sector, count(*) AS pn, avg(target_simple) AS pr FROM held GROUP BY ALL)
+SELECT date, sector, round(coalesce(pn / sum(pn) OVER w, 0), 6) AS weight, round(un / sum(un) OVER w, 6) AS universe_weight FROM u LEFT JOIN p USING (date, sector) WINDOW w AS (PARTITION BY date)""")
+def b10(spark, sf):
+    dates = labels.schedule(A.market(spark, sf), 13, HORIZON, HORIZON, LAG).select("date")
+    universe = signals(spark, sf).join(F.broadcast(dates), "date", "left_semi").withColumn("target", F.col("target_simple"))
+    return portfolio.sector_effects(picks(spark, sf), universe).select("date", "sector", *r6("weight", "universe_weight"))
+
+
+@query("x1_explanation", CAPPED + " SELECT date, ticker, 'score ' || format('{:.2f}', mom6) || coalesce('; volatility ' || format('{:.2f}', vol6), '') AS why FROM top")
+def x1(spark, sf):
+    from panelweave.operators import tables
+
+    rows = xsec.capped_top(signals(spark, sf), "mom6", 10)
+    return rows.select("date", "ticker", tables.explanation("mom6", {"vol6": "volatility"}).alias("why"))
+
+
+@query("l12_thinned", " SELECT ticker, date FROM (SELECT ticker, date, dense_rank() OVER (ORDER BY date) AS k FROM bars) WHERE (k - 1) % 5 = 0")
+def l12(spark, sf):
+    return labels.thinned(A.monthly_bars(spark, sf), 5).select("ticker", "date")
+
+
+@query("l17_folds", ", n AS (SELECT count(*) AS n, floor(count(*) / 5.0) AS b FROM cal) SELECT CAST(f AS INTEGER) AS fold, CAST(f * b - 6 AS BIGINT) AS train_end_no, CAST(f * b + 1 AS BIGINT) AS test_first_no, CAST(CASE WHEN f = 4 THEN n ELSE (f + 1) * b END AS BIGINT) AS test_last_no FROM n, range(1, 5) t(f)")
+def l17(spark, sf):
+    return labels.expanding_folds(A.market(spark, sf), 4, 6)
+
+
+@query("c18_ic_weights", PRED + IC + ", m AS (SELECT model, avg(ic) AS ic FROM ic GROUP BY model) SELECT model, round(ic, 6) AS ic, round(CASE WHEN sum(greatest(ic, 0)) OVER () > 0 THEN greatest(ic, 0) / sum(greatest(ic, 0)) OVER () ELSE 1.0 / count(*) OVER () END, 6) AS weight FROM m")
+def c18(spark, sf):
+    ic = stats.daily_ic(predictions(spark, sf), "pred", "target_excess", ("model", "date")).groupBy("model").agg(F.avg("ic").alias("ic"))
+    return xsec.ic_weights(ic).select("model", *r6("ic", "weight"))
+
+
+@query("p16_common_sample", PRED + ", c AS (SELECT date, ticker FROM preds GROUP BY ALL HAVING count(DISTINCT model) = 2) SELECT model, count(*) AS n_rows, count(c.ticker) AS n_common, count(*) - count(c.ticker) AS n_dropped FROM preds LEFT JOIN c USING (date, ticker) GROUP BY model")
+def p16(spark, sf):
+    return clean.common_sample(predictions(spark, sf))[1]
