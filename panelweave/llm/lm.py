@@ -52,7 +52,7 @@ def parted(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(3)) % np.uint64(parts)).astype(np.int64)
 
 
-def score(docs: DataFrame, *, order: int = 2, backoff: float = 0.4, id_column: str = "doc_id", block_chars: int = 16_000_000) -> DataFrame:
+def score(docs: DataFrame, *, order: int = 2, backoff: float = 0.4, id_column: str = "doc_id", block_chars: int = 8_000_000) -> DataFrame:
     """n_tokens, n_backed_off and lm_score (mean log score of a token) of every document.
 
     Tokens are letters between white space, in lower case. Counts are over the corpus without the
