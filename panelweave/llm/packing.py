@@ -67,10 +67,10 @@ class Encoder:
         lists = pc.utf8_split_whitespace(texts)
         chunks = lists.flatten().dictionary_encode()
         lower = pc.utf8_lower(chunks.dictionary)
-        parts = pc.utf8_split_whitespace(pc.utf8_rtrim_whitespace(pc.replace_substring_regex(lower, r"(\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)", r"\1 ")))
+        spaced = pc.replace_substring_regex(lower, r"(\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)", r"\1 ")
         if pc.any(odd := pc.match_substring(lower, "'")).as_py():
-            where = dict(zip(np.flatnonzero(np.asarray(odd)), (self.split.findall(x) for x in lower.filter(odd).to_pylist()), strict=True))
-            parts = pa.array([where.get(i, x) for i, x in enumerate(parts.to_pylist())], pa.list_(pa.string()))
+            spaced = pc.replace_with_mask(spaced, odd, pa.array([" ".join(self.split.findall(x)) for x in lower.filter(odd).to_pylist()], spaced.type))
+        parts = pc.utf8_split_whitespace(pc.utf8_rtrim_whitespace(spaced))
         words = parts.flatten().dictionary_encode()
         listed = words.dictionary.to_pylist()
         if new := [w for w in listed if w and w not in self.known]:
