@@ -170,22 +170,26 @@ def apart(seen: DataFrame, found: DataFrame, share: int) -> DataFrame:
     need = share / (100 + share) * (|a| + |y|) - |a and c| of a's elements that are outside c, where |y| is at least the bucket's
     smallest size and share percent of |a|. Where need is positive, y has one of any |outside| - need + 1 of them: the
     rarest are taken, and those that no other member has are passed over. Where it is not, sets small
-    enough to make it so are taken as they are.
+    enough to make it so are taken as they are, and need is taken anew at the smallest size that these
+    leave out, where it is 1 or more.
     """
     label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
     rows = seen.join(label("a"), "a", "left").join(label("b"), "b", "left")
     rows = rows.select("a", "b", "na", "both", "outside", F.coalesce("of_a", "a").alias("of"), (F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).alias("open"))
     centres = rows.groupBy("b").agg(F.max("open").alias("any"), F.count("*").alias("size"), F.min("na").alias("least")).filter("any and size > 1").select("b", "least")
-    rows = hold(rows.join(centres, "b").withColumn("need", F.ceil(share * (F.col("na") + F.greatest("least", F.ceil(F.col("na") * share / 100))) / (100 + share)) - F.col("both")), "apart")
+    least = F.greatest("least", F.ceil(F.col("na") * share / 100))
+    rows = rows.join(centres, "b").withColumn("loose", F.ceil(share * (F.col("na") + least) / (100 + share)) <= F.col("both"))
+    reach = F.when(F.col("loose"), F.floor(F.col("both") * (100 + share) / share) - F.col("na") + 1).otherwise(least)
+    rows = hold(rows.withColumn("reach", reach).withColumn("need", F.ceil(share * (F.col("na") + F.col("reach")) / (100 + share)) - F.col("both")), "apart")
     each = rows.select("b", "a", "of", "open", F.explode("outside").alias("e"))
     common = each.groupBy("b", "e").agg(F.count("*").alias("times"), F.max("open").alias("any"), (F.min("of") != F.max("of")).alias("mixed")).filter("times > 1 and any")
     each = hold(each.join(common, ["b", "e"]).select("b", "a", "of", "open", "e", "times", "mixed"), "shared-elements")
     having = each.filter("open").groupBy("b", "a").agg(F.count("*").alias("having"))
-    wanted = rows.filter("open and need > 0").join(having, ["b", "a"]).filter("having >= need").select("b", "a", (F.col("having") - F.col("need") + 1).alias("first"))
+    wanted = rows.filter(F.col("open") & (F.col("reach") * share <= F.col("na") * 100)).join(having, ["b", "a"]).filter("having >= need").select("b", "a", (F.col("having") - F.col("need") + 1).alias("first"))
     rank = F.row_number().over(Window.partitionBy("b", "a").orderBy("times", "e"))
     keys = each.filter("open").withColumn("rank", rank).join(wanted, ["b", "a"]).filter("rank <= first and mixed").select("b", "e", F.col("a").alias("x"), F.col("of").alias("of_x"))
     pairs = keys.join(each.select("b", "e", "a", "of"), ["b", "e"]).filter("of <> of_x").select("a", F.col("x").alias("b"))
-    loose = rows.filter("open and need <= 0").select("b", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("both").alias("bx"), F.col("of").alias("of_x"))
+    loose = rows.filter("open and loose").select("b", F.col("a").alias("x"), F.col("na").alias("nx"), F.col("both").alias("bx"), F.col("of").alias("of_x"))
     small = (F.ceil(share * (F.col("nx") + F.col("na")) / (100 + share)) <= F.col("bx")) & (F.col("na") * 100 >= F.col("nx") * share) & (F.col("nx") * 100 >= F.col("na") * share)
     more = loose.join(rows.select("b", "a", "na", "of"), "b").filter((F.col("of") != F.col("of_x")) & small).select("a", F.col("x").alias("b"))
     both = pairs.unionByName(more)

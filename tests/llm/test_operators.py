@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave.llm import chat, dedup, fingerprint, langid, lm, mixing, packing, topk, toxicity, urltree
+from panelweave.llm.common import hold
 from panelweave.llm.queries import ORACLES, QUERIES, vocabulary_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -122,6 +123,26 @@ def test_near_copies_equal_brute_force(spark, docs):
     assert (got.kept == (got.index == got.component_id)).all()
 
 
+def test_near_copies_lose_no_link_within_a_bucket(spark):
+    rng = np.random.default_rng(8)
+    sets = {1: {*range(1000)}, 2: {*range(100, 1000)}}  # a centre and a shortened copy
+    for i in range(40):  # copies linked to the centre
+        sets[10 + i] = {*range(i, 1000), *range(1000, 1000 + i)}
+    for i in range(12):  # a sub-family 15 % away from the centre
+        sets[100 + i] = {*range(1000)} - {*rng.choice(60, 20, False), *range(60, 190)} | {*range(1000, 1100)} | {*range(2000 + 50 * i, 2050 + 50 * i)}
+    for i in range(30):  # members of many sizes and distances
+        sets[200 + i] = {*rng.choice(1000, rng.integers(600, 1000), False).tolist(), *range(1000, 1000 + rng.integers(0, 200)), *rng.integers(3000, 3100, rng.integers(0, 60)).tolist()}
+    sets = {i: {int(e) for e in x} for i, x in sets.items()}
+    linked = {(a, b) for a in sets for b in sets if a > b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    hashed = spark.createDataFrame([(i, np.array(sorted(x), np.uint64).tobytes()) for i, x in sets.items()], "id long, hashes binary")
+    seen = hold(dedup.compared(spark.createDataFrame([(i, 1) for i in sets if i != 1], "a long, b long"), hashed), "compared")
+    found = dedup.components(seen.filter("100 * both >= 80 * (na + nb - both)").select("a", "b"))
+    of = {r.node: r.component for r in found.collect()}
+    got = {(r.a, r.b) for r in dedup.apart(seen, found, 80).collect()}
+    wanted = {(a, b) for a, b in linked if of.get(a, a) != of.get(b, b)}
+    assert (101, 100) in wanted and wanted <= got
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_near_copies_edges(spark, empty):
     got = dedup.group(edge(spark, empty), words=4).orderBy("doc_id").toPandas()
