@@ -266,6 +266,19 @@ def test_url_templates_learn_purity(spark):
     assert (got.verdict == got.page_id.map(lambda i: "block" if i % 2 else "allow")).all() and set(got.template) == {"/spam/*", "/news/*"}
 
 
+def test_url_evidence_reaches_branches_without_rules(spark):
+    rules = [("bad.io/en/", "block"), ("good.io/en/", "allow"), ("mixed.io/en/", "block"), ("mixed.io/de/", "allow")]
+    urls = [f"http://{h}.io/{s}/{i % 100}" for h in ("bad", "good", "none") for s in ("en", "fr", "es") for i in range(600)]
+    urls += [f"http://mixed.io/{s}/{i}" for s, n in (("en", 20), ("de", 60), ("fr", 40)) for i in range(n)]
+    got = urltree.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).toPandas()
+    assert len(got) == len(urls)
+    free = got[got.rule.isna()]
+    assert free.groupby("host").verdict.agg(set).to_dict() == {"bad.io": {"block"}, "good.io": {"allow"}, "none.io": {"allow"}, "mixed.io": {"allow"}}
+    assert set(got.template[got.host == "bad.io"]) == {"/{*}"} and set(got.template[got.host == "mixed.io"]) == {"/en/*", "/de/*", "/fr/*"}
+    purity = free.drop_duplicates("host").set_index("host").purity
+    assert purity["none.io"] == 0.1 and purity["mixed.io"] == round((20 + 0.4) / 84, 6)
+
+
 def test_chat_masks_cut_out_the_speaker(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, None, "é😀"), (2, None, "ann", "x"), (None, 1, "ann", "y"), (3, 0, "system", "alone")] + [(4, t, "ann" if t % 2 else "bob", f"t{t}") for t in range(200)]
     got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(9))).toPandas()
