@@ -391,12 +391,12 @@ def e9(spark, sf):
 @query("e10_bootstrap")
 def e10(spark, sf):
     ic = stats.daily_ic(predictions(spark, sf).filter("model = 'momentum'"), "pred", "target_excess")
-    return stats.block_bootstrap(ic, "ic", 6).select(*r6("estimate", "ci_low", "ci_high", "p"), "n")
+    return stats.block_bootstrap(ic, "ic", 6, n_boot=1000).select(*r6("estimate", "ci_low", "ci_high", "p"), "n")
 
 
 @query("e12_permutation")
 def e12(spark, sf):
-    return stats.permutation_null(signals(spark, sf), "mom6", "target_excess", reps=20)
+    return stats.permutation_null(signals(spark, sf), "mom6", "target_excess", reps=1000)
 
 
 @query("e14_capm", " SELECT round(regr_slope(r, m), 6) AS beta, round(regr_intercept(r, m), 6) AS alpha, round(regr_r2(r, m), 6) AS r2, count(*) AS n FROM rets WHERE r IS NOT NULL")
@@ -506,8 +506,8 @@ def fold_days(spark, sf, sessions):
 def m5(spark, sf):
     from panelweave.plans import models
 
-    folds = list(enumerate(fold_days(spark, sf, [48, 60])))
-    return models.walk_forward(model_rows(spark, sf), folds, FEATURES, "target_excess", {"elastic_net": models.elastic_net, "boosted": lambda: models.boosted(maxIter=8)}).select("model", "fold", "date", "ticker", "pred")
+    folds = [(r["period"], r["date"]) for r in labels.schedule(A.market(spark, sf), 13, HORIZON, HORIZON, LAG).orderBy("period").collect()]
+    return models.walk_forward(model_rows(spark, sf), folds, FEATURES, "target_excess", {"elastic_net": models.elastic_net, "boosted": models.boosted}).select("model", "fold", "date", "ticker", "pred")
 
 
 @query("m4_training_scopes")
@@ -533,11 +533,15 @@ def m12(spark, sf):
 def m14(spark, sf):
     from panelweave.plans import models
 
-    rows, days = model_rows(spark, sf), fold_days(spark, sf, [40, 42, 60])
-    cv = models.purged_cv(rows, [(days[0], days[1])], FEATURES, "target_excess", models.elastic_net).select(F.lit("elastic_net").alias("model"), "ic")
-    cv = cv.unionByName(stats.daily_ic(rows.filter(F.col("date") < F.lit(days[0])), "mom", "target_excess").select(F.lit("momentum").alias("model"), "ic"))
-    scores = models.walk_forward(rows, [(0, days[2])], FEATURES, "target_excess", {"elastic_net": models.elastic_net}).select("model", "date", "ticker", "sector", "pred")
-    scores = scores.unionByName(rows.filter((F.col("date") == F.lit(days[2])) & F.col("mom").isNotNull()).select(F.lit("momentum").alias("model"), "date", "ticker", "sector", F.col("mom").alias("pred")))
+    rows, lock = model_rows(spark, sf), fold_days(spark, sf, [60])[0]
+    # the half-year of sessions that starts each year, as far as its labels are known before the lock
+    snapshots = labels.yearly_snapshots(A.market(spark, sf), first=6, every=1).filter(F.col("session_no") + LAG + HORIZON < 60)
+    years = snapshots.groupBy(F.year("date").alias("year")).agg(F.min("date").alias("start"), F.max("date").alias("end")).orderBy("year").collect()
+    ic = models.purged_cv(rows, [(r["start"], r["end"]) for r in years], FEATURES, "target_excess", models.elastic_net)
+    cv = ic.select(F.lit("elastic_net").alias("model"), "ic")
+    cv = cv.unionByName(stats.daily_ic(rows.join(ic.select("date"), "date", "left_semi"), "mom", "target_excess").select(F.lit("momentum").alias("model"), "ic"))
+    scores = models.walk_forward(rows, [(0, lock)], FEATURES, "target_excess", {"elastic_net": models.elastic_net}).select("model", "date", "ticker", "sector", "pred")
+    scores = scores.unionByName(rows.filter((F.col("date") == F.lit(lock)) & F.col("mom").isNotNull()).select(F.lit("momentum").alias("model"), "date", "ticker", "sector", F.col("mom").alias("pred")))
     return models.locked_ensemble(cv, scores).select("date", "ticker", "sector", "pick", *r6("blend"))
 
 

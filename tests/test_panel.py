@@ -143,3 +143,30 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     want = tick_bars(events.withColumn("ts", F.col("ts").cast("timestamp"))).toPandas()
     key = ["bar", "ticker"]
     pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True)[want.columns], want.sort_values(key).reset_index(drop=True), check_dtype=False)
+
+
+def test_model_queries_run_the_whole_job(spark, sf, monkeypatch):
+    from panelweave.plans import models
+
+    class Seen(Exception):
+        pass
+
+    def stop(*args, **more):
+        raise Seen(args, more)
+
+    def arguments(module, function, query):
+        with monkeypatch.context() as patch, pytest.raises(Seen) as seen:
+            patch.setattr(module, function, stop)
+            Q.QUERIES[query](spark, sf)
+        return seen.value.args
+
+    calendar = Q.A.market(spark, sf)
+    first, step, last = 13, 6, calendar.agg(F.max("session_no")).first()[0]
+    number = {r["date"]: r["session_no"] for r in calendar.collect()}
+    (_, folds, _, _, estimators), _ = arguments(models, "walk_forward", "m5_walk_forward")
+    assert [number[day] for _, day in folds] == list(range(first, last - 6, step)) and len(folds) > 2
+    assert estimators["boosted"]().getMaxIter() == 100
+    (_, years, *_), _ = arguments(models, "purged_cv", "m14_locked_ensemble")
+    assert len(years) > 1 and all(number[a] <= number[b] < 60 - 7 for a, b in years)
+    assert arguments(stats, "block_bootstrap", "e10_bootstrap")[1]["n_boot"] == 1000
+    assert arguments(stats, "permutation_null", "e12_permutation")[1]["reps"] == 1000
