@@ -1,68 +1,150 @@
 """Document fingerprints by invertible Bloom lookup sketches of paragraphs.
 
-A text is the set of its paragraphs' digests (long paragraphs count as lines of a few words). A
-sketch adds each digest to one cell of each of three subtables. Sketches of two texts
-subtract cell by cell, which leaves what differs; peeling takes digests out of cells that
-hold just one until none is left, and what did not peel is tried again with more cells. The
-number of recovered digests gives the likeness. DataFrame functions only.
+A text is the set of its paragraphs' digests; a paragraph is a line of the text, cut every WORDS
+words, as whole lines are too coarse for texts of one line. A sketch of size m adds each digest to one cell of
+each of three subtables of m cells: a cell holds a count and the XOR of its digests. Only cells that are not
+empty are kept, so a roomy size (SPACE times the digests, up to a power of two) costs nothing. The
+fingerprint is that sketch. Sketches of one size subtract cell by cell, which leaves what differs; peeling takes
+digests out of cells that hold just one until none is left. Texts of two sizes meet at the larger
+one, and a pair that does not peel is drawn again at twice the size. DataFrame and SQL functions only: a
+sketch is an array in its row, so nothing is exploded or grouped.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import hold
+from panelweave.llm.common import hold, partitions
 
-#: Words of a line, cells of a subtable in the fingerprint itself, documents of a bucket.
-WORDS, CELLS, BUCKET = 8, 4, 256
+#: Words of a paragraph at most; cells of a subtable for each digest; cells of a block of a large sketch.
+WORDS, SPACE, BLOCK = 16, 4, 1024
+#: Rounds of peeling at one size, and how often the size may double: far more than ever happen.
+ROUNDS, TRIES = 40, 12
+#: Low bits of a digest that are a hash of its other bits, so a cell that holds several digests is known as such.
+PROOF = 0xFFFF
 
 
 def digests(text: Column) -> Column:
-    """The distinct 64-bit digests of a text's lines."""
+    """The distinct digests of a text's paragraphs: 48 bits of a hash and 16 bits that prove them."""
     lines = F.regexp_extract_all(text, F.lit(r"(?:\S+[^\S\n]*){1,%d}" % WORDS), F.lit(0))
-    return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(F.rtrim(x))))
+    hashes = F.transform(lines, lambda x: F.shiftrightunsigned(F.xxhash64(F.rtrim(x)), 16))
+    return F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(h, 16).bitwiseOR(F.xxhash64(h, F.lit(9)).bitwiseAND(F.lit(PROOF).cast("long")))))
 
 
-def place(key: Column, subtable: int, cells: Column) -> Column:
-    return F.lit(subtable) * cells + F.pmod(F.xxhash64(key, F.lit(subtable)), cells)
+def size_for(n: Column) -> Column:
+    """The least power of two from 16 that is no smaller than SPACE times n."""
+    return F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.greatest(n * SPACE, F.lit(1)))), F.lit(4))).cast("long")
 
 
-def held_in(cell: int):
-    return lambda x: F.pmod(F.xxhash64(x, F.lit(cell // CELLS)), F.lit(CELLS)) == cell % CELLS
+# The rest is SQL text: {names} stand for SQL expressions, and let() names a value that is worked out once.
 
 
-def written(keys: Column) -> Column:
-    """A small sketch as text: count and key of each cell in hexadecimal."""
-    out = []
-    for cell in range(3 * CELLS):
-        inside = F.filter(keys, held_in(cell))
-        out.append(F.lower(F.concat(F.lpad(F.hex(F.size(inside).cast("long")), 4, "0"), F.lpad(F.hex(F.aggregate(inside, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))), 16, "0"))))
-    return F.concat(*out)
+def let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def chained(docs: DataFrame, id_column: str) -> DataFrame:
-    """Every document with the text of the next one by id (after the last: the first), dealt into buckets of ids.
+def entries(keys: str, n: int, size: str) -> str:
+    """The three cells of every digest, each with count n: bits of one hash, which the size salts, so a retry deals anew."""
+    low = f"least({size}, {BLOCK}L)"
+    spots = [f"(h & ({low} - 1)) + {s} * {low}" if not s else f"(shiftright(h, {20 * s}) & ({low} - 1)) + {s} * {low}" for s in range(3)]
+    cells = ", ".join(f"named_struct('cell', {x}, 'n', {n}L, 'key', k)" for x in spots)
+    return f"flatten(transform({keys}, k -> {let('h', f'xxhash64(k, {size})', f'array({cells})')}))"
 
-    Inside a bucket the next row follows; the last row takes the first row of the next bucket. The order of
-    buckets is found on two levels of bucket numbers alone.
+
+def merged(cells: str) -> str:
+    """Cells of one number added up, empty ones left out, in order of their numbers: runs of the sorted numbers."""
+    starts = "filter(sequence(1, size(p)), i -> i = 1 OR shiftright(p[i - 1], 24) <> shiftright(p[i - 2], 24))"
+    at = "e[cast(q & 16777215 as int)]"
+    run = "slice(p, i, coalesce(get(b, j + 1), size(p) + 1) - i)"
+    total = f"named_struct('cell', shiftright(p[i - 1], 24), 'n', aggregate(r, 0L, (x, q) -> x + {at}.n), 'key', aggregate(r, 0L, (x, q) -> x ^ {at}.key))"
+    one = "if(size(r) = 1, e[cast(r[0] & 16777215 as int)], " + total + ")"
+    sums = f"filter(transform(b, (i, j) -> {let('r', run, one)}), c -> c.n <> 0 OR c.key <> 0)"
+    return let("e", cells, f"if(size(e) = 0, e, {let('p', 'sort_array(transform(e, (c, i) -> shiftleft(c.cell, 24) | i))', let('b', starts, sums))})")
+
+
+def drawn(keys: str, n: int, size: str, add=lambda cells: cells) -> str:
+    """Blocks of entries. A digest belongs to one block by its hash, so very long texts cost no more a digest than short ones."""
+    own = f"filter({keys}, k -> pmod(xxhash64(k), {size} div {BLOCK}) = h)"
+    return f"if({size} <= {BLOCK}, array({add(entries(keys, n, size))}), transform(sequence(0L, {size} div {BLOCK} - 1), h -> {add(entries(own, n, size))}))"
+
+
+def sketch(keys: str, size: str) -> str:
+    return drawn(keys, 1, size, merged)
+
+
+def peeled(block: str, size: str) -> str:
+    """Of one block of a difference: cells that stay, digests found with count 1 (plus) and with count -1 (minus)."""
+    pure = f"(abs(c.n) = 1 AND (xxhash64(shiftrightunsigned(c.key, 16), 9) & {PROOF}) = (c.key & {PROOF}))"
+    found = lambda n: f"array_distinct(transform(filter(u, c -> c.n = {n}), c -> c.key))"
+    hits = f"filter(concat({entries('f.plus', -1, size)}, {entries('f.minus', 1, size)}), x -> array_contains(t, x.cell))"
+    rest = f"filter(a.cells, c -> NOT {pure})"
+    after = f"named_struct('cells', if(size(o) = 0, o, {let('t', 'transform(o, c -> c.cell)', merged(f'concat(o, {hits})'))}), 'plus', concat(a.plus, f.plus), 'minus', concat(a.minus, f.minus))"
+    step = let("u", f"filter(a.cells, c -> {pure})", f"if(size(u) = 0, a, {let('f', f"named_struct('plus', {found(1)}, 'minus', {found(-1)})", let('o', rest, after))})")
+    none = "cast(array() as array<bigint>)"
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {block}, 'plus', {none}, 'minus', {none}), (a, z) -> if(size(a.cells) = 0, a, {step}))"
+
+
+def differing(left: str, right: str, own: str, left_size: str, other: str | None, right_size: str) -> Column:
+    """What peeling finds where two lists of digests differ: plus (only left), minus (only right).
+
+    own and other are the lists' sketches and serve where the size is theirs. The size doubles until nothing stays and
+    both lists have equally many digests in common.
+    """
+    x = f"if(s.size = {left_size}, {own}, {drawn(left, 1, 's.size')})"
+    negated = f"transform({other}, m -> transform(m, c -> named_struct('cell', c.cell, 'n', -c.n, 'key', c.key)))"
+    y = drawn(right, -1, "s.size") if other is None else f"if(s.size = {right_size}, {negated}, {drawn(right, -1, 's.size')})"
+    blocks = f"zip_with({x}, {y}, (m, n) -> {let('d', merged('concat(m, n)'), peeled('d', 's.size'))})"
+    done = f"aggregate(w, 0, (i, r) -> i + size(r.cells)) = 0 AND size({left}) - aggregate(w, 0, (i, r) -> i + size(r.plus)) = size({right}) - aggregate(w, 0, (i, r) -> i + size(r.minus))"
+    attempt = let("w", blocks, f"named_struct('size', s.size * 2, 'done', {done}, 'plus', flatten(transform(w, r -> r.plus)), 'minus', flatten(transform(w, r -> r.minus)))")
+    none = "cast(array() as array<bigint>)"
+    start = f"named_struct('size', greatest({left_size}, {right_size}), 'done', false, 'plus', {none}, 'minus', {none})"
+    return F.expr(f"aggregate(sequence(1, {TRIES}), {start}, (s, z) -> if(s.done, s, {attempt}))")
+
+
+def written(size: str, blocks: str) -> Column:
+    """A sketch as text: its size, then cell, count and digests of each cell in hexadecimal, blocks apart."""
+    return F.expr(f"concat(cast({size} as string), ':', array_join(transform({blocks}, b -> array_join(transform(b, c -> concat(hex(c.cell), '.', hex(c.n), '.', hex(c.key))), ',')), ';'))")
+
+
+def search(bounds: list[int], value: Column) -> Column:
+    """How many of the sorted bounds are no greater than value: a binary search."""
+    if not bounds:
+        return F.lit(0)
+    held = F.array(*(F.lit(x).cast("long") for x in bounds))
+    half = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
+
+    def step(s, _):
+        up = F.element_at(held, half(s) + 1) <= value
+        return F.when(s["low"] >= s["high"], s).when(up, F.struct((half(s) + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), half(s).alias("high")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), step, lambda s: s["low"])
+
+
+def chained(docs: DataFrame, id_column: str, buckets: int | None = None) -> DataFrame:
+    """Every document with the text of the next one by id (after the last: the first).
+
+    Documents are dealt by quantiles of their ids into a number of buckets that follows the shuffle partitions, so
+    outlying ids fill no bucket. Inside a bucket the next row follows; its last row takes the first row of the next bucket: one row a bucket.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("id"), F.max("id"), F.count("id")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * BUCKET // max(n or 1, 1))
-    rows = rows.withColumn("bucket", F.coalesce(F.floor((F.col("id") - F.lit(low or 0)) / width), F.lit(-1)).cast("long"))
-    firsts = rows.groupBy("bucket").agg(F.min(F.struct("id", "text")).alias("x")).select(F.col("bucket").alias("first_of"), F.col("x.text").alias("first_text"))
-    ids = rows.select("bucket").distinct().withColumn("over", F.floor(F.col("bucket") / 4096))
-    inner = ids.withColumn("follows", F.lead("bucket").over(Window.partitionBy("over").orderBy("bucket")))
-    outer = ids.groupBy("over").agg(F.min("bucket").alias("least"))  # one row for each 4096 buckets of documents
-    outer = outer.withColumn("turn", F.coalesce(F.lead("least").over(Window.orderBy("over")), F.min("least").over(Window.orderBy("over"))))
-    after = inner.join(outer.select("over", "turn"), "over").select(F.col("bucket").alias("of"), F.coalesce("follows", "turn").alias("follows"))
-    after = hold(after.join(firsts, F.col("follows") == F.col("first_of")).select("of", "first_text"), "bucket-edges")
-    dealt = rows.repartition("bucket")
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63))).alias("id"), F.col(id_column).cast("long").alias("name"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    buckets = buckets or min(16 * partitions(spark), 8192)
+    cuts = [k / buckets for k in range(1, buckets)]
+    found = rows.agg(F.percentile_approx("id", F.array(*(F.lit(c) for c in cuts)), 20 * buckets)).first()[0] if cuts else None
+    rows = rows.withColumn("bucket", search(sorted(set(found or [])), F.col("id")))
+    # one row a bucket: its least id, and the text that goes with it
+    least = rows.groupBy("bucket").agg(F.min("id").alias("least"))
+    firsts = rows.join(F.broadcast(least.select("least")), rows.id == F.col("least"), "left_semi").groupBy("bucket").agg(F.min(F.struct("id", "text")).alias("x"))
+    firsts = firsts.select(F.col("bucket").alias("first_of"), F.col("x.text").alias("first_text"))
+    order = Window.orderBy("bucket")  # over buckets alone, at most 8192 rows
+    turn = least.select(F.col("bucket").alias("of"), F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(order)).alias("follows"))
+    after = hold(turn.join(firsts, F.col("follows") == F.col("first_of")).select("of", "first_text"), "bucket-edges")
+    # at most 8192 texts, one a bucket
     order = Window.partitionBy("bucket").orderBy("id", "text")
-    dealt = dealt.withColumn("keys", digests(F.col("text")))
-    dealt = dealt.withColumn("place", F.row_number().over(order)).withColumn("lead", F.lead(F.struct("text", "keys")).over(order))
-    dealt = dealt.join(after, F.col("bucket") == F.col("of"), "left").drop("of")
+    dealt = rows.repartition("bucket").withColumn("keys", digests(F.col("text"))).withColumn("lead", F.lead(F.struct("text", "keys")).over(order))
+    dealt = dealt.join(after, F.col("bucket") == F.col("of"), "left")
     edge = F.col("lead").isNull()
-    return dealt.withColumn("next", F.when(edge, F.col("first_text")).otherwise(F.col("lead.text"))).withColumn("next_keys", F.when(edge, digests(F.col("first_text"))).otherwise(F.col("lead.keys"))).drop("lead", "first_text")
+    following = F.when(edge, F.struct(F.col("first_text").alias("text"), digests(F.col("first_text")).alias("keys"))).otherwise(F.col("lead"))
+    return dealt.select("name", "text", "keys", following.alias("next"))
 
 
 def edited(text: Column, after: Column) -> Column:
@@ -70,84 +152,28 @@ def edited(text: Column, after: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(after, F.lit(1), half))
 
 
-def peel(pairs: DataFrame, group: list[str], *, phases: int) -> DataFrame:
-    """pairs: group columns, plus and minus (digests), cells; adds found (digests recovered) and left (cells not empty).
-
-    Each phase lets the pure cells of one subtable give their digest back and takes it out of its three
-    cells; as a digest has one cell in each subtable, none goes twice. All phases keep the partitioning of `group`.
-    """
-    entry = lambda sign: lambda x: F.struct(F.lit(sign).alias("sign"), x.alias("key"))
-    rows = pairs.select(*group, "cells", F.explode(F.concat(F.transform("plus", entry(1)), F.transform("minus", entry(-1)))).alias("e"))
-    rows = rows.select(*group, "cells", F.col("e.sign").alias("n"), F.col("e.key").alias("key"), F.explode(F.array(*(place(F.col("e.key"), s, F.col("cells")) for s in range(3)))).alias("cell"))
-    rows = rows.select(*group, "cells", "cell", "n", "key", F.xxhash64("key").alias("proof"))
-    add = lambda r: r.groupBy(*group, "cells", "cell").agg(F.sum("n").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("proof").alias("proof")).filter("n <> 0 or key <> 0")
-    state = add(rows)
-    for phase in range(phases):
-        s = phase % 3
-        pure = (F.abs("n") == 1) & (F.xxhash64("key") == F.col("proof")) & (F.floor(F.col("cell") / F.col("cells")) == s) & (F.col("cell") >= 0)
-        same = F.struct(F.col("cell"), F.col("n"), F.col("key"), F.col("proof"))
-        out = [F.struct(place(F.col("key"), t, F.col("cells")).alias("cell"), (-F.col("n")).alias("n"), F.col("key"), F.col("proof")) for t in range(3) if t != s]
-        # the pure cell itself becomes a mark that counts what was found
-        mark = F.struct(F.lit(-1).cast("long").alias("cell"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("proof"))
-        state = state.select(*group, "cells", F.explode(F.when(pure, F.array(mark, *out)).otherwise(F.array(same))).alias("c"))
-        state = add(state.select(*group, "cells", "c.cell", "c.n", "c.key", "c.proof"))
-    mark = F.col("cell") == -1
-    return state.groupBy(*group).agg(F.coalesce(F.sum(F.when(mark, F.col("n"))), F.lit(0)).alias("found"), F.count(F.when(~mark, 1)).alias("left"))
-
-
-def fingerprint(docs: DataFrame, *, id_column: str = "doc_id", phases: int = 15, growth: int = 2) -> DataFrame:
+def fingerprint(docs: DataFrame, *, id_column: str = "doc_id", buckets: int | None = None) -> DataFrame:
     """n_chars, edited_sha256, fingerprints and likenesses of every text, its edited text and the next document's.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the
-    next document's. Null texts are empty; a null id counts as the lowest; rows of one id follow each other by text.
-    Likeness: shared lines over all lines of both, by the differing digests that peeling recovers; 1 for two
-    texts without lines. A pair that does not peel is tried again with `growth` times the cells.
+    next document's. Null texts are empty; a null id counts as the lowest; rows of one id, repeated rows among them, follow each
+    other by text; a text that stands alone is its own next. An empty table gives no rows; other columns, however named, stay out.
+    Very long texts get sketches of several blocks, and no text is cut.
+    edited_differs and next_differs: the digests that peeling recovered, plus those that only the text has and minus
+    those that only the other has. Likeness: paragraphs in both over paragraphs in either; 1 for two texts without any.
     """
-    spark = docs.sparkSession
-    rows = chained(docs, id_column)
-    other = digests(edited(F.col("text"), F.col("next")))
-    base = rows.withColumn("edited_keys", other)
-    both = F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("keys").alias("plus"), F.col("edited_keys").alias("minus"), F.greatest(F.size("keys"), F.size("edited_keys")).alias("guess")),
-        F.struct(F.lit(1).alias("kind"), F.col("keys").alias("plus"), F.col("next_keys").alias("minus"), (F.size("keys") + F.size("next_keys")).alias("guess")),
-    )
-    pairs = base.select("bucket", "place", F.explode(both).alias("p"))
-    cells = (F.ceil(F.col("p.guess") * 0.5) + 3).cast("long")
-    pairs = pairs.select("bucket", "place", F.col("p.kind").alias("kind"), F.col("p.plus").alias("plus"), F.col("p.minus").alias("minus"), cells.alias("cells"))
-    peeled = peel(pairs, ["bucket", "place", "kind"], phases=phases)
-    peeled = peeled.groupBy("bucket", "place").agg(*(F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}_{k}") for k in (0, 1) for c in ("found", "left")))
-    text = edited(F.col("text"), F.col("next"))
-    info = base.select(F.col("bucket").alias("b"), F.col("place").alias("p"), F.col("id"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode(text, "UTF-8"), 256).alias("edited_sha256"), written(F.col("keys")).alias("fingerprint"), written(F.col("edited_keys")).alias("edited_fingerprint"), "keys", "edited_keys", "next_keys")
-    done = info.join(peeled, (F.col("b") == F.col("bucket")) & (F.col("p") == F.col("place")), "left")
-    failed = (F.coalesce(F.col("left_0"), F.lit(0)) > 0) | (F.coalesce(F.col("left_1"), F.lit(0)) > 0)
-    sizes = [F.size(c).cast("long").alias(n) for c, n in (("keys", "n0"), ("edited_keys", "n1"), ("next_keys", "n2"))]
-    done = done.select("b", "p", "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *sizes, *(F.coalesce(F.col(f"{c}_{k}"), F.lit(0)).cast("long").alias(f"{c}_{k}") for k in (0, 1) for c in ("found", "left")), *(F.when(failed, F.col(c)).alias(c) for c in ("keys", "edited_keys", "next_keys")))
-    # both sides of the join lie by bucket already; the default would ask for place as well and move the texts again
-    setting = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
-    try:
-        done = hold(done, "fingerprints")
-    finally:
-        spark.conf.set(setting, before)
-    found = done.select("b", "p", *(F.col(f"found_{k}") for k in (0, 1)))
-    open_ = done.filter("left_0 > 0 or left_1 > 0").select("b", "p", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"left_{k}").alias("left"), F.col("keys").alias("plus"), F.col(c).alias("minus"), (F.size("keys") + F.size(c)).cast("long").alias("cells")) for k, c in ((0, "edited_keys"), (1, "next_keys"))))).alias("x")).filter("x.left > 0").select("b", "p", "x.kind", "x.plus", "x.minus", "x.cells")
-    again = []
-    while not open_.isEmpty():
-        tried = hold(open_.join(peel(open_, ["b", "p", "kind"], phases=2 * phases), ["b", "p", "kind"], "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("found", "left")}), "peeled-again")
-        again.append(tried.filter("left = 0").select("b", "p", "kind", "found"))
-        open_ = tried.filter("left > 0").select("b", "p", "kind", "plus", "minus", (F.col("cells") * growth + 7).alias("cells"))
-    if again:
-        late = again[0]
-        for more in again[1:]:
-            late = late.union(more)
-        late = late.groupBy("b", "p").agg(*(F.max(F.when(F.col("kind") == k, F.col("found"))).alias(f"late_{k}") for k in (0, 1)))
-        found = found.join(late, ["b", "p"], "left").select("b", "p", *(F.coalesce(f"late_{k}", f"found_{k}").alias(f"found_{k}") for k in (0, 1)))
-        done = done.drop("found_0", "found_1").join(found, ["b", "p"])
-
-    def likeness(n: str, differ: str) -> Column:
-        total = F.col("n0") + F.col(n)
-        shared = (total - F.col(differ)) / 2
-        return F.when(total == 0, 1.0).otherwise(F.round(shared / (total - shared), 6))
-
-    return done.select(F.col("id").alias(id_column), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("n1", "found_0").alias("near_edited"), likeness("n2", "found_1").alias("near_next"))
+    rows = chained(docs, id_column, buckets).withColumn("other", edited(F.col("text"), F.col("next.text")))
+    rows = rows.select("name", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("other", "UTF-8"), 256).alias("edited_sha256"), F.col("keys").alias("k0"), digests(F.col("other")).alias("k1"), F.col("next.keys").alias("k2"))
+    rows = rows.withColumns({f"m{i}": size_for(F.size(f"k{i}")) for i in range(3)})
+    rows = rows.withColumn("own", F.expr(sketch("k0", "m0"))).withColumn("changed", F.expr(sketch("k1", "m1")))
+    rows = rows.withColumn("e", differing("k0", "k1", "own", "m0", "changed", "m1")).withColumn("f", differing("k0", "k2", "own", "m0", None, "m2"))
+
+    def likeness(found: str) -> Column:
+        both, either = f"(size(k0) - size({found}.plus))", f"(size(k0) + size({found}.minus))"
+        return F.expr(f"if({either} = 0, 1D, round({both} / {either}, 6))")
+
+    differs = lambda c: F.struct(f"{c}.plus", f"{c}.minus")
+    return rows.select(
+        F.col("name").alias(id_column), "n_chars", "edited_sha256", written("m0", "own").alias("fingerprint"), written("m1", "changed").alias("edited_fingerprint"),
+        likeness("e").alias("near_edited"), likeness("f").alias("near_next"), differs("e").alias("edited_differs"), differs("f").alias("next_differs"),
+    )

@@ -66,7 +66,8 @@ def op8_chat(spark, sf_dir):
 
 
 def op9_fingerprints(spark, sf_dir):
-    return fingerprint.fingerprint(table(spark, sf_dir, "documents"))
+    found = fingerprint.fingerprint(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 OP10_SQL = """

@@ -293,7 +293,7 @@ def test_fingerprints_equal_set_arithmetic(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.limit(120).collect()] + [(9000, None), (9001, ""), (9002, "one line"), (9003, "one line"), (9004, "w " * 9000)]
     got = fingerprint.fingerprint(spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(0))).toPandas().set_index("doc_id")
     rows.sort()
-    lines = lambda t: {m[0].rstrip(" ") for m in re.finditer(r"(?:\S+[^\S\n]*){1,8}", t)}
+    lines = lambda t: {m[0].rstrip(" ") for m in re.finditer(r"(?:\S+[^\S\n]*){1,16}", t)}
     for k, (i, text) in enumerate(rows):
         text, after = text or "", rows[(k + 1) % len(rows)][1] or ""
         half = len(text) // 2
@@ -303,6 +303,38 @@ def test_fingerprints_equal_set_arithmetic(spark, docs):
             a, b = lines(text), lines(other)
             assert abs(got[column][i] - (len(a & b) / len(a | b) if a | b else 1)) < 1e-5
     assert got.fingerprint[9002] == got.fingerprint[9003] and got.near_next[9002] == 1
+    plain = lambda t: [{k: v for k, v in ((c.split(".")[0], c.split(".")[1:]) for c in b.split(",") if c)} for b in t.partition(":")[2].split(";")]
+    pairs = 0
+    for i in got.index:  # the printed fingerprints, subtracted and peeled in plain Python, give the same digests back
+        a, b = got.fingerprint[i], got.edited_fingerprint[i]
+        if a.partition(":")[0] != b.partition(":")[0]:
+            continue
+        plus, minus = set(), set()
+        for x, y in zip(plain(a), plain(b), strict=True):
+            cells = {c: [int(x.get(c, ["0", "0"])[0], 16) - int(y.get(c, ["0", "0"])[0], 16), int(x.get(c, ["0", "0"])[1], 16) ^ int(y.get(c, ["0", "0"])[1], 16)] for c in {*x, *y}}
+            once = lambda text, key: sum(1 for c in text.values() if int(c[1], 16) == key and c[0] == "1")
+            for _ in range(30):
+                for n, key in {(n, k) for n, k in cells.values() if abs(n) == 1}:
+                    if once(x, key) or once(y, key) or sum(1 for v in cells.values() if v == [n, key]) > 1:
+                        (plus if n > 0 else minus).add(key)
+                break
+        signed = lambda ks: {k % 2**64 for k in ks}
+        assert signed(plus) <= signed(got.edited_differs[i]["plus"]) and signed(minus) <= signed(got.edited_differs[i]["minus"])
+        pairs += bool(plus)
+    assert pairs > 50
+
+
+def test_fingerprints_of_scattered_ids(spark, docs):
+    ids = [*range(100, 250), 10**15, 10**17, -5]
+    rows = [(i, r.text) for i, r in zip(ids, docs.limit(len(ids)).collect(), strict=True)]
+    got = fingerprint.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), buckets=16).toPandas().set_index("doc_id")
+    rows.sort()
+    for k, (i, text) in enumerate(rows):
+        text, after = text or "", rows[(k + 1) % len(rows)][1] or ""
+        half = len(text) // 2
+        assert got.edited_sha256[i] == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+    largest = fingerprint.chained(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", 16)
+    assert largest.count() == len(rows)
 
 
 def test_fingerprints_of_few(spark):
