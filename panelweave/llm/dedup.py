@@ -143,6 +143,33 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
+def members_of(nodes: DataFrame, bits: int = 26):
+    """A test that every id of nodes passes and few others do: a Bloom filter of 2 ** bits bits, 8 MB by default, whatever the number of nodes.
+
+    Where nodes are too many for it, it lets more of the others pass and saves less; the result does not hang on it.
+    """
+
+    def spots(ids) -> np.ndarray:
+        x = np.asarray(ids.fill_null(0)).astype(np.int64).view(np.uint64)
+        with np.errstate(over="ignore"):
+            return np.stack([mix(x + STEP * np.uint64(k + 1)) >> np.uint64(64 - bits) for k in range(3)])
+
+    def fill(batches):
+        for batch in batches:
+            at = spots(batch.column("id")).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "mask"])
+
+    words = nodes.mapInArrow(fill, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[words.word.to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
+
+    def test(ids) -> np.ndarray:
+        at = spots(ids)
+        return ((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
+
+    return test
+
+
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """For pairs a, b: the sizes na, nb of their sets, how many they have in both, and what of a is outside b."""
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
@@ -204,7 +231,8 @@ def group(docs: DataFrame, *, words: int = 5, share: int = 80, bands: int = 32,
     probability 5e-8. A bucket compares its members with a centre alone, the member that meets most
     others, so copies are not expanded into pairs; pairs that this may have left apart are found by
     the elements that they share outside the centre (see apart). No link within a bucket is lost.
-    Rows that repeat an id count as one node.
+    Rows that repeat an id count as one node, with the set whose bytes come first; repeated rows stay. An empty table
+    gives no rows; other columns, however named, stay out; very long texts are taken whole. A null id is never kept.
     """
     signed = hold(signatures(docs, words=words, bands=bands, rows=rows, id_column=id_column), "signatures")
     classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "keys")).alias("x"))
@@ -216,16 +244,19 @@ def group(docs: DataFrame, *, words: int = 5, share: int = 80, bands: int = 32,
     meets = shared.groupBy("id").agg(F.sum("size").alias("meets"))
     centre = shared.join(meets, "id").groupBy("key").agg(F.max_by("id", F.struct("meets", -F.col("n"), -F.col("id"))).alias("centre"))
     shared = hold(shared.join(centre, "key").select("id", "centre").distinct(), "buckets")
-    nodes = shared.select("id").distinct()
+    nodes = hold(shared.select("id").distinct(), "nodes")
+    among = members_of(nodes)
 
     def cut(batches):
+        """The sets of the nodes. Most other rows are passed over here, so their sets are not shuffled; the join drops the rest."""
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch.filter(pa.array(among(batch.column("id"))))):
                 hashes = [s.tobytes() for s in shingle_sets(part.column("text"), words)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(hashes, pa.binary())], ["id", "hashes"])
 
-    texts = whole_texts(docs, id_column).select(F.col(id_column).cast("long").alias("id"), "text").join(nodes, "id", "left_semi")
-    sets = hold(texts.mapInArrow(cut, "id long, hashes binary").dropDuplicates(["id"]), "sets")
+    texts = whole_texts(docs, id_column).select(F.col(id_column).cast("long").alias("id"), "text")
+    cuts = texts.mapInArrow(cut, "id long, hashes binary").join(nodes, "id", "left_semi")
+    sets = hold(cuts.groupBy("id").agg(F.min("hashes").alias("hashes")), "sets")
     linked = 100 * F.col("both") >= share * (F.col("na") + F.col("nb") - F.col("both"))
     seen = hold(compared(shared.select(F.col("id").alias("a"), F.col("centre").alias("b")).filter("a <> b").distinct(), sets), "compared")
     links = seen.filter(linked).select("a", "b")

@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import crc_mod, hold, letter_words, slices, whole_texts
+from panelweave.llm.common import CACHE_WORDS, crc_mod, hold, letter_words, slices, whole_texts
 
-#: Longest piece and longest stretch of a word that is segmented at once; longer words are cut into such stretches.
-PIECE, STRETCH = 8, 24
+#: Characters after which the forward sums of a longer word are scaled, so that they do not vanish.
+SCALED = 16
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-8
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -41,14 +41,14 @@ def vocabulary(path: str) -> list[str]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         raw = [model.id_to_piece(i).replace("▁", "") for i in range(model.get_piece_size())]
-    return sorted({x.lower() for x in raw if x.isalpha() and len(x) <= PIECE})
+    return sorted({x.lower() for x in raw if x.isalpha()})
 
 
 class Lattice:
     """Finds the pieces in words, all words at once, by rolling hashes of their substrings."""
 
     def __init__(self, pieces: list[str]):
-        self.pieces, self.size = pieces, len(pieces)
+        self.pieces, self.size, self.longest = pieces, len(pieces), max(map(len, pieces), default=1)
         hashes = np.array([self._hash(p) for p in pieces], np.uint64)
         bits = 20
         self.shift = np.uint64(64 - bits)
@@ -84,59 +84,64 @@ class Lattice:
         for n in np.unique(length):
             if not n:
                 continue
-            for at in np.array_split(np.flatnonzero(length == n), max(1, int((length == n).sum()) // 20_000)):
+            same = np.flatnonzero(length == n)
+            most = min(int(n), self.longest)
+            for at in np.array_split(same, max(1, len(same) * int(n) * most // 800_000)):
                 c = np.frombuffer("".join([words[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).T.astype(np.uint64) + np.uint64(1)
-                found = np.full((n, min(n, PIECE), len(at)), self.size, np.int32)
+                found = np.full((n, most, len(at)), self.size, np.int32)
                 h = np.zeros_like(c)
                 with np.errstate(over="ignore"):
-                    for m in range(min(n, PIECE)):
+                    for m in range(most):
                         h = h[: n - m] * MULTIPLIER + c[m:]
                         found[: n - m, m] = self.find(h)
                 yield at, found
 
-    def forward(self, found: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """alpha[end, word] of one language: the summed probability of all segmentations up to each end."""
+    def forward(self, found: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(alpha, logs)[end, word] of one language: alpha * exp(logs) is the summed probability of all segmentations up to each end."""
         n, longest, words = found.shape
-        alpha = np.zeros((n + 1, words))
+        alpha, logs = np.zeros((n + 1, words)), np.zeros((n + 1, words))
         alpha[0] = 1
         for start in range(n):
+            if start and start % SCALED == 0:
+                scale = alpha[start].copy()
+                alpha[start : start + longest] /= scale
+                logs[start:] += np.log(scale)
             alpha[start + 1] += alpha[start] * UNKNOWN
             for m in range(min(longest, n - start)):
                 alpha[start + m + 1] += alpha[start] * p[found[start, m]]
-        return alpha
+        return alpha, logs
 
     def expected(self, found: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over all segmentations of the words, each word with its weight."""
         n, longest, words = found.shape
-        alpha = self.forward(found, p)
-        beta = np.zeros((n + 1, words))
+        alpha, logs = self.forward(found, p)
+        beta, back = np.zeros((n + 1, words)), np.zeros((n + 1, words))
         beta[n] = 1
         for start in range(n - 1, -1, -1):
+            if start < n - 1 and (n - 1 - start) % SCALED == 0:
+                scale = beta[start + 1].copy()
+                beta[start + 1 : start + 1 + longest] /= scale
+                back[: start + 1 + longest] += np.log(scale)
             beta[start] = beta[start + 1] * UNKNOWN
             for m in range(min(longest, n - start)):
                 beta[start] += p[found[start, m]] * beta[start + m + 1]
-        out, scale = np.zeros(self.size + 1), weight / np.maximum(alpha[n], 1e-300)
+        out, total = np.zeros(self.size + 1), np.log(np.maximum(alpha[n], 1e-300)) + logs[n]
         for start in range(n):
             for m in range(min(longest, n - start)):
-                out += np.bincount(found[start, m], alpha[start] * p[found[start, m]] * beta[start + m + 1] * scale, self.size + 1)
+                share = weight * np.exp(logs[start] + back[start + m + 1] - total) if n > SCALED else weight / np.maximum(alpha[n], 1e-300)
+                out += np.bincount(found[start, m], alpha[start] * p[found[start, m]] * beta[start + m + 1] * share, self.size + 1)
         out[self.size] = 0
         return out
 
 
-def stretches(word: str) -> list[str]:
-    return [word[i : i + STRETCH] for i in range(0, len(word), STRETCH)] if len(word) > STRETCH else [word]
-
-
 def word_scores(lattice: Lattice, p: np.ndarray, words: list[str]) -> np.ndarray:
     """log P(word | language) for words and languages."""
-    parts = [stretches(w) for w in words]
-    flat = [x for s in parts for x in s]
-    out = np.zeros((len(flat), len(p)))
-    for at, found in lattice.words(flat):
+    out = np.zeros((len(words), len(p)))
+    for at, found in lattice.words(words):
         for k in range(len(p)):
-            out[at, k] = np.log(np.maximum(lattice.forward(found, p[k])[-1], 1e-300))
-    counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    return np.add.reduceat(out, np.r_[0, np.cumsum(counts)[:-1]]) if len(words) else out
+            alpha, logs = lattice.forward(found, p[k])
+            out[at, k] = np.log(np.maximum(alpha[-1], 1e-300)) + logs[-1]
+    return out
 
 
 class Model:
@@ -149,7 +154,7 @@ def train(docs: DataFrame, *, vocabulary_path: str, held_out=None, sample_rows:
 
     sample_rows bounds the rows a language gives (in expectation: rows are taken by a hash of the
     id). Word counts and expectations are Spark aggregations; the driver gets one number for each
-    language and piece of the fixed vocabulary. No labelled row: a model without languages.
+    language and piece of the fixed vocabulary. No labelled row, or an empty table: a model without languages. Null texts teach nothing.
     """
     spark = docs.sparkSession
     base = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -188,9 +193,8 @@ def train(docs: DataFrame, *, vocabulary_path: str, held_out=None, sample_rows:
                 k = np.array([known[x] for x in langs], np.int64)
                 for at_language in range(len(languages)):
                     rows = np.flatnonzero(k == at_language)
-                    flat = [(x, n[i]) for i in rows for x in stretches(words[i])]
-                    weight = np.array([w for _, w in flat], float)
-                    for at, found in lattice.words([x for x, _ in flat]):
+                    weight = n[rows].astype(float)
+                    for at, found in lattice.words([words[i] for i in rows]):
                         total[at_language] += lattice.expected(found, p[at_language], weight[at])
             k, piece = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(piece), pa.array(total[k, piece])], ["language", "piece", "n"])
@@ -209,11 +213,13 @@ def predict(docs: DataFrame, model: Model, *, id_column: str = "doc_id", keep: t
     """lang_pred and score (posterior of the predicted language) of each whole text.
 
     Null or letterless texts, and all texts under a model without languages, give `und` with
-    score 0. Words unknown to every language count alike for each. Repeated rows stay repeated.
+    score 0. Words unknown to every language count alike for each; of languages that score alike the first by name wins.
+    Repeated rows stay repeated, an empty table gives no rows. keep: columns that stay (with `text`, null as the empty text);
+    others, however named, go. Texts and words of any length are scored whole.
     """
-    rows = whole_texts(docs, id_column, *keep)
+    rows = whole_texts(docs, id_column, *(c for c in keep if c != "text"))
     languages, pieces, p, prior = model.languages, model.pieces, model.p, model.prior
-    head = [f for f in rows.schema if f.name != "text"]
+    head = [f for f in rows.schema if f.name != "text" or "text" in keep]
 
     def score(batches):
         lattice, seen, table = Lattice(pieces), {}, np.zeros((0, len(languages)))
@@ -221,7 +227,7 @@ def predict(docs: DataFrame, model: Model, *, id_column: str = "doc_id", keep: t
             for part in slices(batch):
                 words, codes, offsets = letter_words(part.column("text"))
                 words = words.to_pylist()
-                if len(seen) > 2_000_000:
+                if len(seen) > CACHE_WORDS:
                     seen, table = {}, table[:0]
                 new = list(dict.fromkeys(w for w in words if w not in seen))
                 seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.llm.common import hold, slices, whole_texts
+from panelweave.llm.common import CACHE_WORDS, hold, slices, whole_texts
 
 #: Texts of these characters alone take the fast way to the same ids: ASCII and Latin-1 letters and signs.
 PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{ff}]"
@@ -101,8 +101,8 @@ def pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int, id_co
     def cut(batches):
         encode = Encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, limit=8_000_000):
-                if len(encode.known) > 1_500_000:
+            for part in slices(batch):
+                if len(encode.known) > CACHE_WORDS:
                     encode = Encoder(tokenizer)
                 at, start, length, crc, total = [], [], [], [], []
                 for i, ids in enumerate(encode(part.column("text"))):
@@ -222,14 +222,14 @@ def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 4096, end_id: int =
     sizes = ranked.groupBy("w", "part").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("w").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("w", "part", before.alias("before"))
-    ranked = ranked.withColumn("own", F.row_number().over(Window.partitionBy("w", "part").orderBy(id_column, "start")) - 1).join(sizes, ["w", "part"])
+    ranked = ranked.withColumn("own", F.row_number().over(Window.partitionBy("w", "part").orderBy(id_column, "start", "length", "ids_crc32")) - 1).join(sizes, ["w", "part"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("own"))
     # a few rows for each width class and pattern: bounded by classes
     places = spark.createDataFrame(slots, "w int, low long, high long, base long, per long")
     placed = ranked.join(F.broadcast(places), "w").filter("rank >= low and rank < high")
     placed = placed.withColumn("sequence_id", F.col("base") + F.floor((F.col("rank") - F.col("low")) / F.col("per")).cast("long"))
     inside = Window.partitionBy("sequence_id")
-    ordered = inside.orderBy(F.desc("length"), id_column, "start").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = inside.orderBy(F.desc("length"), id_column, "start", "ids_crc32", "rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(ordered), F.lit(0))).withColumn("filled", F.sum("length").over(inside))
     padded = F.when(F.col("filled").bitwiseAND(F.col("filled") - 1) == 0, F.col("filled")).otherwise(F.lit(capacity).cast("long"))
     return placed.select(id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", padded.alias("padded_length"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.llm.common import code_points, crc_mod, hold, letter_words, slices, whole_texts
+from panelweave.llm.common import CACHE_WORDS, code_points, crc_mod, hold, letter_words, slices, whole_texts
 
 #: Characters that one subsequence may span, and the kernel's decay for each.
 SPAN, DECAY = 6, 0.7
@@ -292,18 +292,18 @@ def _largest(rows: DataFrame, machine: Machine, keep: tuple[str, ...]) -> DataFr
     """The machine's largest value f over the units of each whole text; -4 for a text without units."""
     head = [rows.schema[c] for c in keep]
 
-    def score(batches):
+    def score(batches):  # keep may name the text too: it comes back as it went
         seen, values = {}, np.zeros(0)
         for batch in batches:
             for part in slices(batch):
                 words, codes, offsets = text_units(part.column("text"))
                 words_list = words.to_pylist()
-                if len(seen) > 2_000_000:
+                if len(seen) > CACHE_WORDS:
                     seen, values = {}, values[:0]
                 new = list(dict.fromkeys(w for w in words_list if w not in seen))
                 seen.update(zip(new, range(len(seen), len(seen) + len(new)), strict=True))
-                for at in range(0, len(new), 40_000):
-                    values = np.r_[values, machine.units(pa.array(new[at : at + 40_000], pa.string()))]
+                for at in range(0, len(new), 10_000):
+                    values = np.r_[values, machine.units(pa.array(new[at : at + 10_000], pa.string()))]
                 value = values[np.fromiter((seen[w] for w in words_list), np.int64, len(words_list))]
                 value[np.array([len(w) < 2 for w in words_list], bool)] = -4
                 out = np.full(part.num_rows, -4.0)
@@ -315,12 +315,14 @@ def _largest(rows: DataFrame, machine: Machine, keep: tuple[str, ...]) -> DataFr
     return rows.mapInArrow(score, T.StructType([*head, T.StructField("f", T.DoubleType())]))
 
 
-def predict(docs: DataFrame, machine: Machine, *, id_column: str = "doc_id", threshold: float = 0.7) -> DataFrame:
+def predict(docs: DataFrame, machine: Machine, *, id_column: str = "doc_id", threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
     """score (0 to 1) and predicted (1 at the threshold or above) of each whole text.
 
-    Null and empty texts, or those without letters, get the lowest score; repeated rows stay repeated.
+    Null and empty texts, or those without letters, get the lowest score; repeated rows stay repeated, and equal texts score alike.
+    An empty table gives no rows. keep: columns that stay (with `text`, null as the empty text); others, however named, go.
+    Very long texts are scored slice by slice, whole.
     """
     a, b = machine.scale
-    f = _largest(whole_texts(docs, id_column), machine, (id_column,))
+    f = _largest(whole_texts(docs, id_column, *(c for c in keep if c != "text")), machine, (id_column, *keep))
     score = 1 / (1 + F.exp(-(F.least(F.greatest(F.col("f"), F.lit(-4.0)), F.lit(4.0)) * a + b)))
-    return f.select(id_column, score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return f.select(id_column, *keep, score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -45,6 +45,19 @@ def test_language_forward_sums_all_segmentations():
     def brute(w):
         return 1.0 if not w else sum((p[0, pieces.index(w[:k])] if w[:k] in pieces else 0.0) * brute(w[k:]) for k in range(1, len(w) + 1))
 
+    def logs(w):  # the same sum in exact fractions
+        from fractions import Fraction
+
+        sums = [Fraction(1)] + [Fraction(0)] * len(w)
+        for end in range(1, len(w) + 1):
+            sums[end] = sums[end - 1] * Fraction(langid.UNKNOWN) + sum(sums[s] * Fraction(p[0, pieces.index(w[s:end])]) for s in range(max(0, end - 3), end) if w[s:end] in pieces)
+        x = sums[-1]
+        return float(np.log(x.numerator // x.denominator)) if x > 1 else -(x.denominator * 10**6 // x.numerator).bit_length() * np.log(2) + np.log(1e6)
+
+    long = ["abab" * 20 + "zzzzz" * 4 + "b", "z" * 90]
+    assert np.allclose(langid.word_scores(lattice, p, long)[:, 0], [logs(w) for w in long], atol=1.0)
+    one, two = (lattice.expected(found, p[0], np.ones(len(at))) for w in ("ab" * 40, "ab" * 80) for at, found in lattice.words([w]))
+    assert np.isclose(one[:-1] @ [len(x) for x in pieces], 80, rtol=1e-6) and np.isclose(two[:-1] @ [len(x) for x in pieces], 160, rtol=1e-6)
     words = ["ab", "aba", "abab", "b", "bbaab"]
     assert np.allclose(np.exp(langid.word_scores(lattice, p, words)[:, 0]), [brute(w) for w in words], rtol=1e-3)
 
