@@ -12,35 +12,53 @@ from panelweave.llm.common import hold, table
 from panelweave.llm.queries import vocabulary_file
 
 
+COLUMNS = ("text", "lang", "source", "n_chars")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a known language; texts without letters and undecided ones go."""
+    """Documents whose text is in a known language; null texts, texts without letters and undecided ones go.
+
+    Repeated rows and rows that share an id stay; other columns go; an empty table gives an empty one.
+    """
     model = langid.train(docs, vocabulary_path=vocabulary_file("piece_bpe_32k.model"))
-    found = langid.predict(docs.withColumn("raw", F.col("text")), model, keep=("lang", "source", "n_chars", "raw"))
-    return found.filter("lang_pred <> 'und' and score >= 0.5").select("doc_id", F.col("raw").alias("text"), "lang", "source", "n_chars")
+    found = langid.predict(docs, model, keep=COLUMNS)
+    return found.filter("lang_pred <> 'und' and score >= 0.5").select("doc_id", *COLUMNS)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the machine does not call toxic. It learns from all labelled rows: none is held out here."""
+    """Documents that the machine does not call toxic. It learns from all labelled rows: none is held out here.
+
+    Null and empty texts are not toxic and stay, as do repeated rows; without labels all rows stay.
+    """
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"), out=F.lit(False))
-    verdicts = toxicity.predict(docs, machine).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    found = toxicity.predict(docs.withColumn("none", F.col("text").isNull()), machine, keep=("none", *COLUMNS))
+    return found.filter("predicted = 0").withColumn("text", F.when(~F.col("none"), F.col("text"))).select("doc_id", *COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by five-word shingles at a similarity of 0.8."""
+    """One document of each group of near copies, by five-word shingles at a similarity of 0.8: that of the smallest id.
+
+    A repeated row stays once; different texts under one id that is kept stay; rows without an id stay, equal ones once.
+    Null and empty texts are copies of nothing.
+    """
     kept = dedup.group(docs, words=5, share=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", "n_chars")
+    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select("doc_id", *COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture wants them; rarer domains are raised and no document is dropped."""
+    """Documents as often as the mixture wants them; rarer domains are raised and no document is dropped.
+
+    Rows of one id share its rate; rows without an id, and those without tokens, come once.
+    """
     labelled = mixing.domains_of(docs, table(spark, sf_dir, "labels"))
-    copies = mixing.mix(docs, labelled, power=0.8, least=1.0).select("doc_id", "copies").dropDuplicates(["doc_id"])
-    return docs.join(copies, "doc_id").select("doc_id", "text", "lang", "source", "n_chars", F.explode(F.expr("array_repeat(0, copies)")).alias("again")).drop("again")
+    copies = mixing.mix(docs, labelled, power=0.8, least=1.0).filter("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    named = docs.join(copies, "doc_id").withColumn("again", F.explode(F.expr("array_repeat(0, copies)")))
+    return named.select("doc_id", *COLUMNS).unionByName(docs.filter("doc_id is null").select("doc_id", *COLUMNS))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens. Null and empty texts are the end id alone; an empty table gives no rows."""
     return packing.pack(docs, tokenizer=vocabulary_file("word_bpe_49k.json"), capacity=4096, end_id=2)
 
 
