@@ -1,14 +1,12 @@
 """Stupid-backoff scores from n-gram counts of the whole corpus.
 
-Texts are dealt into blocks. A block sends its distinct n-grams, hashed and with their counts,
-to the count tables, which are partitioned by that hash; a table adds up all blocks and
-answers each with the corpus counts of what it sent. Blocks then look their documents'
-n-grams up and sum the scores per document. Pre-aggregation per block means that a very frequent
-n-gram is one entry a block, not one a document.
+Texts are dealt into blocks, and every block explodes into its distinct n-grams of all orders, one row each with
+its count: so a very frequent n-gram is one row a block, not one a document. These rows are dealt by the n-gram's hash;
+there they add up to the count table and are joined with it. The joined rows go back to their blocks, where each document
+looks its n-grams up and sums its scores.
 """
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -38,66 +36,35 @@ def grams(texts: pa.Array, order: int):
     return out, of
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Counts in the narrowest width that holds them, deflated."""
-    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(x) or x.max() <= np.iinfo(k).max)
-    return kind[1:].encode() + zlib.compress(x.astype(kind).tobytes(), 1)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[2:]), "<" + data[:2].decode()).astype(np.int64)
-
-
-def parted(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(3)) % np.uint64(parts)).astype(np.int64)
-
-
-def score(docs: DataFrame, *, order: int = 2, backoff: float = 0.4, id_column: str = "doc_id", block_chars: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, id_column: str = "doc_id", block_chars: int = 8_000_000) -> DataFrame:
     """n_tokens, n_backed_off and lm_score (mean log score of a token) of every document.
 
     Tokens are letters between white space, in lower case. Counts are over the corpus without the
     document itself, so a text does not vouch for itself: an n-gram seen elsewhere scores
     its count over its context's; else backoff times the score one order lower; a word seen nowhere
     else counts as one of all tokens. Null, empty and letterless texts have no tokens and a null score.
-    Rows that repeat an id are documents of their own.
+    Rows that repeat an id are documents of their own, and repeated rows stay. An empty table gives no rows;
+    other columns, however named, stay out. A very long text is one document of its block and is scored whole.
+    block_chars: characters of a block, which a task holds at once.
     """
     spark = docs.sparkSession
     rows = whole_texts(docs, id_column)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(partitions(spark), math.ceil(chars / block_chars))
-    parts = blocks
-    dealt = rows.select(F.col(id_column).cast("long").alias("id"), "text", F.pmod(F.xxhash64(id_column), F.lit(blocks)).cast("long").alias("block"))
+    dealt = rows.select(F.col(id_column).cast("long").alias("id"), "text", F.pmod(F.xxhash64(id_column, "text"), F.lit(blocks)).cast("long").alias("block"))
 
-    def send(table: pa.Table) -> pa.Table:
+    def explode(table: pa.Table) -> pa.Table:
         keys, _ = grams(table.column("text").combine_chunks(), order)
         keys, counts = np.unique(np.concatenate(keys), return_counts=True)
         keys, counts = keys[keys > 0], counts[keys > 0]
-        to = parted(keys, parts)
-        by = np.argsort(to, kind="stable")
-        cut = np.flatnonzero(np.r_[True, np.diff(to[by]) > 0, True]) if len(by) else np.zeros(1, int)
-        runs = [by[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        block = table.column("block")[0].as_py()
-        return pa.table({"block": pa.array([block] * len(runs), pa.int64()), "part": pa.array([int(to[r[0]]) for r in runs], pa.int64()), "keys": pa.array([keys[r].tobytes() for r in runs], pa.binary()), "counts": pa.array([packed(counts[r]) for r in runs], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-        counts = np.concatenate([unpacked(x.as_py()) for x in table.column("counts")])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, counts).astype(np.int64)[inverse]
-        ends = np.cumsum([len(k) for k in keys])
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "totals": pa.array([packed(total[b - len(k) : b]) for k, b in zip(keys, ends, strict=True)], pa.binary())})
+        return pa.table({"block": pa.array(np.full(len(keys), table.column("block")[0].as_py())), "gram": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
 
     def look_up(texts: pa.Table, answers: pa.Table) -> pa.Table:
         keys, of = grams(texts.column("text").combine_chunks(), order)
         n = texts.num_rows
-        known = np.unique(np.concatenate(keys))
-        known = known[known > 0]
-        to, totals = parted(known, parts), np.zeros(len(known), np.int64)
-        by = np.argsort(to, kind="stable")
-        order_of = to[by]
-        for part, answer in zip(answers.column("part").to_pylist(), answers.column("totals"), strict=True):
-            a, b = np.searchsorted(order_of, [part, part + 1])
-            totals[by[a:b]] = unpacked(answer.as_py())
+        known, totals = np.asarray(answers.column("gram")).view(np.uint64), np.asarray(answers.column("total"))
+        by = np.argsort(known)
+        known, totals = known[by], totals[by]
 
         def others(key: np.ndarray) -> np.ndarray:
             """Corpus counts of the n-grams at each token, less the document's own."""
@@ -127,8 +94,9 @@ def score(docs: DataFrame, *, order: int = 2, backoff: float = 0.4, id_column: s
         by_all = np.bincount(of, last, n) if len(of) else np.zeros(n)
         return pa.table({"id": texts.column("id"), "n_tokens": pa.array(tokens.astype(np.int64)), "n_backed_off": pa.array((np.bincount(of, depth > 0, n) if len(of) else np.zeros(n)).astype(np.int64)), "sum": pa.array(sums), "by_all": pa.array(by_all)})
 
-    sent = dealt.groupBy("block").applyInArrow(send, "block long, part long, keys binary, counts binary")
-    answers = sent.groupBy("part").applyInArrow(add, "block long, part long, totals binary")
+    exploded = dealt.groupBy("block").applyInArrow(explode, "block long, gram long, n long").repartition(blocks, "gram")
+    counts = exploded.groupBy("gram").agg(F.sum("n").alias("total"))  # lies by gram already, as does the join
+    answers = exploded.join(counts, "gram").select("block", "gram", "total")
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(look_up, "id long, n_tokens long, n_backed_off long, sum double, by_all double")
     found = hold(found, "lm-sums")
     tokens = found.agg(F.sum("n_tokens")).first()[0] or 1

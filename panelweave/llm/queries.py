@@ -41,7 +41,7 @@ def op10_topk(spark, sf_dir):
 
 
 def op3_lm(spark, sf_dir):
-    return lm.score(table(spark, sf_dir, "documents"))
+    return lm.score(table(spark, sf_dir, "documents")).withColumn("lm_score", F.round("lm_score", 6))
 
 
 #: Wanted shares of tokens by domain.
@@ -70,16 +70,42 @@ def op9_fingerprints(spark, sf_dir):
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+OP3_SQL = """
+WITH listed AS (
+  SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\s+')) AS raw, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\\s+'), 1) AS i FROM documents
+), words AS (
+  SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p
+  FROM (SELECT doc_id, i, regexp_replace(lower(raw), '[^\\p{L}]+', '', 'g') AS word FROM listed) WHERE word <> ''
+), grams AS (
+  SELECT *, lag(word) OVER d AS w1, lag(word, 2) OVER d AS w2 FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY p)
+), counted AS (
+  SELECT *, count(*) OVER (PARTITION BY word) - count(*) OVER (PARTITION BY doc_id, word) AS c1,
+         count(*) OVER (PARTITION BY w1, word) - count(*) OVER (PARTITION BY doc_id, w1, word) AS c2,
+         count(*) OVER (PARTITION BY w2, w1, word) - count(*) OVER (PARTITION BY doc_id, w2, w1, word) AS c3, count(*) OVER () AS n
+  FROM grams
+), context AS (
+  SELECT *, lag(c1) OVER d AS x1, lag(c2) OVER d AS x2 FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY p)
+), scored AS (
+  SELECT doc_id, CASE WHEN w2 IS NOT NULL AND c3 > 0 THEN ln(c3 / greatest(x2, c3))
+       WHEN w1 IS NOT NULL AND c2 > 0 THEN ln(c2 / greatest(x1, c2)) + CASE WHEN w2 IS NOT NULL THEN ln(0.4) ELSE 0 END
+       ELSE ln(greatest(c1, 1) / n) + ln(0.4) * (CASE WHEN w2 IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN w1 IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN c1 = 0 THEN 1 ELSE 0 END) END AS s,
+       CASE WHEN w2 IS NOT NULL THEN c3 = 0 WHEN w1 IS NOT NULL THEN c2 = 0 ELSE c1 = 0 END AS fell
+  FROM context
+)
+SELECT doc_id, count(s) AS n_tokens, count(*) FILTER (WHERE fell) AS n_backed_off, round(avg(s), 6) AS lm_score
+FROM documents LEFT JOIN scored USING (doc_id) GROUP BY doc_id
+"""
+
 OP10_SQL = """
 WITH fine AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM fine q JOIN fine c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0
+  SELECT q.r AS of, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM fine q JOIN fine c ON c.r <> q.r AND len(c.v) = len(q.v) WHERE q.vec_id % 50 = 0
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY of ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
@@ -96,4 +122,4 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_topk": op10_topk,
 }
-ORACLES: dict[str, str] = {"op8_chat": chat.ROTATE_SQL, "op10_topk": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_lm": OP3_SQL, "op8_chat": chat.ROTATE_SQL, "op10_topk": OP10_SQL}

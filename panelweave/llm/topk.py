@@ -13,16 +13,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.llm.common import hold
+
 
 def threshold_search(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
-    """For each query: positions and scores of its k best vectors, ties to the smaller id, without its own id."""
+    """For each query: positions and scores of its k best vectors, ties to the smaller id, without its own row (own: its position, or -1)."""
     n = len(vectors)
     order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
     for q, me in zip(queries, own, strict=True):
         used = np.flatnonzero(q)
         down = q[used] > 0
         seen, scores, scored = np.zeros(n, bool), np.zeros(n, vectors.dtype), 0
-        depth, step, valid, bound = 0, 32, ids != me, None
+        depth, step, valid, bound = 0, 32, np.arange(n) != me, None
         while depth < n:
             if len(used):
                 last = min(depth + step, n)
@@ -54,35 +56,40 @@ def _put(scores: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
 def search(vectors: DataFrame, *, is_query, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 256, block: int = 4096, query_block: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each query row by integer inner product.
 
-    Components become floor(scale * x). Null vectors, those with null or non-finite components and
-    empty ones take no part; repeated equal rows count once; vectors of another length than the query's are
-    no candidates. Fewer candidates than k give fewer rows. The queries (a stated set) meet all
-    rows in blocks: rows * query blocks + queries * blocks rows are moved.
+    Components become floor(scale * x). Null vectors, those with null or non-finite components, empty ones, and those
+    with a component beyond 2**24 after scaling (sums of 2**15 such products still fit a long) take no part. Candidates are all other rows:
+    rows that share an id, equal ones among them, are candidates of each other, and each query row has ranks of its own.
+    Vectors of another length than the query's are no candidates. Fewer candidates than k give fewer rows; ties go to the smaller id,
+    and an empty table gives no rows. Other columns, however named, stay out. A row of a block of candidates is dealt once; the
+    queries (a stated set) go to every block, in parts of query_block: queries * blocks rows are moved, and each block's vectors once for each part.
     """
     x = F.col(vector_column)
-    fine = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    fine = x.isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double") * scale) > float(2**24)))
     whole = F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double")))
-    rows = vectors.filter(fine & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).dropDuplicates(["id", "v"])
+    rows = vectors.filter(fine & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    # a row's own number: equal rows differ in it. Held, so that a task that runs again does not number anew.
+    rows = hold(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, asked = rows.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
     blocks, asked_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(asked / query_block))
-    key = F.xxhash64("id")
-    left = rows.select(F.pmod(key, F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))).alias("qb"), "id", "v")
-    right = rows.filter("q").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(F.shiftright(key, 20), F.lit(asked_blocks)).cast("int").alias("qb"), "id", "v")
+    key = F.xxhash64("row")
+    left = rows.select(F.pmod(key, F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(asked_blocks - 1))).alias("qb"), "row", "id", "v")
+    right = rows.filter("q").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(F.shiftright(key, 20), F.lit(asked_blocks)).cast("int").alias("qb"), "row", "id", "v")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [(np.zeros(0, np.int64),) * 3]
+        out = [(np.zeros(0, np.int64),) * 4]
         for size, part in b.groupby(b.v.map(len)):
             same = a[a.v.map(len) == size]
             if len(same):
                 vectors, queries = np.stack(same.v.to_numpy()), np.stack(part.v.to_numpy())
-                ids = same.id.to_numpy(np.int64)
+                ids, at = same.id.to_numpy(np.int64), {r: i for i, r in enumerate(same.row)}
                 limit = int(np.abs(vectors).max()) * int(np.abs(queries).max()) * int(size)
                 kind = np.float32 if limit < 2**24 else np.float64 if limit < 2**53 else np.int64  # exact in each case
-                for own, (best, scores) in zip(part.id, threshold_search(queries.astype(kind), part.id.to_numpy(np.int64), vectors.astype(kind), ids, k), strict=True):
-                    out.append((np.full(len(best), own), ids[best], scores.astype(np.int64)))
-        query, found, score = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pd.DataFrame({"query_id": query, "vec_id": found, "score": score})
+                own = [at.get(r, -1) for r in part.row]
+                for row, query, (best, scores) in zip(part.row, part.id, threshold_search(queries.astype(kind), own, vectors.astype(kind), ids, k), strict=True):
+                    out.append((np.full(len(best), row), np.full(len(best), query), ids[best], scores.astype(np.int64)))
+        row, query, found, score = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pd.DataFrame({"row": row, "query_id": query, "vec_id": found, "score": score})
 
-    best = right.groupBy("b", "qb").cogroup(left.groupBy("b", "qb")).applyInPandas(lambda b, a: meet(a, b), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = right.groupBy("b", "qb").cogroup(left.groupBy("b", "qb")).applyInPandas(lambda b, a: meet(a, b), "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
