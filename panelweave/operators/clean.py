@@ -13,7 +13,7 @@ def ticker_name(c: Column) -> Column:
 def rename_tickers(df: DataFrame, aliases: DataFrame, deny: list[str] | None = None) -> DataFrame:
     """aliases: old, new. Denied names keep theirs."""
     known = aliases.filter(~F.col("old").isin(deny or [])) if deny else aliases
-    return df.join(F.broadcast(known), df.ticker == known.old, "left").withColumn("ticker", F.coalesce("new", "ticker")).drop("old", "new")
+    return df.join(known, df.ticker == known.old, "left").withColumn("ticker", F.coalesce("new", "ticker")).drop("old", "new")
 
 
 def standard_columns(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
@@ -54,7 +54,7 @@ def clean_bars(raw: DataFrame, start, end) -> DataFrame:
 def eligibility(df: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """eligible and a status, from member, volume and identified; blocked: tickers never eligible."""
     if blocked is not None:
-        df = df.join(F.broadcast(blocked.select("ticker").distinct().withColumn("_b", F.lit(True))), "ticker", "left").withColumn("blocked", F.coalesce("_b", F.lit(False))).drop("_b")
+        df = df.join(blocked.select("ticker").distinct().withColumn("_b", F.lit(True)), "ticker", "left").withColumn("blocked", F.coalesce("_b", F.lit(False))).drop("_b")
     else:
         df = df.withColumn("blocked", F.lit(False))
     status = F.when(~F.col("member"), "not_member").when(F.col("blocked"), "blocked").when(~F.coalesce(F.col("identified"), F.lit(True)), "unidentified").when(F.coalesce(F.col("volume"), F.lit(0)) <= 0, "no_trade").otherwise("eligible")
@@ -62,10 +62,15 @@ def eligibility(df: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
 
 
 def universe_contract(frame: DataFrame, pit: DataFrame) -> DataFrame:
-    """Snapshot rows must be known by their date; what has no snapshot or no trade is not eligible."""
-    known = pit.filter(F.col("known_at") <= F.col("date")).select("date", "ticker", F.col("eligible").alias("_e"))
-    rows = frame.join(known, ["date", "ticker"], "left")
-    return rows.withColumn("note", F.when(F.col("_e").isNull(), "unmatched").when(F.coalesce(F.col("volume"), F.lit(0)) <= 0, "no_trade").when(~F.col("_e"), "ineligible")).withColumn("eligible", F.col("note").isNull()).drop("_e")
+    """Rows against snapshots (date, ticker, eligible, known_at): a note says why a row is not eligible.
+
+    unmatched: no snapshot; known_late: none that was known by its date; no_trade; ineligible. Snapshots of one key count as one, eligible only if all are.
+    """
+    known = F.col("known_at") <= F.col("date")
+    one = pit.groupBy("date", "ticker").agg(F.bool_and(F.when(known, F.col("eligible"))).alias("_e"), F.lit(True).alias("_s"))
+    rows = frame.join(one, ["date", "ticker"], "left")
+    note = F.when(F.col("_s").isNull(), "unmatched").when(F.col("_e").isNull(), "known_late").when(F.coalesce(F.col("volume"), F.lit(0)) <= 0, "no_trade").when(~F.col("_e"), "ineligible")
+    return rows.withColumn("note", note).withColumn("eligible", F.col("note").isNull()).drop("_e", "_s")
 
 
 def last_sector(df: DataFrame, order: str) -> DataFrame:

@@ -32,7 +32,7 @@ def densify(bars: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def attach_sector(df: DataFrame, sectors: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(sectors.select("ticker", "sector")), "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("UNKNOWN")))
+    return df.join(sectors.select("ticker", "sector"), "ticker", "left").withColumn("sector", F.coalesce("sector", F.lit("UNKNOWN")))
 
 
 def paired(case: DataFrame, base: DataFrame, key: str, value: str) -> DataFrame:

@@ -26,11 +26,14 @@ def horizon_labels(panel: DataFrame, calendar: DataFrame, horizon: int, lag: int
 
 
 def forward_outcomes(bars: DataFrame, horizon: int, year: int, start: int = 1) -> DataFrame:
-    """Volatility and worst drawdown over the observed rows t+start .. t+start+horizon of a ticker; start 0 includes the signal's row."""
+    """Volatility of simple returns and worst drawdown over a ticker's rows t+start .. t+start+horizon; start 0 includes the signal's row.
+
+    Null where the rows run out or a price among them is missing, not finite or not positive.
+    """
     w = Window.partitionBy("ticker").orderBy("date").rowsBetween(start, start + horizon)
-    rows = bars.withColumn("_p", F.collect_list("close").over(w))
-    full = F.size("_p") == horizon + 1
-    pairs = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda i: F.log(F.element_at("_p", i + 1) / F.element_at("_p", i)))
+    rows = bars.withColumn("_p", F.transform(F.collect_list(F.struct("close")).over(w), lambda x: x["close"]))
+    full = (F.size("_p") == horizon + 1) & F.forall("_p", lambda x: F.coalesce((x > 0) & (x < float("inf")), F.lit(False)))
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda i: F.element_at("_p", i + 1) / F.element_at("_p", i) - 1)
     mean = F.aggregate("_r", F.lit(0.0), lambda a, x: a + x) / horizon
     var = F.aggregate("_r", F.lit(0.0), lambda a, x: a + F.pow(x - F.col("_a"), 2)) / (horizon - 1)
     rows = rows.withColumn("_r", F.when(full, pairs)).withColumn("_a", mean)

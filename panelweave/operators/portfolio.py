@@ -36,23 +36,56 @@ def drawdown_of(path: DataFrame, keys: list[str], value: str = "wealth") -> Data
     return path.withColumn("_d", F.col(value) / peak - 1).groupBy(*keys).agg(F.min("_d").alias("mdd"))
 
 
-def settle(holdings: DataFrame, prices: DataFrame, calendar: DataFrame, keys: list[str], n: int, tolerance: float = 1e-6) -> DataFrame:
+def settle(holdings: DataFrame, prices: DataFrame, calendar: DataFrame, keys: list[str], n: int, tolerance: float = 1e-6, relative: float = 1e-5) -> DataFrame:
     """One row a period with status, settled return, drawdown, missing weight, coverage and assumption returns.
 
-    holdings: keys, ticker, entry_date, exit_date, target (the label's simple return). The status is the first that
-    holds: insufficient_candidates, missing_calendar, unresolved_return, unresolved_path, endpoint_mismatch, settled_path.
-    Assumptions fill what is missing at 0, -50 % and -100 % whatever the status.
+    holdings: keys, ticker, entry_date, exit_date, target (the label's simple return); a return under -100 % is an error. The status is the
+    first that holds: insufficient_candidates (not exactly n names: all else is null), missing_calendar (entry or exit is no session),
+    unresolved_return, unresolved_path (a price of a name and session is missing or not positive), endpoint_mismatch (some name's
+    prices disagree with its return), settled_path. Assumptions fill missing returns at 0, -50 % and -100 %. The return is settled
+    once every name's is known, whatever the path; the drawdown is given for settled paths alone.
     """
-    base = holdings.groupBy(*keys).agg(F.count("*").alias("selected"), F.min("entry_date").alias("entry_date"), F.max("exit_date").alias("exit_date"), F.count("target").alias("_known"), F.avg("target").alias("_mean"), *(F.avg(F.coalesce("target", F.lit(x))).alias(f"assumption_{name}") for name, x in (("flat", 0.0), ("loss50", -0.5), ("loss100", -1.0))))
-    walk = paths(holdings.filter(F.col("exit_date").isNotNull()), prices, calendar, keys)
-    ends = walk.groupBy(*keys).agg(F.max_by("wealth", "date").alias("_end"), F.avg("known").alias("path_coverage"), F.min("known").alias("_least"))
-    rows = base.join(ends, keys, "left").join(drawdown_of(walk, keys), keys, "left")
+    total = F.coalesce(F.sum("target"), F.lit(0.0))
+    assumed = [((total + (F.count("*") - F.count("target")) * x) / n).alias(f"assumption_{name}") for name, x in (("flat", 0.0), ("loss50", -0.5), ("loss100", -1.0))]
+    days = calendar.select(F.col("date").alias("_day"))
+    held = holdings.join(F.broadcast(days.withColumnRenamed("_day", "_in")), F.col("entry_date") == F.col("_in"), "left").join(F.broadcast(days.withColumnRenamed("_day", "_out")), F.col("exit_date") == F.col("_out"), "left")
+    base = held.groupBy(*keys).agg(F.count("*").alias("selected"), F.min("entry_date").alias("entry_date"), F.max("exit_date").alias("exit_date"), F.count("target").alias("_known"), F.avg("target").alias("_mean"), F.min("target").alias("_worst"), F.bool_and(F.col("_in").isNotNull() & F.col("_out").isNotNull()).alias("_dated"), *assumed)
+    base = base.withColumn("selected", F.when(F.col("_worst") < -1, F.raise_error(F.lit("a return under -100 %"))).otherwise(F.col("selected")))
+    grid = holdings.select(*keys, "ticker", "entry_date", "exit_date", "target").join(F.broadcast(days), (F.col("_day") >= F.col("entry_date")) & (F.col("_day") <= F.col("exit_date")))
+    grid = grid.join(prices.select("ticker", F.col("date").alias("_day"), "close"), ["ticker", "_day"], "left").withColumn("_p", F.when(F.col("close") > 0, F.col("close")))
+    names = grid.groupBy(*keys, "ticker").agg(F.max(F.when(F.col("_day") == F.col("entry_date"), F.col("_p"))).alias("_first"), F.max(F.when(F.col("_day") == F.col("exit_date"), F.col("_p"))).alias("_end"), F.first("target").alias("_t"), F.count("_p").alias("_valid"), F.count("*").alias("_all"))
+    agree = F.abs(F.col("_end") / F.col("_first") - 1 - F.col("_t")) <= tolerance + relative * F.abs(F.col("_t"))
+    paths_ = names.groupBy(*keys).agg((F.sum("_valid") / F.sum("_all")).alias("path_coverage"), F.bool_and(F.coalesce(agree, F.lit(False))).alias("_agree"))
+    wealth = grid.join(names.select(*keys, "ticker", "_first"), [*keys, "ticker"]).groupBy(*keys, F.col("_day").alias("date")).agg(F.avg(F.col("_p") / F.col("_first")).alias("wealth"))
+    rows = base.join(paths_, keys, "left").join(drawdown_of(wealth, keys), keys, "left")
+    enough, known = F.col("selected") == n, F.col("_known") == F.col("selected")
     status = (
-        F.when(F.col("selected") < n, "insufficient_candidates").when(F.col("exit_date").isNull(), "missing_calendar").when(F.col("_known") < F.col("selected"), "unresolved_return")
-        .when(F.coalesce(F.col("_least"), F.lit(0.0)) < 1, "unresolved_path").when(F.abs(F.col("_end") - 1 - F.col("_mean")) > tolerance, "endpoint_mismatch").otherwise("settled_path")
+        F.when(~enough, "insufficient_candidates").when(~F.col("_dated"), "missing_calendar").when(~known, "unresolved_return")
+        .when(F.coalesce("path_coverage", F.lit(0.0)) < 1, "unresolved_path").when(~F.col("_agree"), "endpoint_mismatch").otherwise("settled_path")
     )
-    rows = rows.withColumn("status", status).withColumn("missing_weight", 1 - F.col("_known") / F.col("selected"))
-    return rows.withColumn("return_settled", F.when(F.col("status") == "settled_path", F.col("_mean"))).drop("_known", "_mean", "_end", "_least")
+    rows = rows.withColumns({"status": status, "missing_weight": F.when(enough, 1 - F.col("_known") / F.col("selected")), "return_settled": F.when(enough & known, F.col("_mean"))})
+    rows = rows.withColumns({f"assumption_{name}": F.when(enough, F.col(f"assumption_{name}")) for name in ("flat", "loss50", "loss100")})
+    rows = rows.withColumn("path_coverage", F.when(enough & F.col("_dated"), F.col("path_coverage"))).withColumn("mdd", F.when(F.col("status") == "settled_path", F.col("mdd")))
+    return rows.drop("_known", "_mean", "_worst", "_dated", "_agree")
+
+
+def summarise(periods: DataFrame, walk: DataFrame, by: list[str], period: str = "period", year: int = 12, limit: float = -0.15) -> DataFrame:
+    """Settled periods of a strategy as one: a return where every period is settled and each entry is the exit before, a
+    drawdown and volatility where every path is settled too, and whether the drawdown keeps to the limit.
+
+    periods: what settle gives, with `by` among its keys; walk: `paths` of the same holdings.
+    """
+    order = Window.partitionBy(*by).orderBy(period)
+    rows = periods.withColumn("_next", F.coalesce(F.col("entry_date") == F.lag("exit_date").over(order), F.row_number().over(order) == 1))
+    known, path = F.col("return_settled").isNotNull(), F.col("status") == "settled_path"
+    out = rows.groupBy(*by).agg(
+        F.count("*").alias("n_periods"), F.count("return_settled").alias("settled_periods"), F.count(F.when(path, 1)).alias("path_periods"), F.avg("return_settled").alias("mean_period_return_available"),
+        F.when(F.bool_and(F.col("_next") & known), F.exp(F.sum(F.log1p("return_settled"))) - 1).alias("cumulative_return"), F.bool_and(F.col("_next") & path).alias("_whole"),
+    )
+    out = out.join(chained(walk, by, period, year).select(*by, "mdd", "annualized_volatility"), by, "left")
+    out = out.withColumns({c: F.when(F.col("_whole"), F.col(c)) for c in ("mdd", "annualized_volatility")})
+    preference = F.when(~F.col("_whole"), "unresolved").when(F.col("mdd") >= limit, "met_observed_path").otherwise("not_met")
+    return out.withColumn("status", F.when(F.col("_whole"), "complete_path").otherwise("incomplete")).withColumn("mdd_15_preference", preference).drop("_whole")
 
 
 def loss50_path(holdings: DataFrame, prices: DataFrame, calendar: DataFrame, keys: list[str]) -> DataFrame:

@@ -108,15 +108,28 @@ def draw(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def block_bootstrap(series: DataFrame, value: str, block: int, n_boot: int = 200, seed: int = 42, order: str = "date") -> DataFrame:
-    """Moving-block bootstrap of a mean: estimate, percentile interval, and the centred two-sided p."""
+def block_bootstrap(series: DataFrame, value: str, block: int, calendar: DataFrame | None = None, n_boot: int = 1000, seed: int = 42, least_blocks: int = 10, order: str = "date") -> DataFrame:
+    """Moving-block bootstrap of a mean over the calendar's span of the series: estimate, interval, two-sided p and a status.
+
+    The interval reflects the quantiles of the centred means, p counts centred means at least as far out as the estimate. Both are null with fewer than
+    least_blocks whole blocks (insufficient_blocks) or where the calendar has a date that the series lacks (calendar_gaps_in_metric).
+    """
+    if calendar is not None:
+        ends = series.filter(F.col(value).isNotNull()).agg(F.min(order).alias("_a"), F.max(order).alias("_b"))
+        span = calendar.crossJoin(F.broadcast(ends)).filter(F.col(order).between(F.col("_a"), F.col("_b"))).agg(F.count("*").alias("span"))
+    else:
+        span = series.filter(F.col(value).isNotNull()).agg(F.count("*").alias("span"))
     rows = series.filter(F.col(value).isNotNull()).select(order, F.col(value).alias("v")).withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1).select("i", "v")
-    size = rows.agg(F.count("*").alias("n"), F.avg("v").alias("estimate")).filter(F.col("n") >= block)
-    draws = size.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
+    size = rows.agg(F.count("*").alias("n"), F.avg("v").alias("estimate")).crossJoin(span)
+    size = size.withColumn("status", F.when(F.col("span") > F.col("n"), "calendar_gaps_in_metric").when(F.floor(F.col("span") / block) < least_blocks, "insufficient_blocks").otherwise("conditional_inference"))
+    draws = size.filter("status = 'conditional_inference'").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
     draws = draws.withColumn("start", draw(F.lit(str(seed)), "rep", "b") % (F.col("n") - block + 1)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
     draws = draws.filter(F.col("b") * block + F.col("k") < F.col("n")).withColumn("i", F.col("start") + F.col("k"))
-    means = draws.join(F.broadcast(rows), "i").groupBy("rep").agg(F.round(F.avg("v"), 12).alias("m"), F.first("estimate").alias("estimate"), F.first("n").alias("n"))
-    return means.agg(F.first("estimate").alias("estimate"), F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high"), ((F.count(F.when(F.abs(F.col("m") - F.col("estimate")) >= F.abs("estimate"), 1)) + 1) / (F.count("*") + 1)).alias("p"), F.first("n").alias("n"))
+    means = draws.join(F.broadcast(rows), "i").groupBy("rep").agg((F.avg("v") - F.first("estimate")).alias("c"), F.first("estimate").alias("e"))
+    means = means.withColumn("c", F.round("c", 12))
+    out = means.agg(F.percentile("c", F.lit(0.975)).alias("_high"), F.percentile("c", F.lit(0.025)).alias("_low"), ((F.count(F.when(F.abs("c") >= F.abs("e"), 1)) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("_reps"))
+    out = size.crossJoin(out).withColumn("p", F.when(F.col("_reps") > 0, F.col("p")))
+    return out.select("estimate", (F.col("estimate") - F.col("_high")).alias("ci_low"), (F.col("estimate") - F.col("_low")).alias("ci_high"), "p", "n", F.floor(F.col("span") / block).alias("full_blocks"), "status")
 
 
 def permutation_null(df: DataFrame, pred: str, target: str, q: int = 5, reps: int = 50, seed: int = 42) -> DataFrame:

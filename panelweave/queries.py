@@ -113,15 +113,14 @@ def p5(spark, sf):
 
 
 @query("s7_ingest", """, byflag AS (SELECT ticker, date, l_returnflag AS source FROM lines GROUP BY ALL),
-r AS (SELECT * FROM byflag WHERE source = 'R'), okr AS (SELECT ticker FROM r GROUP BY 1 HAVING count(*) >= 62),
-a AS (SELECT * FROM byflag WHERE source = 'A' AND ticker NOT IN (SELECT ticker FROM okr)),
-got AS (SELECT * FROM r UNION ALL SELECT * FROM a)
-SELECT s.ticker, count(g.date) AS n_rows, count(g.date) >= 62 AS collected,
-       CASE WHEN count(g.date) >= 62 THEN NULL WHEN count(g.date) = 0 THEN 'no_rows' ELSE 'too_few_rows' END AS reason
-FROM sect s LEFT JOIN got g USING (ticker) GROUP BY s.ticker""")
+per AS (SELECT ticker, source, count(*) AS n FROM byflag WHERE source IN ('R', 'A') GROUP BY ALL),
+best AS (SELECT ticker, coalesce(max(n) FILTER (WHERE source = 'R' AND n >= 36), max(n) FILTER (WHERE source = 'A' AND n >= 36)) AS n FROM per GROUP BY ticker)
+SELECT s.ticker, coalesce(b.n, 0) AS n_rows, b.n IS NOT NULL AS collected,
+       CASE WHEN b.n IS NOT NULL THEN NULL WHEN b.ticker IS NULL THEN 'no_rows' ELSE 'too_few_rows' END AS reason
+FROM sect s LEFT JOIN best b USING (ticker)""")
 def s7(spark, sf):
     raw = A.monthly_bars(spark, sf, "l_returnflag").withColumnRenamed("l_returnflag", "source")
-    return S.ingest([raw.filter("source = 'R'"), raw.filter("source = 'A'")], A.sectors(spark, sf), 62)[1]
+    return S.ingest([raw.filter("source = 'R'"), raw.filter("source = 'A'")], A.sectors(spark, sf), 36)[1]
 
 
 @query("q2_validate", """, x AS (SELECT count(*) FILTER (WHERE date IS NULL) a, count(*) FILTER (WHERE close <= 0) c, count(*) FILTER (WHERE high < low) h FROM bars)
@@ -244,14 +243,14 @@ def l1(spark, sf):
 
 
 @query("l3_outcomes", """, y AS (SELECT ticker, date, list(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS p FROM bars)
-SELECT ticker, date, CASE WHEN len(p) = 7 THEN round(list_stddev_samp(list_transform(range(1, 7), lambda i: ln(p[i + 1] / p[i]))) * sqrt(12), 6) END AS future_vol,
+SELECT ticker, date, CASE WHEN len(p) = 7 THEN round(list_stddev_samp(list_transform(range(1, 7), lambda i: p[i + 1] / p[i] - 1)) * sqrt(12), 6) END AS future_vol,
        CASE WHEN len(p) = 7 THEN round(list_min(list_transform(range(1, 8), lambda i: p[i] / list_max(p[1:i]) - 1)), 6) END AS future_mdd FROM y""")
 def l3(spark, sf):
     return labels.forward_outcomes(A.monthly_bars(spark, sf), HORIZON, YEAR).select("ticker", "date", *r6("future_vol", "future_mdd"))
 
 
 @query("l5_future_risk", """, y AS (SELECT ticker, date, list(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS p FROM bars),
-o AS (SELECT ticker, date, round(list_stddev_samp(list_transform(range(1, 7), lambda i: ln(p[i + 1] / p[i]))) * sqrt(12), 8) AS v, round(list_min(list_transform(range(1, 8), lambda i: p[i] / list_max(p[1:i]) - 1)), 8) AS d FROM y WHERE len(p) = 7),
+o AS (SELECT ticker, date, round(list_stddev_samp(list_transform(range(1, 7), lambda i: p[i + 1] / p[i] - 1)) * sqrt(12), 8) AS v, round(list_min(list_transform(range(1, 8), lambda i: p[i] / list_max(p[1:i]) - 1)), 8) AS d FROM y WHERE len(p) = 7),
 s AS (SELECT *, round((coalesce((v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0), 0) - coalesce((d - avg(d) OVER w) / nullif(stddev_pop(d) OVER w, 0), 0)) / 2, 10) AS z FROM o WINDOW w AS (PARTITION BY date))
 SELECT ticker, date, round(z, 6) AS risk_score, z >= round(quantile_cont(z, 0.7) OVER (PARTITION BY date), 10) AS future_risky FROM s""")
 def l5(spark, sf):
@@ -382,21 +381,34 @@ def e6(spark, sf):
 
 @query("e9_hac", PRED + IC + """, s AS (SELECT ic, row_number() OVER (ORDER BY date) AS i FROM ic WHERE model = 'momentum'), mu AS (SELECT avg(ic) AS m, count(*) AS n FROM s),
 c AS (SELECT b.i - a.i AS lag, sum((a.ic - m) * (b.ic - m)) AS s FROM s a JOIN s b ON b.i - a.i BETWEEN 0 AND 5 CROSS JOIN mu GROUP BY 1)
-SELECT round(m, 6) AS mean, n, round(sqrt((SELECT sum(CASE WHEN lag = 0 THEN s ELSE 2 * (1 - lag / 6.0) * s END) FROM c)) / n, 6) AS se FROM mu""")
+SELECT round(m, 6) AS mean, n, round(sqrt((SELECT sum(CASE WHEN lag = 0 THEN s ELSE 2 * (1 - lag / 6.0) * s END) FROM c)) / n, 6) AS se, round(m / (sqrt((SELECT sum(CASE WHEN lag = 0 THEN s ELSE 2 * (1 - lag / 6.0) * s END) FROM c)) / n), 5) AS t FROM mu""")
 def e9(spark, sf):
     ic = stats.daily_ic(predictions(spark, sf).filter("model = 'momentum'"), "pred", "target_excess")
-    return stats.hac_mean(ic, "ic", 5).select(*r6("mean"), "n", *r6("se"))
+    return stats.hac_mean(ic, "ic", 5).select(*r6("mean"), "n", *r6("se"), F.round("t", 5).alias("t"))
 
 
-@query("e10_bootstrap")
+@query("e10_bootstrap", PRED + IC + """, x AS (SELECT ic, date, row_number() OVER (ORDER BY date) - 1 AS i FROM ic WHERE model = 'momentum'),
+size AS (SELECT count(*) AS n, avg(ic) AS e, (SELECT count(*) FROM cal WHERE date BETWEEN (SELECT min(date) FROM x) AND (SELECT max(date) FROM x)) AS span FROM x),
+st AS (SELECT *, CASE WHEN span > n THEN 'calendar_gaps_in_metric' WHEN floor(span / 6.0) < 10 THEN 'insufficient_blocks' ELSE 'conditional_inference' END AS status FROM size),
+d AS (SELECT rep, b, k, ('0x' || substr(md5('42|' || rep || '|' || b), 1, 8))::BIGINT % (n - 5) + k AS i FROM st, range(1000) r(rep), range(0, CAST(ceil(n / 6.0) AS BIGINT)) q(b), range(6) z(k) WHERE b * 6 + k < n AND status = 'conditional_inference'),
+m AS (SELECT rep, round(avg(ic) - (SELECT e FROM st), 12) AS c FROM d JOIN x USING (i) GROUP BY rep),
+a AS (SELECT quantile_cont(c, 0.975) AS high, quantile_cont(c, 0.025) AS low, (count(*) FILTER (WHERE abs(c) >= (SELECT abs(e) FROM st)) + 1) / (count(*) + 1.0) AS p, count(*) AS reps FROM m)
+SELECT round(e, 6) AS estimate, round(e - high, 6) AS ci_low, round(e - low, 6) AS ci_high, round(CASE WHEN reps > 0 THEN p END, 6) AS p, n, CAST(floor(span / 6.0) AS BIGINT) AS full_blocks, status FROM st, a""")
 def e10(spark, sf):
     ic = stats.daily_ic(predictions(spark, sf).filter("model = 'momentum'"), "pred", "target_excess")
-    return stats.block_bootstrap(ic, "ic", 6, n_boot=1000).select(*r6("estimate", "ci_low", "ci_high", "p"), "n")
+    return stats.block_bootstrap(ic, "ic", 6, A.market(spark, sf).select("date"), n_boot=1000).select(*r6("estimate", "ci_low", "ci_high", "p"), "n", "full_blocks", "status")
 
 
-@query("e12_permutation")
+@query("e12_permutation", """, f AS (SELECT date, ticker, mom6, target_excess AS t FROM sig WHERE target_excess IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY mom6, ticker) AS rn, count(*) OVER (PARTITION BY date) AS n FROM f),
+b AS (SELECT *, CAST(greatest(1, coalesce(ceil((rn - 1) * 5.0::DOUBLE / nullif(n - 1, 0)), 1)) AS INTEGER) AS bucket FROM k),
+g AS (SELECT *, count(*) FILTER (WHERE bucket = 5) OVER (PARTITION BY date) AS n_top, count(*) FILTER (WHERE bucket = 1) OVER (PARTITION BY date) AS n_low FROM b),
+o AS (SELECT avg(s) AS observed FROM (SELECT date, avg(t) FILTER (WHERE bucket = 5) - avg(t) FILTER (WHERE bucket = 1) AS s FROM b GROUP BY date)),
+r AS (SELECT rep, g.*, row_number() OVER (PARTITION BY rep, date ORDER BY ('0x' || substr(md5('42|' || rep || '|' || CAST(date AS VARCHAR) || '|' || ticker), 1, 8))::BIGINT, ticker) AS place FROM g, range(1000) q(rep)),
+m AS (SELECT rep, avg(s) AS m FROM (SELECT rep, date, avg(t) FILTER (WHERE place > n - n_top) - avg(t) FILTER (WHERE place <= n_low) AS s FROM r GROUP BY ALL) GROUP BY rep)
+SELECT round(observed, 6) AS observed, round((count(*) FILTER (WHERE m >= observed) + 1) / (count(*) + 1.0), 6) AS p, count(*) AS reps FROM m, o GROUP BY observed""")
 def e12(spark, sf):
-    return stats.permutation_null(signals(spark, sf), "mom6", "target_excess", reps=1000)
+    return stats.permutation_null(signals(spark, sf), "mom6", "target_excess", reps=1000).select(*r6("observed", "p"), "reps")
 
 
 @query("e14_capm", " SELECT round(regr_slope(r, m), 6) AS beta, round(regr_intercept(r, m), 6) AS alpha, round(regr_r2(r, m), 6) AS r2, count(*) AS n FROM rets WHERE r IS NOT NULL")
@@ -430,9 +442,10 @@ def c17(spark, sf):
     return xsec.rank_blend(predictions(spark, sf), weights).select("date", "ticker", *r6("blend"), "models")
 
 
-@query("b1_backtest", RANKS.replace("count(*) OVER (PARTITION BY date) AS cn FROM sig", "count(*) OVER (PARTITION BY date) AS cn FROM sig WHERE target_simple IS NOT NULL").replace("(rn - 1) * 5 / ", "(rn - 1) * 5.0::DOUBLE / ") + """ SELECT date, round(avg(target_simple) FILTER (WHERE bucket = 5) - 0.001, 6) AS top, round(avg(target_simple) FILTER (WHERE bucket = 1), 6) AS bottom, round(avg(target_simple), 6) AS equal, count(*) AS n FROM bk GROUP BY date HAVING count(*) >= 5""")
+@query("b1_backtest", RANKS.replace("count(*) OVER (PARTITION BY date) AS cn FROM sig", "count(*) OVER (PARTITION BY date) AS cn FROM sig WHERE target_simple IS NOT NULL").replace("(rn - 1) * 5 / ", "(rn - 1) * 5.0::DOUBLE / ") + """ SELECT date, round(avg(target_simple) FILTER (WHERE bucket = 5) - 0.001, 6) AS top, round(avg(target_simple) FILTER (WHERE bucket = 1), 6) AS bottom, round(avg(target_simple), 6) AS equal,
+ round(avg(target_simple) FILTER (WHERE bucket = 5) - avg(target_simple) FILTER (WHERE bucket = 1) - 0.002, 6) AS long_short, count(*) AS n FROM bk GROUP BY date HAVING count(*) >= 5""")
 def b1(spark, sf):
-    return portfolio.backtest(signals(spark, sf), "mom6", "target_simple").select("date", *r6("top", "bottom", "equal"), "n")
+    return portfolio.backtest(signals(spark, sf), "mom6", "target_simple").select("date", *r6("top", "bottom", "equal", "long_short"), "n")
 
 
 def picks(spark, sf):
@@ -443,13 +456,36 @@ def picks(spark, sf):
 PICKS = CAPPED + """, held AS (SELECT top.*, CAST((session_no - 13) / 6 AS INTEGER) AS period FROM top WHERE session_no >= 13 AND (session_no - 13) % 6 = 0 AND session_no + 7 <= (SELECT max(session_no) FROM cal))"""
 
 
-@query("b3_settle")
+SETTLED = PICKS + """, grid AS (SELECT h.period, h.ticker, h.entry_date, h.exit_date, h.target_simple AS t, c.date, CASE WHEN b.close > 0 THEN b.close END AS p
+  FROM held h JOIN cal c ON c.date BETWEEN h.entry_date AND h.exit_date LEFT JOIN bars b ON b.ticker = h.ticker AND b.date = c.date),
+names AS (SELECT period, ticker, any_value(t) AS t, max(p) FILTER (WHERE date = entry_date) AS c0, max(p) FILTER (WHERE date = exit_date) AS c1, count(p) AS valid, count(*) AS days FROM grid GROUP BY ALL),
+ways AS (SELECT period, sum(valid) / sum(days) AS cover, bool_and(coalesce(abs(c1 / c0 - 1 - t) <= 1e-6 + 1e-5 * abs(t), false)) AS agree FROM names GROUP BY period),
+wealth AS (SELECT period, date, avg(p / c0) AS w FROM grid JOIN names USING (period, ticker) GROUP BY ALL),
+falls AS (SELECT period, min(f) AS mdd FROM (SELECT period, w / max(w) OVER (PARTITION BY period ORDER BY date) - 1 AS f FROM wealth) GROUP BY period),
+sums AS (SELECT period, count(*) AS selected, count(target_simple) AS known, avg(target_simple) AS r, coalesce(sum(target_simple), 0) AS s, min(entry_date) AS entry_date, max(exit_date) AS exit_date FROM held GROUP BY period),
+settled AS (SELECT period, selected, entry_date, exit_date, CASE WHEN selected <> 10 THEN 'insufficient_candidates' WHEN known < selected THEN 'unresolved_return' WHEN coalesce(cover, 0) < 1 THEN 'unresolved_path' WHEN NOT agree THEN 'endpoint_mismatch' ELSE 'settled_path' END AS status,
+  CASE WHEN selected = 10 AND known = selected THEN r END AS return_settled, CASE WHEN selected = 10 AND known = selected AND cover = 1 AND agree THEN mdd END AS mdd,
+  CASE WHEN selected = 10 THEN 1 - known / selected END AS missing_weight, CASE WHEN selected = 10 THEN cover END AS path_coverage, CASE WHEN selected = 10 THEN s / 10 END AS assumption_flat,
+  CASE WHEN selected = 10 THEN (s - (selected - known) * 0.5) / 10 END AS assumption_loss50, CASE WHEN selected = 10 THEN (s - (selected - known)) / 10 END AS assumption_loss100
+  FROM sums LEFT JOIN ways USING (period) LEFT JOIN falls USING (period))"""
+
+
+@query("b3_settle", SETTLED + """ SELECT period, status, selected, round(return_settled, 6) AS return_settled, round(mdd, 6) AS mdd, round(missing_weight, 6) AS missing_weight, round(path_coverage, 6) AS path_coverage,
+ round(assumption_flat, 6) AS assumption_flat, round(assumption_loss50, 6) AS assumption_loss50, round(assumption_loss100, 6) AS assumption_loss100 FROM settled""")
 def b3(spark, sf):
     p = portfolio.settle(picks(spark, sf), A.monthly_bars(spark, sf), A.market(spark, sf), ["period"], 10)
     return p.select("period", "status", "selected", *r6("return_settled", "mdd", "missing_weight", "path_coverage", "assumption_flat", "assumption_loss50", "assumption_loss100"))
 
 
-@query("b5_chained")
+MARKS = PICKS + """, grid AS (SELECT h.period, h.ticker, h.exit_date, c.date, b.close FROM held h JOIN cal c ON c.date BETWEEN h.entry_date AND h.exit_date LEFT JOIN bars b ON b.ticker = h.ticker AND b.date = c.date),
+marks AS (SELECT *, last_value(close IGNORE NULLS) OVER w / first_value(close IGNORE NULLS) OVER w AS m FROM grid WINDOW w AS (PARTITION BY period, ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+walk AS (SELECT period, date, avg(CASE WHEN date = exit_date AND close IS NULL THEN 0.5 ELSE coalesce(m, 1) END) AS w FROM marks GROUP BY ALL)"""
+CHAINED = """, ends AS (SELECT period, arg_max(w, date) AS e FROM walk GROUP BY period), base AS (SELECT period, coalesce(exp(sum(ln(e)) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS b FROM ends),
+c AS (SELECT period, date, w * b AS v, min(date) OVER (PARTITION BY period) AS f, min(period) OVER () AS p FROM walk JOIN base USING (period)),
+line AS (SELECT date, v, v / lag(v) OVER (ORDER BY date) - 1 AS r, v / max(v) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS f, period FROM c WHERE date <> f OR period = p)"""
+
+
+@query("b5_chained", MARKS + CHAINED + " SELECT 'momentum' AS strategy, round(arg_max(v, date) - 1, 6) AS total_return, round(min(f), 6) AS mdd, round(stddev_samp(r) * sqrt(12), 6) AS annualized_volatility, count(DISTINCT period) AS n_periods FROM line")
 def b5(spark, sf):
     walk = portfolio.loss50_path(picks(spark, sf).withColumn("strategy", F.lit("momentum")), A.monthly_bars(spark, sf), A.market(spark, sf), ["strategy", "period"])
     return portfolio.chained(walk, ["strategy"]).select("strategy", *r6("total_return", "mdd", "annualized_volatility"), "n_periods")
@@ -460,7 +496,9 @@ def g9(spark, sf):
     return portfolio.concentration(picks(spark, sf), ["period"]).select("period", "holdings", *r6("max_sector_weight"), "unique_sectors")
 
 
-@query("b8_contribution")
+@query("b8_contribution", PICKS + """, s AS (SELECT period, ticker, target_simple AS t, 1.0 / count(*) OVER (PARTITION BY period) AS w FROM held WHERE target_simple IS NOT NULL),
+n AS (SELECT period, sum(w * t) AS r FROM s GROUP BY period), nav AS (SELECT period, coalesce(exp(sum(ln(1 + r)) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS nav FROM n)
+SELECT period, ticker, round(nav * w * t, 6) AS contribution FROM s JOIN nav USING (period)""")
 def b8(spark, sf):
     rows = picks(spark, sf).withColumn("model", F.lit("momentum")).filter("target is not null")
     return portfolio.contribution(rows, ["model"], "period").select("period", "ticker", *r6("contribution"))
@@ -472,20 +510,28 @@ def g4(spark, sf):
     return d.groupBy(F.year("date").alias("year")).agg(F.round(F.avg("c"), 6).alias("mean_price_coverage"), F.round(F.min("c"), 6).alias("min_price_coverage"), F.round(F.avg("m"), 6).alias("mean_missing_securities"))
 
 
-@query("w20_macro", """WITH mac AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, round(CAST(sum(CASE WHEN o_orderpriority LIKE '1%' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) / count(*) FILTER (WHERE o_orderpriority LIKE '1%'), 6) AS x1,
- round(CAST(sum(CASE WHEN o_orderpriority LIKE '2%' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) / count(*) FILTER (WHERE o_orderpriority LIKE '2%'), 6) AS x2 FROM orders GROUP BY 1)
-SELECT date, round(lag(x1 - x2) OVER w, 6) AS spread, round(lag(x1, 1) OVER w - lag(x1, 4) OVER w, 6) AS change_3 FROM mac WINDOW w AS (ORDER BY date)""")
+MACRO = """WITH mac AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, round(CAST(sum(CASE WHEN o_orderpriority LIKE '1%' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) / count(*) FILTER (WHERE o_orderpriority LIKE '1%'), 6) AS x1,
+ round(CAST(sum(CASE WHEN o_orderpriority LIKE '2%' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) / count(*) FILTER (WHERE o_orderpriority LIKE '2%'), 6) AS x2 FROM orders GROUP BY 1),
+thin AS (SELECT date, CASE WHEN month(date) % 5 <> 0 AND NOT (year(date) = 1995 AND month(date) BETWEEN 2 AND 8) THEN x1 END AS x1, x2 FROM mac),
+full_ AS (SELECT date, last_value(x1 IGNORE NULLS) OVER w AS x1, last_value(x2 IGNORE NULLS) OVER w AS x2 FROM thin WINDOW w AS (ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)),
+made AS (SELECT date, x1 - x2 AS spread, x1 - x2 - lag(x1 - x2, 4) OVER o AS spread_change, x1 AS level, x1 / lag(x1, 4) OVER o - 1 AS change, ln(x2 / lag(x2, 6) OVER o) AS log_return FROM full_ WINDOW o AS (ORDER BY date))"""
+
+
+@query("w20_macro", MACRO + " SELECT date, " + ", ".join(f"round(lag({c}) OVER (ORDER BY date), 6) AS {c}" for c in ("spread", "spread_change", "level", "change", "log_return")) + " FROM made")
 def w20(spark, sf):
-    w = Window.orderBy("date")
-    return A.macro(spark, sf).select("date", F.round(F.lag(F.col("x1") - F.col("x2")).over(w), 6).alias("spread"), F.round(F.lag("x1", 1).over(w) - F.lag("x1", 4).over(w), 6).alias("change_3"))
+    from panelweave.operators import reports
+
+    gap = ((F.month("date") % 5 == 0) | ((F.year("date") == 1995) & F.month("date").between(2, 8)))
+    rows = A.macro(spark, sf).withColumn("x1", F.when(~gap, F.col("x1")))
+    return reports.macro_features(rows, "x1", "x2", short=4, long=6).select("date", *r6("spread", "spread_change", "level", "change", "log_return"))
 
 
 @query("st1_batch_bars", """WITH e AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS bar FROM events WHERE value > 0)
-SELECT bar, event_type AS ticker, max(value) AS high, min(value) AS low, count(*) AS ticks FROM e GROUP BY ALL""")
+SELECT bar, event_type AS ticker, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS ticks FROM e GROUP BY ALL""")
 def st1(spark, sf):
     from panelweave.streaming.bars import tick_bars
 
-    return tick_bars(A.table(spark, sf, "events")).select("bar", "ticker", "high", "low", "ticks")
+    return tick_bars(A.table(spark, sf, "events")).select("bar", "ticker", "open", "high", "low", "close", "ticks")
 
 
 def model_rows(spark, sf):
@@ -567,7 +613,7 @@ def g3(spark, sf):
 
 
 RISK = """, y AS (SELECT ticker, date, list(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS p FROM bars),
-o AS (SELECT ticker, date, round(list_stddev_samp(list_transform(range(1, 7), lambda i: ln(p[i + 1] / p[i]))) * sqrt(12), 8) AS v, round(list_min(list_transform(range(1, 8), lambda i: p[i] / list_max(p[1:i]) - 1)), 8) AS d FROM y WHERE len(p) = 7),
+o AS (SELECT ticker, date, round(list_stddev_samp(list_transform(range(1, 7), lambda i: p[i + 1] / p[i] - 1)) * sqrt(12), 8) AS v, round(list_min(list_transform(range(1, 8), lambda i: p[i] / list_max(p[1:i]) - 1)), 8) AS d FROM y WHERE len(p) = 7),
 s AS (SELECT *, round((coalesce((v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0), 0) - coalesce((d - avg(d) OVER w) / nullif(stddev_pop(d) OVER w, 0), 0)) / 2, 10) AS z FROM o WINDOW w AS (PARTITION BY date)),
 risk AS (SELECT *, z >= round(quantile_cont(z, 0.7) OVER (PARTITION BY date), 10) AS risky FROM s)"""
 
@@ -619,11 +665,12 @@ def e13(spark, sf):
 
 
 @query("e19_paired_exact", RANKS + """, d AS (SELECT sector, count(*) FILTER (WHERE pct > 0.5 AND target_excess > 0 AND mom6 <= 0) AS b, count(*) FILTER (WHERE pct <= 0.5 AND target_excess > 0 AND mom6 > 0) AS c FROM rk GROUP BY sector)
-SELECT sector, b, c FROM d""")
+SELECT sector, b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))))) END, 5) AS p FROM d""")
 def e19(spark, sf):
     rows = signals(spark, sf).withColumn("pct", xsec.percentile_rank("mom6", "date"))
     up = F.col("target_excess") > 0
-    return rows.groupBy("sector").agg(F.count(F.when((F.col("pct") > 0.5) & up & (F.col("mom6") <= 0), 1)).alias("b"), F.count(F.when((F.col("pct") <= 0.5) & up & (F.col("mom6") > 0), 1)).alias("c"))
+    pairs = rows.groupBy("sector").agg(F.count(F.when((F.col("pct") > 0.5) & up & (F.col("mom6") <= 0), 1)).alias("b"), F.count(F.when((F.col("pct") <= 0.5) & up & (F.col("mom6") > 0), 1)).alias("c"))
+    return pairs.withColumn("p", F.round(stats.paired_exact(F.col("b"), F.col("c")), 5))
 
 
 @query("e21_correlations", " SELECT 'mom6' AS a, 'mom6' AS b, 1.0::DOUBLE AS r UNION ALL SELECT 'mom6', 'vol6', (SELECT round(corr(mom6, vol6), 6) FROM sig) UNION ALL SELECT 'vol6', 'vol6', 1.0")
@@ -648,11 +695,13 @@ def b2(spark, sf):
 
 @query("b10_sector_effects", PICKS + """, u AS (SELECT date, sector, count(*) AS un, avg(target_simple) AS ur FROM sig WHERE session_no >= 13 AND (session_no - 13) % 6 = 0 AND session_no + 7 <= (SELECT max(session_no) FROM cal) GROUP BY ALL),
 p AS (SELECT date, sector, count(*) AS pn, avg(target_simple) AS pr FROM held GROUP BY ALL)
-SELECT date, sector, round(coalesce(pn / sum(pn) OVER w, 0), 6) AS weight, round(un / sum(un) OVER w, 6) AS universe_weight FROM u LEFT JOIN p USING (date, sector) WINDOW w AS (PARTITION BY date)""")
+SELECT date, sector, round(coalesce(pn / sum(pn) OVER w, 0), 6) AS weight, round(un / sum(un) OVER w, 6) AS universe_weight,
+ round((coalesce(pn / sum(pn) OVER w, 0) - un / sum(un) OVER w) * (ur - sum(un * ur) OVER w / sum(un) OVER w), 6) + 0 AS allocation,
+ round(coalesce(pn / sum(pn) OVER w, 0) * coalesce(pr - ur, 0), 6) + 0 AS selection FROM u LEFT JOIN p USING (date, sector) WINDOW w AS (PARTITION BY date)""")
 def b10(spark, sf):
     dates = labels.schedule(A.market(spark, sf), 13, HORIZON, HORIZON, LAG).select("date")
     universe = signals(spark, sf).join(F.broadcast(dates), "date", "left_semi").withColumn("target", F.col("target_simple"))
-    return portfolio.sector_effects(picks(spark, sf), universe).select("date", "sector", *r6("weight", "universe_weight"))
+    return portfolio.sector_effects(picks(spark, sf), universe).select("date", "sector", *r6("weight", "universe_weight"), *((F.round(c, 6) + 0.0).alias(c) for c in ("allocation", "selection")))  # no negative zeros
 
 
 @query("x1_explanation", CAPPED + " SELECT date, ticker, 'score ' || format('{:.2f}', mom6) || coalesce('; volatility ' || format('{:.2f}', vol6), '') AS why FROM top")
@@ -682,3 +731,6 @@ def c18(spark, sf):
 @query("p16_common_sample", PRED + ", c AS (SELECT date, ticker FROM preds GROUP BY ALL HAVING count(DISTINCT model) = 2) SELECT model, count(*) AS n_rows, count(c.ticker) AS n_common, count(*) - count(c.ticker) AS n_dropped FROM preds LEFT JOIN c USING (date, ticker) GROUP BY model")
 def p16(spark, sf):
     return clean.common_sample(predictions(spark, sf))[1]
+
+
+from panelweave import queries_reports  # noqa: E402, F401  registers the queries of reports, in the same tables

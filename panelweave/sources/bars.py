@@ -49,19 +49,22 @@ def back_adjust(df: DataFrame, adjusted: str = "adj_close") -> DataFrame:
 
 
 def ingest(sources: list[DataFrame], wanted: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(bars, report): the first source, then each further one for tickers that still have fewer than min_rows rows.
+    """(bars, report): for each wanted ticker the rows of the first source that alone has min_rows of them.
 
-    report: ticker, n_rows, collected and a reason for those that no source satisfies.
+    Rows of a source that is too short are not kept, nor added to another's. report: ticker, n_rows (those kept), collected,
+    and a reason where no source is long enough: no_rows if none has any.
     """
-    got = sources[0].join(wanted.select("ticker"), "ticker", "left_semi").select(*COLUMNS)
-    for more in sources[1:]:
-        enough = got.groupBy("ticker").count().filter(F.col("count") >= min_rows).select("ticker")
-        asked = wanted.select("ticker").join(enough, "ticker", "left_anti")
-        got = got.unionByName(more.join(asked, "ticker", "left_semi").select(*COLUMNS))
-    counts = got.groupBy("ticker").agg(F.count("*").alias("n_rows"))
-    report = wanted.select("ticker").distinct().join(counts, "ticker", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
-    report = report.withColumn("collected", F.col("n_rows") >= min_rows)
-    return got, report.withColumn("reason", F.when(F.col("collected"), F.lit(None)).when(F.col("n_rows") == 0, "no_rows").otherwise("too_few_rows"))
+    asked = wanted.select("ticker").distinct()
+    every = None
+    for k, source in enumerate(sources):
+        part = source.join(asked, "ticker", "left_semi").select(*COLUMNS, F.lit(k).alias("_s"))
+        every = part if every is None else every.unionByName(part)
+    counts = every.groupBy("ticker", "_s").agg(F.count("*").alias("n"))
+    best = counts.groupBy("ticker").agg(F.min(F.when(F.col("n") >= min_rows, F.struct("_s", "n"))).alias("x")).select("ticker", F.col("x._s").alias("_s"), F.col("x.n").alias("n_rows"))
+    got = every.join(best, ["ticker", "_s"], "left_semi").drop("_s")
+    report = asked.join(best.withColumn("_any", F.lit(True)), "ticker", "left").select("ticker", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "_any")
+    report = report.withColumn("collected", F.col("n_rows") > 0)
+    return got, report.withColumn("reason", F.when(F.col("collected"), F.lit(None)).when(F.col("_any").isNull(), "no_rows").otherwise("too_few_rows")).drop("_any")
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: str, known_bad: DataFrame | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ def test_sql_twin(spark, sf, name):
 
     def rows(d):
         def text(x):
-            if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)):
+            if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and np.isnan(x)):
                 return "null"
             return f"{x:.5f}" if isinstance(x, float) else str(x).removesuffix(" 00:00:00")
 
