@@ -7,19 +7,42 @@ a narrow table; the driver holds one number a domain. DataFrame functions only.
 """
 
 import math
+import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import hold
 
-#: Substrings whose share of a text tells domains apart (fixed values, a parameter of classify).
-MARKS = ("th", "ing ", "he ", "ou", "eau", "é", "ch", "ung", "ü", "ö", "ción", "ñ", "os", "%", "*", "!", "|", "\n")
 #: Rates are written into the table after so many steps, which bounds the expression.
 CHAIN = 6
 
 
+def learn_marks(docs: DataFrame, labelled: DataFrame, *, each: int = 4, sample_rows: int = 400, chars: int = 3, id_column: str = "doc_id") -> tuple[str, ...]:
+    """For each domain the substrings of `chars` characters that set its labelled texts most apart from the others'.
+
+    sample_rows bounds the labelled rows a domain gives (in expectation: rows are taken by a hash of the id). A substring's
+    worth is p * log(p / q), p and q the shares of the domain's and of the other texts that have it. The driver gets `each` strings a domain.
+    """
+    known = labelled.filter(F.col("domain").isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("of"), "domain").distinct()
+    sizes = known.groupBy("domain").agg(F.count("*").alias("all"))
+    known = known.join(sizes, "domain").filter(F.pmod(F.xxhash64(F.col("of").cast("string")), F.lit(1_000_000)) < F.lit(1_000_000.0) * sample_rows / F.col("all")).select("of", "domain")
+    texts = docs.select(F.col(id_column).alias("of"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= chars)
+    # at most about sample_rows ids a domain: bounded by a parameter, so the broadcast is too
+    texts = texts.join(F.broadcast(known), "of").select("domain", "text")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - chars + 1), lambda i: F.substring(F.col("text"), i, F.lit(chars))))
+    texts = hold(texts.select("domain", grams.alias("grams")), "mark-texts")
+    domain = texts.groupBy("domain").agg(F.count("*").alias("texts"))
+    whole = texts.agg(F.count("*").alias("every"))
+    counts = texts.select("domain", F.explode("grams").alias("mark")).groupBy("domain", "mark").agg(F.count("*").alias("n"))
+    total = counts.groupBy("mark").agg(F.sum("n").alias("total"))
+    rows = counts.join(total, "mark").join(domain, "domain").crossJoin(F.broadcast(whole))  # whole is one row
+    p, q = F.col("n") / F.col("texts"), (F.col("total") - F.col("n") + 0.5) / (F.col("every") - F.col("texts") + 1.0)
+    rows = rows.withColumn("worth", F.round(p * F.log(p / q), 9)).withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("worth"), "mark")))
+    return tuple(sorted({r["mark"] for r in rows.filter(F.col("k") <= each).select("mark").collect()}))
+
+
 def marks_of(docs: DataFrame, marks: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
     """n_tokens and, for each mark, the square root of its share of the text (bytes)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -29,18 +52,19 @@ def marks_of(docs: DataFrame, marks: tuple[str, ...], keep: tuple[str, ...]) ->
     return base.select(*keep, F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n_tokens"), *share)
 
 
-def classify(docs: DataFrame, labelled: DataFrame, *, marks: tuple[str, ...] = MARKS, id_column: str = "doc_id", most: int = 64):
+def classify(docs: DataFrame, labelled: DataFrame, *, marks: tuple[str, ...] | None = None, id_column: str = "doc_id"):
     """(domains, table with n_tokens and the posterior p_k of each domain).
 
     labelled: id and domain; rows with a null in either are no labels. Gaussian classes with a floor
-    under the variances, fitted on all labelled rows; most bounds the number of domains (the
-    largest win). Without labels there is one domain, `all`.
+    under the variances, fitted on all labelled rows, over the marks that the labels teach (or those given). The driver gets one
+    row a domain. Without labels there is one domain, `all`.
     """
+    marks = marks if marks is not None else learn_marks(docs, labelled, id_column=id_column)
     table = hold(marks_of(docs, marks, (id_column, "source")), "marks")
     names = [f"m{i}" for i in range(len(marks))]
     known = labelled.filter(F.col("domain").isNotNull()).select(F.col(id_column).alias("of"), "domain").dropDuplicates(["of", "domain"])
     stats = table.join(known, table[id_column] == known.of).groupBy("domain").agg(F.count("*").alias("n"), *(F.avg(m).alias(f"a_{m}") for m in names), *(F.var_pop(m).alias(f"v_{m}") for m in names))
-    rows = sorted(stats.orderBy(F.desc("n"), "domain").limit(most).collect(), key=lambda r: str(r["domain"]))
+    rows = sorted(stats.collect(), key=lambda r: str(r["domain"]))
     if not rows:
         return ["all"], table.select(id_column, "source", "n_tokens", F.lit(1.0).alias("p_0"))
     total = sum(r["n"] for r in rows)
@@ -58,14 +82,15 @@ def classify(docs: DataFrame, labelled: DataFrame, *, marks: tuple[str, ...] = M
     return [str(r["domain"]) for r in rows], scored.withColumn("whole", whole).select(id_column, "source", "n_tokens", *(F.round(F.col(f"e_{k}") / F.col("whole"), 6).alias(f"p_{k}") for k in range(len(rows))))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, *, targets: dict[str, float] | None = None, budget: int | None = None, marks: tuple[str, ...] = MARKS, least: float = 0.0, power: float = 0.5, steps: int = 30, tolerance: float = 1e-3, id_column: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, *, targets: dict[str, float] | None = None, budget: int | None = None, marks: tuple[str, ...] | None = None, least: float = 0.0, power: float = 0.5, steps: int = 200, tolerance: float = 1e-3, id_column: str = "doc_id") -> DataFrame:
     """Every document with its tokens, posteriors, rate and whole number of copies.
 
     targets: weight of each domain (a missing domain has weight 0; none given: each domain's own
     share to the given power). budget: tokens wanted in all, by default those there are, or with least (the
     smallest rate allowed) as many as give the commonest domain that rate. A rate is the expected number of
     uses; copies rounds it up or down by a hash of the id, so copies add up to it. Documents without tokens, null texts
-    among them, keep rate 1. Repeated rows get equal rates. Empty tables give no rows.
+    among them, keep rate 1. Repeated rows get equal rates. Empty tables give no rows; a very long text is one row of
+    numbers like any other; other columns, however named, stay out. A fit that is not within tolerance after `steps` steps warns.
     """
     domains, table = classify(docs, labelled, marks=marks, id_column=id_column)
     ks = range(len(domains))
@@ -91,6 +116,8 @@ def mix(docs: DataFrame, labelled: DataFrame, *, targets: dict[str, float] | Non
             if pending == CHAIN:
                 table = hold(table.withColumn("rate", rate), "mixing")
                 rate, pending = F.col("rate"), 0
+        else:
+            warnings.warn(f"mixing targets missed by {np.abs(miss).max() / want.sum():.2%} of all tokens after {steps} steps", stacklevel=2)
         table = table.withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(F.lit(1.0)))
     u = F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit("mix")), F.lit(1_000_000)) / 1e6
     best = F.greatest(*(F.struct(F.col(f"p_{k}").alias("p"), F.lit(d).alias("d")) for k, d in enumerate(domains)))["d"] if len(domains) > 1 else F.lit(domains[0])

@@ -8,6 +8,7 @@ pieces in Spark. The driver sees only the histogram, whose size is a parameter.
 
 import math
 import os
+import warnings
 import zlib
 
 import numpy as np
@@ -140,7 +141,7 @@ def price(values: np.ndarray, widths: np.ndarray, room: int) -> tuple[float, np.
     return float(best[room]), pattern
 
 
-def plan(demand: dict[int, int], room: int, gap: float = 0.001, most: int = 3000) -> list[tuple[dict[int, int], int]]:
+def plan(demand: dict[int, int], room: int, gap: float = 0.001, most: int = 20_000) -> list[tuple[dict[int, int], int]]:
     """Patterns {width: count} and how often each is used, for a demand of pieces by width.
 
     Column generation by the revised simplex method until the linear program is within gap of
@@ -172,6 +173,8 @@ def plan(demand: dict[int, int], room: int, gap: float = 0.001, most: int = 3000
         if step % 200 == 199:
             inverse = np.linalg.inv(np.array(patterns).T)
             x = np.maximum(inverse @ need, 0)
+    else:
+        warnings.warn(f"column generation ended {value - 1:.2%} over its bound after {most} patterns", stacklevel=2)
     used: list[tuple[dict[int, int], int]] = []
     left = need.copy()
     for p, n in zip(patterns, np.floor(x + 1e-7), strict=True):

@@ -282,6 +282,17 @@ def test_mixing_meets_targets(docs, labelled):
     assert (got.rate >= 0).all() and (abs(got.copies - got.rate) <= 1).all()
 
 
+def test_mixing_marks_are_learned(spark):
+    words = {"a": "zorblat quux", "b": "mimsy borogove", "c": "snark hunting"}
+    rows = [(i, f"common start {words[d]} {i % 7} common end", d) for i, d in enumerate("abc" * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string").withColumn("source", F.lit("s"))
+    marks = mixing.learn_marks(df, df.filter("doc_id < 90").select("doc_id", "domain"), each=3)
+    assert len(marks) == 9 and all(any(m in w for w in words.values()) for m in (x.strip() for x in marks))
+    names, got = mixing.classify(df, df.filter("doc_id < 90").select("doc_id", "domain"))
+    best = got.orderBy("doc_id").toPandas()[["p_0", "p_1", "p_2"]].to_numpy().argmax(axis=1)
+    assert names == ["a", "b", "c"] and [names[k] for k in best] == [d for _, _, d in rows]
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_mixing_edges(spark, labelled, empty):
     rows = edge(spark, empty)
