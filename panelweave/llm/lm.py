@@ -2,8 +2,8 @@
 
 Texts are dealt into blocks, and every block explodes into its distinct n-grams of all orders, one row each with
 its count: so a very frequent n-gram is one row a block, not one a document. These rows are dealt by the n-gram's hash;
-there they add up to the count table and are joined with it. The joined rows go back to their blocks, where each document
-looks its n-grams up and sums its scores.
+there they add up to the count table and are joined with it. The joined rows of n-grams that several blocks have go back
+to their blocks, where each document looks its n-grams up and sums its scores.
 """
 
 import math
@@ -62,9 +62,11 @@ def score(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, id_column: s
     def look_up(texts: pa.Table, answers: pa.Table) -> pa.Table:
         keys, of = grams(texts.column("text").combine_chunks(), order)
         n = texts.num_rows
-        known, totals = np.asarray(answers.column("gram")).view(np.uint64), np.asarray(answers.column("total"))
-        by = np.argsort(known)
-        known, totals = known[by], totals[by]
+        # n-grams of this block alone have no answer: their count is the block's own
+        known, totals = np.unique(np.concatenate(keys), return_counts=True)
+        known, totals = known[known > 0], totals[known > 0].astype(np.int64)
+        if answers.num_rows:
+            totals[np.searchsorted(known, np.asarray(answers.column("gram")).view(np.uint64))] = np.asarray(answers.column("total"))
 
         def others(key: np.ndarray) -> np.ndarray:
             """Corpus counts of the n-grams at each token, less the document's own."""
@@ -95,7 +97,8 @@ def score(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, id_column: s
         return pa.table({"id": texts.column("id"), "n_tokens": pa.array(tokens.astype(np.int64)), "n_backed_off": pa.array((np.bincount(of, depth > 0, n) if len(of) else np.zeros(n)).astype(np.int64)), "sum": pa.array(sums), "by_all": pa.array(by_all)})
 
     exploded = dealt.groupBy("block").applyInArrow(explode, "block long, gram long, n long").repartition(blocks, "gram")
-    counts = exploded.groupBy("gram").agg(F.sum("n").alias("total"))  # lies by gram already, as does the join
+    # both sides of the join lie by gram already; counting blocks too lets both read one shuffle
+    counts = exploded.groupBy("gram").agg(F.sum("n").alias("total"), F.count("block").alias("blocks")).filter("blocks > 1")
     answers = exploded.join(counts, "gram").select("block", "gram", "total")
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(look_up, "id long, n_tokens long, n_backed_off long, sum double, by_all double")
     found = hold(found, "lm-sums")
