@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import hold, letter_words, mix, partitions, string_hashes, whole_texts
@@ -97,9 +97,11 @@ def score(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, id_column: s
         return pa.table({"id": texts.column("id"), "n_tokens": pa.array(tokens.astype(np.int64)), "n_backed_off": pa.array((np.bincount(of, depth > 0, n) if len(of) else np.zeros(n)).astype(np.int64)), "sum": pa.array(sums), "by_all": pa.array(by_all)})
 
     exploded = dealt.groupBy("block").applyInArrow(explode, "block long, gram long, n long").repartition(blocks, "gram")
-    # both sides of the join lie by gram already; counting blocks too lets both read one shuffle
-    counts = exploded.groupBy("gram").agg(F.sum("n").alias("total"), F.count("block").alias("blocks")).filter("blocks > 1")
-    answers = exploded.join(counts, "gram").select("block", "gram", "total")
+    # the count table, joined in place: rows of an n-gram lie together, at most one a block, and get its total; a join of two
+    # tables would explode the texts twice
+    gram = Window.partitionBy("gram")
+    counts = exploded.withColumn("total", F.sum("n").over(gram)).withColumn("blocks", F.count("*").over(gram))
+    answers = counts.filter("blocks > 1").select("block", "gram", "total")
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(look_up, "id long, n_tokens long, n_backed_off long, sum double, by_all double")
     found = hold(found, "lm-sums")
     tokens = found.agg(F.sum("n_tokens")).first()[0] or 1
