@@ -68,11 +68,21 @@ def tokens(texts: pa.Array):
     return coded.dictionary, np.asarray(coded.indices), np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
 
 
+#: Signs that stand for a letter inside a word (fixed values).
+SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+
+
 def letter_words(texts: pa.Array, fold: bool = False):
-    """As tokens, with tokens in lower case and reduced to their letters; fold strips accents too."""
+    """As tokens, with tokens in lower case and reduced to their letters; fold strips accents too and reads SIGNS between letters as letters."""
     raw, codes, offsets = tokens(texts)
     if fold:
         raw = pc.utf8_normalize(raw, "NFKD")
+        mixed = pc.match_substring_regex(raw, r"\p{L}.*[013457@$]|[013457@$].*\p{L}")
+        if pc.any(mixed).as_py():
+            read = raw.filter(mixed)
+            for sign, letter in SIGNS.items():
+                read = pc.replace_substring(read, sign, letter)
+            raw = pc.replace_with_mask(raw, mixed, read)
     clean = pc.replace_substring_regex(pc.utf8_lower(raw), r"[^\p{L}]+", "").dictionary_encode()
     return clean.dictionary, np.asarray(clean.indices)[codes] if len(codes) else codes, offsets
 

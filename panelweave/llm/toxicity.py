@@ -24,7 +24,7 @@ from panelweave.llm.common import CACHE_WORDS, code_points, crc_mod, hold, lette
 
 #: Characters that one subsequence may span, and the kernel's decay for each.
 SPAN, DECAY = 6, 0.7
-#: Each character in 5 bits: a to z, one class for word ends, four for other letters, 0 for none.
+#: Each character in 6 bits: a to z, one class for word ends, 36 for other letters, 0 for none.
 EDGE = 27
 #: Entries of the table of subsequence weights.
 TABLE = 1 << 21
@@ -32,7 +32,7 @@ PATTERNS = [x for n in (3, 4) for x in itertools.combinations(range(1, SPAN), n)
 
 
 def alphabet(points: np.ndarray) -> np.ndarray:
-    return np.where((points >= 97) & (points <= 122), points - 96, 28 + points % 4).astype(np.int64)
+    return np.where((points >= 97) & (points <= 122), points - 96, 28 + points % 36).astype(np.int64)
 
 
 def lay_out(words: pa.Array):
@@ -54,9 +54,9 @@ def subsequences(flat: np.ndarray):
     for offsets in PATTERNS:
         u, last = first, flat[offsets[-1] : m + offsets[-1]]
         for d in offsets:
-            u = u * 32 + flat[d : m + d]
-        if len(offsets) == 4:  # 25 bits, hashed into the upper half of the table
-            u = ((u * 0x9E3779B1 & 0xFFFFFFFF) >> 12) + (1 << 20)
+            u = u * 64 + flat[d : m + d]
+        # 24 or 30 bits, hashed into the lower or the upper half of the table
+        u = (((u + 1) * 0x9E3779B1 & 0xFFFFFFFF) >> 12) + (1 << 20 if len(offsets) == 4 else 0)
         yield np.where((last > 0) & (first > 0), u, 0), DECAY ** (offsets[-1] + 1)
 
 

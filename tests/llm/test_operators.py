@@ -75,12 +75,39 @@ def test_toxicity(docs, labelled):
     spark = docs.sparkSession
     own = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     machine = toxicity.train(own.select("doc_id", "text"), own.select("doc_id", "toxic"), out=F.lit(False), negatives=400, rounds=2)
-    test = spark.createDataFrame([(1, "he is an idiot"), (2, "he is an idxiot"), (3, "he is an i d i o t"), (4, "he is a friend"), (5, None), (6, "")], "doc_id long, text string")
+    test = spark.createDataFrame([(1, "he is an idiot"), (2, "he is an idxiot"), (3, "he is an i d i o t"), (4, "he is a friend"), (5, None), (6, ""), (7, "he is an 1d10t"), (8, "he is an ідіот maybe")], "doc_id long, text string")
     got = toxicity.predict(test, machine).orderBy("doc_id").toPandas()
-    assert got.predicted[0] == 1 and got.score[2] == got.score[0] and got.score[1] > got.score[3] and got.predicted[3:].sum() == 0
+    assert got.predicted[0] == 1 and got.score[2] == got.score[0] and got.score[1] > got.score[3] and got.predicted[3:6].sum() == 0
+    assert got.score[6] == got.score[0] and got.predicted[7] == 0
     assert got.score.between(0, 1).all()
 
 
+def test_toxicity_learns_other_scripts(spark):
+    rows = [(i, f"добрый день {i} он сказал кто {i % 9} {w} был", int(w == "придурок")) for i, w in enumerate(["придурок", "соседка", "приятель", "учитель"] * 40)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.train(own.select("doc_id", "text"), own.select("doc_id", "toxic"), out=F.lit(False), negatives=400, rounds=2)
+    test = spark.createDataFrame([(1, "он придурок"), (2, "он придухрок"), (3, "он учитель")], "doc_id long, text string")
+    got = toxicity.predict(test, machine).orderBy("doc_id").toPandas()
+    assert got.predicted[0] == 1 and got.predicted[2] == 0 and got.score[1] > got.score[2]
+
+
+def test_toxicity_folded_weights_equal_the_sum_over_landmarks():
+    import pyarrow as pa
+
+    good, bad = ["table", "garden", "window", "letter", "summer", "kitchen"], ["idiot", "moron", "pathetic"]
+    table, bias = toxicity._fit(bad, np.ones(3), good, np.ones(6), 9, 1e-3)
+    machine, words = toxicity.Machine(table, bias, (1.0, 0.0)), ["idiot", "idxiot", "garden", "morron", "zebra"]
+    rows, cols, vals = toxicity.features(pa.array([*bad, *good, *words]))
+    x = np.zeros((14, toxicity.TABLE))
+    x[rows, cols] = vals
+    kernel = x @ x[:9].T  # every word against every landmark: the machine's value must be a sum over these columns
+    want = np.linalg.lstsq(kernel[:9], x[:9] @ table, rcond=None)[0]
+    assert np.allclose(kernel[9:] @ want + bias, (x @ table)[9:] + bias, atol=1e-3)
+    got = machine.units(pa.array(words))
+    near = got > -0.5
+    assert np.allclose(got[near], (x @ table)[9:][near] + bias, atol=1e-3)
+
+
 def test_toxicity_folded_table_equals_kernel():
     import pyarrow as pa
 
