@@ -82,7 +82,7 @@ def classify(docs: DataFrame, labelled: DataFrame, *, marks: tuple[str, ...] | N
     return [str(r["domain"]) for r in rows], scored.withColumn("whole", whole).select(id_column, "source", "n_tokens", *(F.round(F.col(f"e_{k}") / F.col("whole"), 6).alias(f"p_{k}") for k in range(len(rows))))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, *, targets: dict[str, float] | None = None, budget: int | None = None, marks: tuple[str, ...] | None = None, least: float = 0.0, power: float = 0.5, steps: int = 200, tolerance: float = 1e-3, id_column: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, *, targets: dict[str, float] | None = None, budget: int | None = None, marks: tuple[str, ...] | None = None, least: float = 0.0, power: float = 0.5, steps: int = 40, tolerance: float = 1e-3, id_column: str = "doc_id") -> DataFrame:
     """Every document with its tokens, posteriors, rate and whole number of copies.
 
     targets: weight of each domain (a missing domain has weight 0; none given: each domain's own
