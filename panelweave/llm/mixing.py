@@ -31,8 +31,10 @@ def learn_marks(docs: DataFrame, labelled: DataFrame, *, each: int = 4, sample_r
     texts = docs.select(F.col(id_column).alias("of"), F.col("text").cast("string").alias("text")).filter(F.length("text") >= chars)
     # at most about sample_rows ids a domain: bounded by a parameter, so the broadcast is too
     texts = texts.join(F.broadcast(known), "of").select("domain", "text")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - chars + 1), lambda i: F.substring(F.col("text"), i, F.lit(chars))))
-    texts = hold(texts.select("domain", grams.alias("grams")), "mark-texts")
+    # characters by their place in an array: a substring of a long text would be found by a walk from its start each time
+    run = ", ".join(f"get(chars, i + {k})" for k in range(chars))
+    texts = texts.select("domain", F.split("text", "").alias("chars"))
+    texts = hold(texts.select("domain", F.expr(f"array_distinct(filter(transform(chars, (x, i) -> concat({run})), g -> g IS NOT NULL))").alias("grams")), "mark-texts")
     domain = texts.groupBy("domain").agg(F.count("*").alias("texts"))
     whole = texts.agg(F.count("*").alias("every"))
     counts = texts.select("domain", F.explode("grams").alias("mark")).groupBy("domain", "mark").agg(F.count("*").alias("n"))
