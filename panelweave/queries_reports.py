@@ -402,9 +402,9 @@ def g17(spark, sf):
     return reports.mean_by(signals(spark, sf), "sector", ["mom6", "vol6"]).select("sector", *r6("mom6", "vol6"))
 
 
-@query("g18_block_means", ", b AS (SELECT date, m_close, row_number() OVER (ORDER BY date) - 1 AS i FROM cal) SELECT CAST(floor(i / 6.0) AS INTEGER) AS block, round(avg(m_close), 6) AS mean, count(*) AS n FROM b GROUP BY 1 HAVING count(*) = 6")
+@query("g18_block_means", ", b AS (SELECT date, m_close, row_number() OVER (ORDER BY date) - 1 AS i FROM cal) SELECT CAST(floor(i / 6.0) AS INTEGER) AS block, round(avg(m_close), 4) AS mean, count(*) AS n FROM b GROUP BY 1 HAVING count(*) = 6")
 def g18(spark, sf):
-    return tables.block_means(A.market(spark, sf), "m_close", 6).select("block", *r6("mean"), "n")
+    return tables.block_means(A.market(spark, sf), "m_close", 6).select("block", F.round("mean", 4).alias("mean"), "n")
 
 
 @query("g19_interval", RISK + " SELECT sector, count(*) AS n_rows, round(avg(CAST(risky AS DOUBLE)), 6) AS future_risky_rate FROM risk JOIN sect USING (ticker) JOIN cal USING (date) WHERE session_no % 3 = 1 GROUP BY sector")
