@@ -32,13 +32,29 @@ def bucket_coverage(df: DataFrame, pred: str, target: str, q: int = 5) -> DataFr
     return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.count(target).alias("n_target"), F.avg(target).alias("mean_target"))
 
 
+def running_sums(counts: DataFrame, value: str, columns: list[str], descending: bool = False, slices: int = 64) -> DataFrame:
+    """Adds <column>_to: the sum of a column over all rows up to this one in the order of value, rows of one value together counting once.
+
+    counts has one row a value. The values are cut into slices at approximate quantiles; each slice is summed on its own
+    and starts from the total of those before, so no task sees all values. Only one row a slice is broadcast.
+    """
+    cuts = counts.approxQuantile(value, [i / slices for i in range(1, slices)], 0.002)
+    place = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: c < F.col(value))) if cuts else F.lit(0)
+    rows = counts.withColumn("_slice", -place if descending else place)
+    inside = Window.partitionBy("_slice").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row a slice
+    totals = rows.groupBy("_slice").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    totals = totals.select("_slice", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns))
+    rows = rows.join(F.broadcast(totals), "_slice")
+    return rows.withColumns({f"{c}_to": F.sum(c).over(inside) + F.col(f"_{c}") for c in columns}).drop("_slice", *(f"_{c}" for c in columns))
+
+
 def pooled_ic(df: DataFrame, pred: str, target: str) -> DataFrame:
-    """Spearman over all rows; a diagnostic: global ranks need one sort of the two columns."""
+    """Spearman over all rows; ranks come from running counts of the distinct values."""
     rows = df.filter(F.col(pred).isNotNull() & F.col(target).isNotNull()).select(pred, target)
-    for c in (pred, target):  # ranks from counts of distinct values, so that only those meet in one window
-        values = rows.groupBy(c).agg(F.count("*").alias("_c"))
-        ranks = values.withColumn(f"_r_{c}", F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy(c).rowsBetween(Window.unboundedPreceding, 0)) - (F.col("_c") - 1) / 2.0).drop("_c")
-        rows = rows.join(ranks, c)
+    for c in (pred, target):
+        values = running_sums(rows.groupBy(c).agg(F.count("*").alias("_c")), c, ["_c"])
+        rows = rows.join(values.select(c, (F.col("_c_to") - (F.col("_c") - 1) / 2.0).alias(f"_r_{c}")), c)
     return rows.agg(F.corr(f"_r_{pred}", f"_r_{target}").alias("pooled_ic"), F.count("*").alias("n"))
 
 
@@ -155,9 +171,8 @@ def classification(df: DataFrame, label: str, predicted: str, score: str) -> Dat
     n = lambda c: F.count(F.when(c, 1))
     counts = df.agg(n(y & p).alias("tp"), n(~y & p).alias("fp"), n(y & ~p).alias("fn"), n(~y & ~p).alias("tn"))
     steps = df.groupBy(score).agg(n(y).alias("pos"), n(~y).alias("neg"))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("above_pos", F.sum("pos").over(w)).withColumn("above", F.sum(F.col("pos") + F.col("neg")).over(w))
-    areas = steps.agg((F.sum(F.col("neg") * (F.col("above_pos") - F.col("pos") / 2.0)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("roc_auc"), (F.sum(F.col("pos") * F.col("above_pos") / F.col("above")) / F.nullif(F.sum("pos"), F.lit(0))).alias("pr_auc"))
+    steps = running_sums(steps.withColumn("all", F.col("pos") + F.col("neg")), score, ["pos", "all"], descending=True)
+    areas = steps.agg((F.sum(F.col("neg") * (F.col("pos_to") - F.col("pos") / 2.0)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("roc_auc"), (F.sum(F.col("pos") * F.col("pos_to") / F.col("all_to")) / F.nullif(F.sum("pos"), F.lit(0))).alias("pr_auc"))
     out = counts.crossJoin(areas)
     precision, recall = F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))
     return out.withColumn("accuracy", (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))).withColumn("precision", precision).withColumn("recall", recall).withColumn("f1", 2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)))

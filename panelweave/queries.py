@@ -332,9 +332,9 @@ PRED = """, preds AS (SELECT 'momentum' AS model, date, ticker, mom6 AS pred, ta
 
 
 def predictions(spark, sf):
-    s = signals(spark, sf)
-    a = s.select(F.lit("momentum").alias("model"), "date", "ticker", F.col("mom6").alias("pred"), "target_excess")
-    return a.unionByName(s.filter("vol6 is not null").select(F.lit("low_vol").alias("model"), "date", "ticker", (-F.round("vol6", 10)).alias("pred"), "target_excess"))
+    """Both models' scores, exploded from one pass over the signals."""
+    scores = F.array(F.struct(F.lit("momentum").alias("model"), F.col("mom6").alias("pred")), F.struct(F.lit("low_vol").alias("model"), (-F.round("vol6", 10)).alias("pred")))
+    return signals(spark, sf).select("date", "ticker", "target_excess", F.inline(scores)).filter("pred is not null").select("model", "date", "ticker", "pred", "target_excess")
 
 
 IC = """, k AS (SELECT *, rank() OVER (PARTITION BY model, date ORDER BY pred) + (count(*) OVER (PARTITION BY model, date, pred) - 1) / 2.0 AS p,
