@@ -78,35 +78,3 @@ def ic_weights(ic: DataFrame, method: str = "relu", tau: float = 0.05, on_empty:
     total = F.sum(part).over(everything)
     empty = 1.0 / F.count("*").over(everything) if on_empty == "equal" else F.lit(None).cast("double")
     return ic.select("model", "ic", F.when(total > 0, part / total).otherwise(empty).alias("weight"))
-
-
-def grouped_kmeans(df: DataFrame, features: list[str], k: int = 3, by: str = "date", iterations: int = 5, least: int | None = None) -> DataFrame:
-    """Cluster every date's cross-section at once; risk_rank 0.. by the centre's mean, least risky first.
-
-    Features are standardised within the date; seeds are the rows at even quantiles of the features' sum;
-    a fixed number of Lloyd steps, each one grouped aggregation. Dates with fewer than max(4k, 12) rows are left out.
-    """
-    least = least or max(4 * k, 12)
-    rows = df.dropna(subset=features).withColumn("_n", F.count("*").over(Window.partitionBy(by))).filter(F.col("_n") >= least)
-    for i, f in enumerate(features):
-        rows = rows.withColumn(f"_z{i}", F.round(z_score(f, by), 10))
-    zs = [f"_z{i}" for i in range(len(features))]
-    rows = rows.withColumn("_sum", F.round(sum((F.col(z) for z in zs[1:]), F.col(zs[0])), 10))
-    rows = rows.withColumn("_r", first_rank("_sum", by))
-    seed = F.floor((F.col("_r") - 1) * k / F.col("_n"))
-    rows = rows.withColumn("cluster", seed.cast("int"))
-    group = Window.partitionBy(by)
-    for _ in range(iterations):
-        distances = []
-        for c in range(k):
-            gap = F.lit(0.0)
-            for z in zs:
-                centre = F.avg(F.when(F.col("cluster") == c, F.col(z))).over(group)
-                gap = gap + F.pow(F.col(z) - F.round(centre, 10), 2)
-            distances.append(F.struct(F.round(gap, 9).alias("d"), F.lit(c).alias("c")))
-        rows = rows.withColumn("_near", F.array(*distances))
-        rows = rows.withColumn("cluster", F.array_min(F.filter("_near", lambda x: x["d"].isNotNull()))["c"]).drop("_near")
-    mean = sum((F.avg(F.col(z)).over(Window.partitionBy(by, "cluster")) for z in zs[1:]), F.avg(zs[0]).over(Window.partitionBy(by, "cluster")))
-    rows = rows.withColumn("_mean", F.round(mean, 9))
-    rows = rows.withColumn("risk_rank", F.dense_rank().over(Window.partitionBy(by).orderBy("_mean", "cluster")) - 1)
-    return rows.drop("_n", "_sum", "_r", "_mean", "cluster", *zs).withColumn("stable", F.col("risk_rank") == 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions import frames as W
-from panelweave.operators import clean, joins, labels, portfolio, stats, xsec
+from panelweave.operators import clean, clusters, joins, labels, portfolio, stats, xsec
 from panelweave.sources import adapters as A
 from panelweave.sources import bars as S
 
@@ -322,10 +322,39 @@ def t4(spark, sf):
     return xsec.top_fraction(signals(spark, sf), "mom6", 0.1).select("date", "ticker", "pick")
 
 
+def risk_axes(spark, sf):
+    """Observed rows with volatility vol_n and absolute beta beta_n of each window."""
+    axes = {}
+    for n in WINDOWS:
+        axes |= {f"vol_{n}": F.round(W.volatility("r", n, YEAR), 10), f"beta_{n}": F.round(F.abs(W.beta("r", "m", n)), 10)}
+    return panel(spark, sf).withColumns(axes).filter("observed").select("date", "ticker", *axes)
+
+
 @query("c5_kmeans")
 def c5(spark, sf):
-    rows = panel(spark, sf).withColumn("vol", F.round(W.volatility("r", 12, YEAR), 10)).withColumn("beta", F.round(F.abs(W.beta("r", "m", 12)), 10)).filter("observed")
-    return xsec.grouped_kmeans(rows, ["vol", "beta"]).select("date", "ticker", "risk_rank", "stable")
+    return clusters.grouped_kmeans(risk_axes(spark, sf), ["vol_12", "beta_12"]).select("date", "ticker", "risk_rank", "stable")
+
+
+@query("c7_k_sensitivity")
+def c7(spark, sf):
+    return clusters.k_sensitivity(risk_axes(spark, sf), ["vol_12", "beta_12"]).select("date", "k", *r6("silhouette", "dbi", "ch", "min_share"))
+
+
+@query("c7_k_ranks")
+def c7_ranks(spark, sf):
+    return clusters.k_ranks(clusters.k_sensitivity(risk_axes(spark, sf), ["vol_12", "beta_12"])).select("k", "n_groups", *r6("silhouette", "dbi", "ch", "min_share"), "mean_place")
+
+
+@query("c8_sector_policy")
+def c8(spark, sf):
+    rows = joins.attach_sector(clusters.grouped_kmeans(risk_axes(spark, sf), ["vol_12", "beta_12"]), A.sectors(spark, sf))
+    return clusters.sector_policy(rows, ["vol_12", "beta_12"]).select("date", "ticker", "sector", "stable", "sector_status", "balanced_verified", "balanced_eligible")
+
+
+@query("g6_lookback")
+def g6(spark, sf):
+    table = clusters.lookback_table(risk_axes(spark, sf), {n: [f"vol_{n}", f"beta_{n}"] for n in WINDOWS}, risk_rows(spark, sf))
+    return table.select("lookback", "n_rows", "n_dates", "stable_n", *r6("false_stable_rate", "mean_future_mdd"))
 
 
 PRED = """, preds AS (SELECT 'momentum' AS model, date, ticker, mom6 AS pred, target_excess FROM sig UNION ALL SELECT 'low_vol', date, ticker, -round(vol6, 10), target_excess FROM sig WHERE vol6 IS NOT NULL)"""

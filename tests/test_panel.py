@@ -170,3 +170,66 @@ def test_model_queries_run_the_whole_job(spark, sf, monkeypatch):
     assert len(years) > 1 and all(number[a] <= number[b] < 60 - 7 for a, b in years)
     assert arguments(stats, "block_bootstrap", "e10_bootstrap")[1]["n_boot"] == 1000
     assert arguments(stats, "permutation_null", "e12_permutation")[1]["reps"] == 1000
+
+
+def lloyd(x, k):
+    """Standardised points, labels and centres from the same seeds, one step after another until nothing moves."""
+    sd = x.std(axis=0)
+    z = np.round(np.where(sd > 0, (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1), 0), 10)
+    place = np.empty(len(z), int)
+    place[np.lexsort((np.arange(len(z)), np.round(z.sum(axis=1), 10)))] = np.arange(len(z)) * k // len(z)
+    old = None
+    while old is None or not np.array_equal(old, place):
+        centres = np.array([np.round(z[place == c].mean(axis=0), 10) for c in range(k)])
+        old, place = place, np.round(((z[:, None] - centres) ** 2).sum(axis=2), 9).argmin(axis=1)
+    return z, place, centres
+
+
+def points(spark, per_day, seed=5):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for day, n in zip(days(len(per_day)), per_day, strict=True):
+        middle = rng.choice([0.1, 0.4, 0.9], n)
+        rows += [(day, f"T{i:03d}", float(m + rng.normal(0, 0.08)), float(2 * m + rng.normal(0, 0.2)), "A" if i % 2 else None) for i, m in enumerate(middle)]
+    return rows, spark.createDataFrame(rows, "date date, ticker string, a double, b double, sector string")
+
+
+def test_kmeans_equals_plain_lloyd(spark):
+    from panelweave.operators import clusters
+
+    rows, df = points(spark, (60, 45, 11))
+    got = {(r.date, r.ticker): r.risk_rank for r in clusters.grouped_kmeans(df, ["a", "b"]).collect()}
+    want = {}
+    for day in days(2):  # the third has too few rows
+        mine = [r for r in rows if r[0] == day]
+        _, place, centres = lloyd(np.array([r[2:4] for r in mine]), 3)
+        rank = np.argsort(np.argsort(centres.sum(axis=1)))
+        want |= {(day, r[1]): rank[p] for r, p in zip(mine, place, strict=True)}
+    assert got == want
+    assert clusters.grouped_kmeans(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_k_sensitivity_equals_plain_formulas(spark):
+    from panelweave.operators import clusters
+
+    rows, df = points(spark, (50,))
+    for r in clusters.k_sensitivity(df, ["a", "b"], (2, 4)).collect():
+        z, place, centres = lloyd(np.array([x[2:4] for x in rows]), r.k)
+        gaps = np.sqrt(((z[:, None] - centres) ** 2).sum(axis=2))
+        near = np.sort(gaps, axis=1)
+        within = [gaps[place == c, c].mean() for c in range(r.k)]
+        dbi = np.mean([max((within[i] + within[j]) / np.linalg.norm(centres[i] - centres[j]) for j in range(r.k) if j != i) for i in range(r.k)])
+        inside = (near[:, 0] ** 2).sum()
+        ch = ((z**2).sum() - inside) / (r.k - 1) / (inside / (len(z) - r.k))
+        want = (((near[:, 1] - near[:, 0]) / near[:, 1]).mean(), dbi, ch, np.bincount(place).min() / len(z))
+        np.testing.assert_allclose((r.silhouette, r.dbi, r.ch, r.min_share), want, rtol=1e-5)
+
+
+def test_sector_policy_knows_unknown_sectors(spark):
+    from panelweave.operators import clusters
+
+    _, df = points(spark, (40,))
+    out = clusters.sector_policy(clusters.grouped_kmeans(df, ["a", "b"]), ["a", "b"]).toPandas()
+    assert len(out) == 40 and (out[out.sector.isna()].sector_status == "UNKNOWN").all()
+    assert set(out[out.sector == "A"].sector_status) == {"STABLE", "MIDDLE", "RISKY"}
+    assert (out.balanced_verified <= out.balanced_eligible).all() and (out.balanced_eligible <= out.stable).all()
