@@ -236,11 +236,60 @@ def top_per_sector(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     return rows.withColumn("pick", place).filter(F.col("pick") <= n)
 
 
-def best_candidate(summary: DataFrame, expected: int, limit: float = -0.15) -> DataFrame:
-    """The complete strategy that keeps to the drawdown limit, if any does, by return, drawdown, IC and name."""
-    full = summary.filter(F.col("n_periods") == expected)
-    keeps = (F.col("mdd") >= limit).cast("int")
-    return full.orderBy(F.desc(keeps), F.desc("total_return"), F.desc("mdd"), F.desc("ic"), "strategy").limit(1)
+def select_candidate(summary: DataFrame, ic: DataFrame, expected: int, limit: float = -0.15) -> DataFrame:
+    """Marks the strategy to take: complete, within the drawdown limit, best by return, then drawdown, IC and name.
+
+    summary has a row a strategy (strategy, n_periods, status, cumulative_return, mdd), ic its mean_ic. Where no strategy
+    keeps to the limit none is selected and the choice is deferred.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rows = summary.join(ic.select("strategy", "mean_ic"), "strategy", "left")
+    eligible = (F.col("n_periods") == expected) & (F.col("status") == "complete_path") & finite("cumulative_return") & finite("mdd")
+    rows = rows.withColumn("eligible", F.coalesce(eligible, F.lit(False))).withColumn("risk_preference_met", F.col("eligible") & (F.col("mdd") >= limit))
+    best = Window.orderBy(F.desc("risk_preference_met"), F.desc_nulls_last("cumulative_return"), F.desc_nulls_last("mdd"), F.desc_nulls_last("mean_ic"), "strategy")  # one row a strategy
+    rows = rows.withColumn("selected", F.col("risk_preference_met") & (F.row_number().over(best) == 1))
+    any_met = F.bool_or("risk_preference_met").over(Window.partitionBy())
+    return rows.withColumn("selection_status", F.when(any_met, "exploratory_selected").otherwise("deferred_no_complete_risk_qualified_candidate"))
+
+
+def scope_comparison(predictions: DataFrame, target: str, sizes: tuple[int, ...] = (10, 20)) -> DataFrame:
+    """Equal-weight outcome of the stable-first picks by date, scope and size, before cost.
+
+    predictions: scope, date, ticker, sector, stable, pred, target. Returns count only where all n names are picked and known; assumptions put
+    0, -50 % and -100 % in the place of unknown ones; fewer than n picks leave them null. A return under -100 % fails the run.
+    """
+    from panelweave.operators.xsec import stable_first_top
+
+    known = F.when(F.col(target) < -1, F.raise_error(F.lit("simple return under -100 %")).cast("double")).otherwise(F.col(target))
+    rows = predictions.withColumn("_g", F.struct("scope", "date")).withColumn("_t", known)
+    out = None
+    for n in sizes:
+        picked = stable_first_top(rows, "pred", n, by="_g").groupBy("scope", "date").agg(F.count("*").alias("selected"), F.count(F.when(~F.col("stable"), 1)).alias("fallback_n"), F.count("_t").alias("_k"), F.coalesce(F.sum("_t"), F.lit(0.0)).alias("_s"))
+        part = predictions.select("scope", "date").distinct().join(picked, ["scope", "date"], "left").na.fill(0, ["selected", "fallback_n", "_k"])
+        whole, gone = F.col("selected") == n, n - F.col("_k")
+        part = part.withColumns({
+            "top_n": F.lit(n), "status": F.when(~whole, "insufficient_candidates").when(gone > 0, "missing_return").otherwise("settled"),
+            "return_settled": F.when(whole & (gone == 0), F.col("_s") / n), "missing_weight": F.when(whole, gone / n),
+            **{f"assumption_{name}": F.when(whole, (F.col("_s") + gone * worth) / n) for name, worth in (("flat", 0.0), ("loss50", -0.5), ("loss100", -1.0))},
+        }).drop("_k", "_s")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def cash_paths(periods: DataFrame, weights: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Wealth of 1 on every session of the periods whose weights are all zero or missing, entry to exit: cash without interest.
+
+    periods: period, date, entry_no, exit_no; weights: date, weight, one row a model.
+    """
+    total = weights.groupBy("date").agg(F.sum("weight").alias("_w"))
+    cash = periods.join(total, "date", "left").filter(F.coalesce("_w", F.lit(0.0)) == 0)
+    days = cash.select("period", F.explode(F.sequence("entry_no", "exit_no")).alias("session_no"))
+    return days.join(calendar.select("session_no", "date"), "session_no").select("period", "date", F.lit(1.0).alias("wealth"), F.lit("cash").alias("status"))
+
+
+def risk_free(annual_percent: Column, sessions: int = 252) -> Column:
+    """The session's rate of an annual yield in percent, a negative yield counting as 0."""
+    return F.pow(1 + F.greatest(annual_percent, F.lit(0.0)) / 100, F.lit(1.0 / sessions)) - 1
 
 
 def policy_bootstrap(daily: DataFrame, case: str, base: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:
@@ -255,6 +304,25 @@ def policy_bootstrap(daily: DataFrame, case: str, base: str, n_boot: int = 1000,
     return means.agg(F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high")).crossJoin(size)
 
 
+def pooled_policy_bootstrap(rows: DataFrame, case: str, base: str, outcome: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
+    """Difference of two policies' rates over all rows, case less base, with an interval from dates drawn with replacement.
+
+    A drawn date brings all its rows, so rates pool numerators and denominators; draws in which a policy has no row are left out.
+    """
+    from panelweave.operators.stats import draw
+
+    hit = lambda flag: F.coalesce(F.sum(F.when(F.col(flag), F.col(outcome).cast("double"))), F.lit(0.0))
+    size = lambda flag: F.count(F.when(F.col(flag), F.col(outcome)))
+    daily = rows.groupBy("date").agg(hit(case).alias("a"), size(case).alias("na"), hit(base).alias("b"), size(base).alias("nb"))
+    daily = daily.withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)  # one row a date
+    rate = lambda: F.sum("a") / F.nullif(F.sum("na"), F.lit(0)) - F.sum("b") / F.nullif(F.sum("nb"), F.lit(0))
+    whole = daily.agg(F.count("*").alias("n_dates"), rate().alias("difference"))
+    drawn = whole.select(F.col("n_dates").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
+    drawn = drawn.withColumn("i", draw(F.lit(str(seed)), "rep", "k") % F.col("n"))
+    means = drawn.join(daily, "i").groupBy("rep").agg(F.round(rate(), 12).alias("m")).filter("m is not null")
+    return means.agg(F.count("*").alias("n_boot"), F.percentile("m", F.lit(0.025)).alias("ci_low"), F.percentile("m", F.lit(0.975)).alias("ci_high")).crossJoin(whole)
+
+
 def hac_regression(daily: DataFrame, y: str, xs: list[str], max_lag: int, order: str = "date") -> DataFrame:
     """Coefficients with Bartlett-weighted standard errors: term, value, se, t.
 

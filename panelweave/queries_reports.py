@@ -465,6 +465,15 @@ def e11(spark, sf):
     return reports.policy_bootstrap(daily, "case", "base").select(*r6("ci_low", "ci_high"), "n", *r6("difference"))
 
 
+@query("e11_pooled_bootstrap", RISK + """, d AS (SELECT date, coalesce(sum(CAST(risky AS DOUBLE)) FILTER (WHERE v < 0.8), 0) AS a, count(*) FILTER (WHERE v < 0.8) AS na, sum(CAST(risky AS DOUBLE)) AS b, count(*) AS nb, row_number() OVER (ORDER BY date) - 1 AS i FROM risk GROUP BY date),
+n AS (SELECT count(*) AS n, sum(a) / nullif(sum(na), 0) - sum(b) / sum(nb) AS e FROM d), r AS (SELECT rep, ('0x' || substr(md5('42|' || rep || '|' || k), 1, 8))::BIGINT % n AS i FROM n, range(2000) q(rep), range(0, n) z(k)),
+m AS (SELECT rep, round(sum(a) / nullif(sum(na), 0) - sum(b) / sum(nb), 12) AS m FROM r JOIN d USING (i) GROUP BY rep)
+SELECT count(m) AS n_boot, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high, (SELECT n FROM n) AS n_dates, (SELECT round(e, 6) FROM n) AS difference FROM m""")
+def e11_pooled(spark, sf):
+    rows = risk_rows(spark, sf).select("date", (F.col("future_vol") < 0.8).alias("case"), F.lit(True).alias("base"), "future_risky")
+    return reports.pooled_policy_bootstrap(rows, "case", "base", "future_risky").select("n_boot", *r6("ci_low", "ci_high"), "n_dates", *r6("difference"))
+
+
 HAC = """, y AS (SELECT date, avg(r) AS r, any_value(m) AS m FROM rets WHERE r IS NOT NULL GROUP BY date), f AS (SELECT regr_slope(r, m) AS b, regr_intercept(r, m) AS a, count(*) AS n, sum(m) AS sx, sum(m * m) AS sxx FROM y),
 u AS (SELECT row_number() OVER (ORDER BY date) AS i, r - a - b * m AS e, (r - a - b * m) * m AS g FROM y, f), z AS (SELECT p.i - q.i AS k, p.e AS e1, p.g AS g1, q.e AS e0, q.g AS g0 FROM u p JOIN u q ON p.i - q.i BETWEEN 0 AND 3),
 s AS (SELECT sum(w * (e1 * e0 * 2)) AS s00, sum(w * (e1 * g0 + e0 * g1)) AS s01, sum(w * (g1 * g0 * 2)) AS s11 FROM (SELECT *, CASE WHEN k = 0 THEN 0.5 ELSE 1 - k / 4.0 END AS w FROM z)),
@@ -585,3 +594,64 @@ def b19(spark, sf):
     weights = spark.createDataFrame([("momentum", 0.5), ("low_vol", 0.5)], "model string, weight double")
     blend = xsec.rank_blend(predictions(spark, sf), weights).filter("models = 2").withColumn("blend", F.round("blend", 10))
     return reports.recommendation(joins.attach_sector(blend, A.sectors(spark, sf)), 10).select("date", "ticker", "pick", "status", *r6("weight"))
+
+
+SCOPES = RANKED + """, pr AS (SELECT 'momentum' AS scope, date, ticker, sector, vol6 IS NOT NULL AND vol6 < 0.5 AS stable, mom6 AS pred, target_simple AS t FROM bk
+  UNION ALL SELECT 'low_vol', date, ticker, sector, vol6 < 0.5, -round(vol6, 10), target_simple FROM bk WHERE vol6 IS NOT NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY scope, date ORDER BY pred, ticker) AS k, count(*) OVER (PARTITION BY scope, date) AS m FROM pr),
+g AS (SELECT f.*, z.n AS top_n, CASE WHEN stable THEN 0 ELSE 1 END AS pool FROM f, (VALUES (4), (10)) z(n) WHERE m >= 5 AND (stable OR coalesce(ceil((k - 1) * 5.0::DOUBLE / nullif(m - 1, 0)), 1) = 5)),
+h AS (SELECT *, row_number() OVER (PARTITION BY scope, top_n, date, sector ORDER BY pool, pred DESC, ticker) AS s FROM g),
+i AS (SELECT *, row_number() OVER (PARTITION BY scope, top_n, date ORDER BY pool, pred DESC, ticker) AS pick FROM h WHERE s <= top_n / 2),
+c AS (SELECT scope, top_n, date, count(*) AS selected, count(*) FILTER (WHERE NOT stable) AS fallback_n, count(t) AS k, coalesce(sum(t), 0) AS s FROM i WHERE pick <= top_n GROUP BY ALL),
+d AS (SELECT DISTINCT scope, date, z.n AS top_n FROM pr, (VALUES (4), (10)) z(n))"""
+
+
+@query("b6_scopes", SCOPES + """ SELECT scope, date, top_n, coalesce(selected, 0) AS selected, coalesce(fallback_n, 0) AS fallback_n,
+ CASE WHEN coalesce(selected, 0) <> top_n THEN 'insufficient_candidates' WHEN k < top_n THEN 'missing_return' ELSE 'settled' END AS status,
+ round(CASE WHEN selected = top_n AND k = top_n THEN s / top_n END, 6) AS return_settled, round(CASE WHEN selected = top_n THEN (top_n - k) / top_n::DOUBLE END, 6) AS missing_weight,
+ round(CASE WHEN selected = top_n THEN (s - 0.5 * (top_n - k)) / top_n END, 6) AS assumption_loss50 FROM d LEFT JOIN c USING (scope, date, top_n)""")
+def b6(spark, sf):
+    scores = F.array(F.struct(F.lit("momentum").alias("scope"), F.col("mom6").alias("pred")), F.struct(F.lit("low_vol").alias("scope"), (-F.round("vol6", 10)).alias("pred")))
+    rows = signals(spark, sf).withColumn("stable", F.coalesce(F.col("vol6") < 0.5, F.lit(False))).select("date", "ticker", "sector", "stable", "target_simple", F.inline(scores)).filter("pred is not null")
+    return reports.scope_comparison(rows, "target_simple", (4, 10)).select("scope", "date", "top_n", "selected", "fallback_n", "status", *r6("return_settled", "missing_weight", "assumption_loss50"))
+
+
+@query("b16_cash", PRED + IC + """, sc AS (SELECT date, session_no, CAST((session_no - 13) / 6 AS INTEGER) AS period FROM cal WHERE session_no >= 13 AND (session_no - 13) % 6 = 0 AND session_no + 7 <= (SELECT max(session_no) FROM cal)),
+w AS (SELECT date, sum(greatest(round(ic, 10), 0)) AS w FROM ic GROUP BY date)
+SELECT period, c.date, CAST(1 AS DOUBLE) AS wealth, 'cash' AS status FROM sc LEFT JOIN w USING (date) JOIN cal c ON c.session_no BETWEEN sc.session_no + 1 AND sc.session_no + 7 WHERE coalesce(w, 0) = 0""")
+def b16(spark, sf):
+    cal = A.market(spark, sf)
+    weights = stats.daily_ic(predictions(spark, sf), "pred", "target_excess", ("model", "date")).select("date", F.greatest(F.round("ic", 10), F.lit(0.0)).alias("weight"))
+    periods = labels.schedule(cal, 13, HORIZON, HORIZON, LAG).select("period", "date", (F.col("session_no") + LAG).alias("entry_no"), (F.col("session_no") + LAG + HORIZON).alias("exit_no"))
+    return reports.cash_paths(periods, weights, cal)
+
+
+@query("b17_risk_free", """SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date,
+ round(pow(1 + greatest(round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 6) / 100000 - 1.5, 0) / 100, 1.0 / 12) - 1, 9) AS rf FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY 1""")
+def b17(spark, sf):
+    rows = A.macro(spark, sf).filter("x1 is not null")
+    return rows.select("date", F.round(reports.risk_free(F.col("x1") / 100000 - 1.5, YEAR), 9).alias("rf"))
+
+
+@query("t7_select", RANKED + """, sc AS (SELECT date, CAST((session_no - 13) / 6 AS INTEGER) AS period FROM cal WHERE session_no >= 13 AND (session_no - 13) % 6 = 0 AND session_no + 7 <= (SELECT max(session_no) FROM cal)),
+p AS (SELECT sector, period, avg(target_simple) AS r, count(target_simple) = count(*) AS whole FROM sig JOIN sc USING (date) GROUP BY ALL),
+v AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY sector ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS c FROM p),
+u AS (SELECT *, c / greatest(1, max(c) OVER (PARTITION BY sector ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - 1 AS f FROM v),
+s AS (SELECT sector AS strategy, count(*) AS n_periods, CASE WHEN bool_and(whole) THEN 'complete_path' ELSE 'incomplete' END AS status, round(arg_max(c, period) - 1, 8) AS cumulative_return, round(min(f), 8) AS mdd FROM u GROUP BY sector),
+q AS (SELECT sector, date, rank() OVER (PARTITION BY sector, date ORDER BY mom6) + (count(*) OVER (PARTITION BY sector, date, mom6) - 1) / 2.0 AS a,
+  rank() OVER (PARTITION BY sector, date ORDER BY target_excess) + (count(*) OVER (PARTITION BY sector, date, target_excess) - 1) / 2.0 AS b, mom6, target_excess FROM sig WHERE target_excess IS NOT NULL),
+i AS (SELECT sector AS strategy, round(avg(ic), 8) AS mean_ic FROM (SELECT sector, date, corr(a, b) AS ic FROM q GROUP BY ALL HAVING count(*) >= 5 AND count(DISTINCT mom6) > 1 AND count(DISTINCT target_excess) > 1) GROUP BY sector),
+e AS (SELECT s.*, mean_ic, coalesce(n_periods = (SELECT count(*) FROM sc) AND status = 'complete_path', false) AS eligible FROM s LEFT JOIN i USING (strategy)), m AS (SELECT *, eligible AND mdd >= -0.4 AS met FROM e)
+SELECT strategy, n_periods, status, cumulative_return, mdd, mean_ic, eligible, met AS risk_preference_met, met AND row_number() OVER (ORDER BY met DESC, cumulative_return DESC, mdd DESC, mean_ic DESC NULLS LAST, strategy) = 1 AS selected,
+ CASE WHEN bool_or(met) OVER () THEN 'exploratory_selected' ELSE 'deferred_no_complete_risk_qualified_candidate' END AS selection_status FROM m""")
+def t7(spark, sf):
+    from pyspark.sql import Window
+
+    rows, dates = signals(spark, sf), labels.schedule(A.market(spark, sf), 13, HORIZON, HORIZON, LAG).select("date", "period")
+    w = Window.partitionBy("sector").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    line = rows.join(F.broadcast(dates), "date").groupBy("sector", "period").agg(F.avg("target_simple").alias("r"), (F.count("target_simple") == F.count("*")).alias("whole"))
+    line = line.withColumn("c", F.exp(F.sum(F.log1p("r")).over(w))).withColumn("f", F.col("c") / F.greatest(F.lit(1.0), F.max("c").over(w)) - 1)
+    status = F.when(F.bool_and("whole"), "complete_path").otherwise("incomplete")
+    summary = line.groupBy(F.col("sector").alias("strategy")).agg(F.count("*").alias("n_periods"), status.alias("status"), F.round(F.max_by("c", "period") - 1, 8).alias("cumulative_return"), F.round(F.min("f"), 8).alias("mdd"))
+    ic = stats.daily_ic(rows, "mom6", "target_excess", ("sector", "date")).groupBy(F.col("sector").alias("strategy")).agg(F.round(F.avg("ic"), 8).alias("mean_ic"))
+    return reports.select_candidate(summary, ic, dates.count(), -0.4).select("strategy", "n_periods", "status", "cumulative_return", "mdd", "mean_ic", "eligible", "risk_preference_met", "selected", "selection_status")
