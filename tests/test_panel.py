@@ -233,3 +233,45 @@ def test_sector_policy_knows_unknown_sectors(spark):
     assert len(out) == 40 and (out[out.sector.isna()].sector_status == "UNKNOWN").all()
     assert set(out[out.sector == "A"].sector_status) == {"STABLE", "MIDDLE", "RISKY"}
     assert (out.balanced_verified <= out.balanced_eligible).all() and (out.balanced_eligible <= out.stable).all()
+
+
+def test_running_sums_equal_a_plain_scan(spark):
+    rng = np.random.default_rng(3)
+    values = sorted({round(float(v), 3) for v in rng.normal(0, 1, 400)} | {float(10**6)})
+    rows = [(v, int(rng.integers(1, 9))) for v in values]
+    df = spark.createDataFrame(rows, "v double, n long")
+    up = {r.v: r.n_to for r in stats.running_sums(df, "v", ["n"], slices=7).collect()}
+    down = {r.v: r.n_to for r in stats.running_sums(df, "v", ["n"], descending=True, slices=7).collect()}
+    counts = np.array([n for _, n in rows])
+    assert up == dict(zip(values, np.cumsum(counts).tolist(), strict=True))
+    assert down == dict(zip(values, np.cumsum(counts[::-1])[::-1].tolist(), strict=True))
+    assert stats.running_sums(df.limit(0), "v", ["n"]).count() == 0
+
+
+def test_candidate_is_deferred_without_a_path_within_the_limit(spark):
+    from panelweave.operators import reports
+
+    rows = [("a", 4, "complete_path", 0.9, -0.3), ("b", 4, "complete_path", 0.2, -0.1), ("c", 4, "complete_path", 0.2, -0.1), ("d", 3, "complete_path", 2.0, -0.01), ("e", 4, "incomplete", None, None)]
+    summary = spark.createDataFrame(rows, "strategy string, n_periods int, status string, cumulative_return double, mdd double")
+    ic = spark.createDataFrame([("b", 0.01), ("c", 0.02)], "strategy string, mean_ic double")
+    got = reports.select_candidate(summary, ic, 4).toPandas().set_index("strategy")
+    assert got.selected[got.selected].index.tolist() == ["c"] and got.eligible.to_dict() == {"a": True, "b": True, "c": True, "d": False, "e": False}
+    none = reports.select_candidate(summary, ic, 4, limit=-0.05).toPandas()
+    assert not none.selected.any() and set(none.selection_status) == {"deferred_no_complete_risk_qualified_candidate"}
+
+
+def test_scopes_settle_only_whole_picks(spark):
+    from panelweave.operators import reports
+
+    def scope(day, returns):
+        return [("all", day, f"T{i}", f"s{i}", i < 4, float(10 - i), r) for i, r in enumerate(returns)]
+
+    a, b, c = days(3)
+    rows = scope(a, [0.1, 0.2, 0.3, 0.0, 0.5, 0.5]) + scope(b, [0.1, None, 0.3, 0.0, 0.5, 0.5]) + scope(c, [0.1, 0.2])
+    df = spark.createDataFrame(rows, "scope string, date date, ticker string, sector string, stable boolean, pred double, ret double")
+    got = {r.date: r for r in reports.scope_comparison(df, "ret", (4,)).collect()}
+    assert [got[d].status for d in (a, b, c)] == ["settled", "missing_return", "insufficient_candidates"]
+    assert got[a].return_settled == pytest.approx(0.15) and got[b].return_settled is None and got[c].assumption_flat is None
+    assert got[b].missing_weight == 0.25 and got[b].assumption_loss50 == pytest.approx((0.4 - 0.5) / 4)
+    with pytest.raises(Exception, match="under -100"):
+        reports.scope_comparison(spark.createDataFrame(scope(a, [-1.5, 0.2, 0.3, 0.0, 0.5]), df.schema), "ret", (4,)).collect()
