@@ -106,3 +106,23 @@ def string_hashes(strings: pa.Array) -> np.ndarray:
     import xxhash
 
     return np.fromiter((xxhash.xxh3_64_intdigest(s) for s in strings.cast(pa.binary()).to_pylist()), np.uint64, len(strings))
+
+
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the UTF-8 bytes of all texts on end, where each text begins and the last one ends); no text is null."""
+    whole = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+    first, last = int(offsets[0]), int(offsets[-1])
+    data = np.frombuffer(whole.buffers()[2], np.uint8)[first:last] if last > first else np.zeros(0, np.uint8)
+    return data, offsets - first
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, one past the last) of every longest run of true values that lies within one text."""
+    cuts = offsets[(offsets > 0) & (offsets < len(inside))]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[cuts] = inside[cuts]
+    last[cuts - 1] = inside[cuts - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1

@@ -1,12 +1,13 @@
 """The registered queries of this subpackage: each operator over its whole table with production parameters."""
 
+import hashlib
 import importlib
 import os
 
 
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat, dedup, fingerprint, langid, lm, mixing, packing, topk, toxicity, urltree
+from panelweave.llm import chat, dedup, fingerprint, langid, lm, mixing, packing, resample, secrets, topk, toxicity, urltree, vectorcode
 from panelweave.llm.common import table
 
 
@@ -70,6 +71,25 @@ def op9_fingerprints(spark, sf_dir):
     return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_codes(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    books = vectorcode.learn(rows, parts=16, entries=64, rounds=2, scale=256)
+    coded = vectorcode.with_label_error(vectorcode.encode(rows, books))
+    sha = hashlib.sha256(books.text().encode()).hexdigest()
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(sha).alias("codebooks_sha256"))
+
+
+def op12_secrets(spark, sf_dir):
+    found = secrets.find(table(spark, sf_dir, "documents"), rate=0.05)
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    more = [F.size("added").cast("long").alias("n_random"), F.col("n_confirmed").cast("long").alias("n_confirmed")]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_text(F.col("base")), 256).alias("base_sha256"), secrets.span_text(F.concat("base", "added")).alias("spans"), *more)
+
+
+def op13_resampling(spark, sf_dir):
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, buckets=10_000, longest=2, seed=7)
+
+
 OP3_SQL = """
 WITH listed AS (
   SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\s+')) AS raw, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\\s+'), 1) AS i FROM documents
@@ -110,6 +130,62 @@ WITH fine AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+def op11_sql() -> str:
+    """Two rounds and the last assignment as one chain of tables, every part against every entry."""
+    steps = []
+    for n in range(3):
+        steps.append(f"""a{n} AS (
+  SELECT r, p, arg_min(e, d * 64 + e) AS e, min(d) AS d FROM (SELECT x.r, x.p, c.e, sum((x.x - c.x) * (x.x - c.x)) AS d FROM parts x JOIN c{n} c USING (p, i) GROUP BY ALL) GROUP BY r, p
+)""")
+        if n < 2:
+            steps.append(f"""c{n + 1} AS (
+  SELECT c.p, c.e, c.i, coalesce(m.x, c.x) AS x FROM c{n} c
+  LEFT JOIN (SELECT a.p, a.e, x.i, CAST(floor(sum(x.x)::DOUBLE / count(*)) AS BIGINT) AS x FROM a{n} a JOIN parts x USING (r, p) GROUP BY ALL) m USING (p, e, i)
+)""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * c::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0
+), parts AS MATERIALIZED (
+  SELECT r, vec_id, (k - 1) // (n // 16) AS p, (k - 1) % (n // 16) AS i, v[k] AS x FROM (SELECT *, len(v) AS n, unnest(range(1, len(v) + 1)) AS k FROM kept)
+), first AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (SELECT DISTINCT vec_id FROM kept WHERE vec_id IS NOT NULL ORDER BY vec_id LIMIT 64)
+), c0 AS (SELECT p, e, i, x FROM parts JOIN first USING (vec_id)), {", ".join(s.replace(" AS (", " AS MATERIALIZED (", 1) for s in steps)}, coded AS (
+  SELECT r, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r
+), books AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) AS s FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT s FROM books) AS codebooks_sha256 FROM kept JOIN coded USING (r)
+"""
+
+
+OP13_SQL = """
+WITH words AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, doc_id FROM documents
+  UNION ALL
+  SELECT 'b', row_number() OVER (), regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), NULL FROM benchmark
+), features AS (
+  SELECT side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words
+), crc AS (  -- the checksum's table, then one step a byte
+  SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) x(n)
+), hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT))),
+                            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)), crc
+), counted AS (
+  SELECT b, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM features JOIN hashed USING (f) GROUP BY b
+), gains AS (
+  SELECT b, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS g FROM counted
+), weighed AS (
+  SELECT r, count(*) AS n, CAST(sum(g) AS BIGINT) AS g FROM features JOIN hashed USING (f) JOIN gains USING (b) WHERE side = 'd' GROUP BY r
+), scored AS (
+  SELECT r, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0) AS weight,
+         CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise
+  FROM words LEFT JOIN weighed USING (r) WHERE side = 'd'
+), ranked AS (
+  SELECT r, row_number() OVER (ORDER BY weight + noise DESC, doc_id, r) AS k, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN k <= 25 * n // 100 THEN k END AS rank FROM scored LEFT JOIN ranked USING (r)
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
@@ -121,5 +197,8 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_fingerprints": op9_fingerprints,
     "op10_topk": op10_topk,
+    "op11_codes": op11_codes,
+    "op12_secrets": op12_secrets,
+    "op13_resampling": op13_resampling,
 }
-ORACLES: dict[str, str] = {"op3_lm": OP3_SQL, "op8_chat": chat.ROTATE_SQL, "op10_topk": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_lm": OP3_SQL, "op8_chat": chat.ROTATE_SQL, "op10_topk": OP10_SQL, "op11_codes": op11_sql(), "op13_resampling": OP13_SQL}
