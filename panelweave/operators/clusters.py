@@ -1,6 +1,7 @@
 """K-means within every cross-section at once, and the tables built on its states."""
 
 import tempfile
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from panelweave.operators.xsec import first_rank, z_score
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, in the checkpoint folder; a folder of this machine only for a local session that names none."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
@@ -27,33 +28,52 @@ def _gap(zs: Column, centre: Column) -> Column:
 
 
 def _lloyd(df: DataFrame, features: list[str], k: int, by: list[str], most: int, least: int, tie: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with _zs, _n, cluster and their group's _centres; centres, one row a group): Lloyd steps from even quantiles of the features' sum until no centre moves.
-
-    Rows stay where they are; each step aggregates them to k centres a group, partially before the shuffle, and joins those back.
-    """
+    """As walk, from the features' z-scores within the group; seeds are even quantiles of their sum."""
     rows = df.dropna(subset=features).withColumn("_n", F.count("*").over(Window.partitionBy(*by))).filter(F.col("_n") >= least)
     rows = rows.withColumn("_zs", F.array(*(F.round(z_score(f, *by), 10) for f in features)))
     rows = rows.withColumn("_sum", F.round(F.aggregate("_zs", F.lit(0.0), lambda acc, z: acc + z), 10))
     rows = rows.withColumn("_seed", F.floor((first_rank("_sum", *by, tie=tie) - 1) * k / F.col("_n")).cast("int")).drop("_sum").persist()
+    return walk(rows, len(features), k, by, most)
+
 
+def walk(rows: DataFrame, width: int, k: int, by: list[str], most: int, few: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows with cluster and their group's _centres; centres, one row a group) after Lloyd steps from _seed over the points _zs until no centre moves.
+
+    Rows stay where they are; each step aggregates them to k centres a group, partially before the shuffle, and joins those back. Where the
+    caller has counted the groups and they are few, their centres go through the driver and back as a broadcast, one job a step. Warns where
+    `most` steps do not suffice.
+    """
     every = F.sequence(F.lit(0), F.lit(k - 1))
+    mean = F.array(*(F.round(F.avg(F.col("_zs")[i]), 10) for i in range(width)))
 
     def means(assigned: DataFrame) -> DataFrame:
-        sums = assigned.groupBy(*by, "cluster").agg(F.first("_centres").alias("_old"), F.array(*(F.round(F.avg(F.col("_zs")[i]), 10) for i in range(len(features)))).alias("_mean"))
+        sums = assigned.groupBy(*by, "cluster").agg(F.first("_centres").alias("_old"), mean.alias("_mean"))
         found = sums.groupBy(*by).agg(F.first("_old").alias("_old"), F.map_from_entries(F.collect_list(F.struct("cluster", "_mean"))).alias("_new"))
         kept = F.transform(every, lambda i: F.coalesce(F.col("_new")[i], F.col("_old")[i]))  # a cluster without members stays where it was
-        return found.select(*by, kept.alias("_centres"), (~kept.eqNullSafe(F.col("_old"))).alias("_moved"))
+        return cut(found.select(*by, kept.alias("_centres"), (~kept.eqNullSafe(F.col("_old"))).alias("_moved")))
+
+    def few_means(assigned: DataFrame) -> DataFrame:
+        groups: dict[tuple, list] = {}
+        for row in assigned.groupBy(*by, "cluster").agg(F.first("_centres").alias("_old"), mean.alias("_mean")).collect():
+            new = groups.setdefault(tuple(row[c] for c in by), [row["_old"], list(row["_old"])])[1]
+            new[row["cluster"]] = row["_mean"]
+        kind = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+        return rows.sparkSession.createDataFrame([(*g, new, new != old) for g, (old, new) in groups.items()], f"{kind}, _centres array<array<double>>, _moved boolean")
 
     def placed(centres: DataFrame) -> DataFrame:
         near = F.transform("_centres", lambda c, i: F.struct(_gap(F.col("_zs"), c).alias("d"), i.alias("c")))
-        return rows.join(centres.drop("_moved"), by).withColumn("cluster", F.array_min(F.filter(near, lambda x: x["d"].isNotNull()))["c"])
+        own = centres.drop("_moved")
+        return rows.join(F.broadcast(own) if few else own, by).withColumn("cluster", F.array_min(F.filter(near, lambda x: x["d"].isNotNull()))["c"])
 
+    step = few_means if few else means
     nowhere = F.transform(every, lambda i: F.lit(None).cast("array<double>"))
-    centres = _cut(means(rows.withColumn("cluster", F.col("_seed")).withColumn("_centres", nowhere)))
+    centres = step(rows.withColumn("cluster", F.col("_seed")).withColumn("_centres", nowhere))
     for _ in range(most):
-        centres = _cut(means(placed(centres)))
+        centres = step(placed(centres))
         if centres.filter("_moved").isEmpty():
             break
+    else:
+        warnings.warn(f"centres still move after {most} steps", stacklevel=3)
     return placed(centres).drop("_seed"), centres
 
 

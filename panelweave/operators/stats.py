@@ -165,6 +165,43 @@ def capm(daily: DataFrame, r: str, m: str) -> DataFrame:
     return daily.dropna(subset=[r, m]).agg(F.regr_slope(r, m).alias("beta"), F.regr_intercept(r, m).alias("alpha"), F.regr_r2(r, m).alias("r2"), F.count("*").alias("n"))
 
 
+def market_beta(daily: DataFrame, by: list[str], r: str, m: str, rf: str, hac_lag: int, year: int = 252, least: int = 30, order: str = "date") -> DataFrame:
+    """Regression of excess returns on the market's by group, with Bartlett-weighted (HAC) standard errors: one row a group.
+
+    alpha_ann_arithmetic is the session's alpha times `year`; intervals are 1.96 standard errors wide on both sides, p is normal, and the
+    covariance is scaled by n / (n - 2). status: ok, insufficient_data under `least` sessions, constant_market where it does not move; in both
+    of the latter all estimates are null. hac_lag is cut to n - 1. One pass sums products, a second those of residual scores at every lag.
+    """
+    rows = daily.select(*by, order, (F.col(r) - F.col(rf)).alias("_y"), (F.col(m) - F.col(rf)).alias("_x"))
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    fit = rows.groupBy(*by).agg(
+        F.count("*").alias("n_days"), F.regr_slope("_y", "_x").alias("_b"), F.regr_intercept("_y", "_x").alias("_a"), F.var_pop("_x").alias("_v"), F.sum("_x").alias("_sx"), F.sum(F.col("_x") * F.col("_x")).alias("_sxx"),
+        (F.var_pop("_y") * F.count("*")).alias("_total"), (F.max("_x") > F.min("_x")).alias("_moves"),
+    )
+    status = F.when(F.col("n_days") < least, "insufficient_data").when(~F.col("_moves"), "constant_market").otherwise("ok")
+    fit = fit.withColumn("status", status).withColumn("hac_lag", F.least(F.lit(hac_lag), F.col("n_days").cast("int") - 1))
+    rows = rows.join(fit.filter("status = 'ok'").select(*by, "_a", "_b", "hac_lag"), by)
+    rows = rows.select(*by, "_i", "_x", "hac_lag", (F.col("_y") - F.col("_a") - F.col("_b") * F.col("_x")).alias("_u"))
+    ahead = rows.select(*by, F.explode(F.sequence(F.lit(0), F.col("hac_lag"))).alias("_k"), "_i", "_x", "_u")
+    ahead = ahead.select(*by, "_k", (F.col("_i") + F.col("_k")).alias("_i"), F.col("_x").alias("_x1"), F.col("_u").alias("_u1"))
+    weight = F.when(F.col("_k") == 0, 1.0).otherwise(2 * (1 - F.col("_k") / (F.col("hac_lag") + 1)))
+    both = F.col("_u") * F.col("_u1") * weight
+    meat = rows.join(ahead, [*by, "_i"]).groupBy(*by).agg(
+        F.sum(both).alias("_m00"), F.sum(both * (F.col("_x") + F.col("_x1")) / 2).alias("_m01"), F.sum(both * F.col("_x") * F.col("_x1")).alias("_m11"), F.sum(F.when(F.col("_k") == 0, F.col("_u") * F.col("_u"))).alias("_rest"))
+    n = F.col("n_days")
+    det = F.nullif(n * n * F.col("_v"), F.lit(0.0))
+    b00, b01, b11 = F.col("_sxx") / det, -F.col("_sx") / det, n / det
+    spread = lambda p, q: F.sqrt(F.greatest((p * p * F.col("_m00") + 2 * p * q * F.col("_m01") + q * q * F.col("_m11")) * n / F.nullif(n - 2, F.lit(0)), F.lit(0.0)))
+    out = fit.join(meat, by, "left").withColumns({"_sa": spread(b00, b01), "_sb": spread(b01, b11)})
+    ok, t = F.col("status") == "ok", F.col("_a") / F.when(F.col("_sa") > 1e-15, F.col("_sa"))
+    values = {
+        "alpha_daily": F.col("_a"), "alpha_ann_arithmetic": F.col("_a") * year, "beta": F.col("_b"), "alpha_hac_t": t, "alpha_p_normal": 2 * normal_tail(t),
+        "alpha_ann_ci_low": (F.col("_a") - 1.96 * F.col("_sa")) * year, "alpha_ann_ci_high": (F.col("_a") + 1.96 * F.col("_sa")) * year,
+        "beta_ci_low": F.col("_b") - 1.96 * F.col("_sb"), "beta_ci_high": F.col("_b") + 1.96 * F.col("_sb"), "r_squared": 1 - F.col("_rest") / F.nullif(F.col("_total"), F.lit(0.0)),
+    }
+    return out.select(*by, "n_days", *(F.when(ok, v).alias(c) for c, v in values.items()), "hac_lag", "status")
+
+
 def classification(df: DataFrame, label: str, predicted: str, score: str) -> DataFrame:
     """Confusion counts and rates, ROC-AUC by rank sums and average precision, from counts of distinct scores."""
     y, p = F.col(label) == 1, F.col(predicted) == 1

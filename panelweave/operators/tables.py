@@ -42,11 +42,15 @@ def transitions(pairs: DataFrame, states: list) -> DataFrame:
     return rows.select("state_from", *(F.col(str(s)).alias(f"n_{s}") for s in states), *((F.col(str(s)) / total).alias(f"share_{s}") for s in states))
 
 
-def regimes(market: DataFrame, r: str, trend: int, short: int, quantile: float = 0.75, least: int = 12) -> DataFrame:
-    """up/down by compounded trend and calm/wild by volatility against the earlier quantile of volatility, known the session before."""
+def regimes(market: DataFrame, r: str, trend: int, short: int, quantile: float = 0.75, least: int = 12, vol: str | None = None) -> DataFrame:
+    """up/down by compounded trend and calm/wild by volatility against the earlier quantile of volatility, known the session before.
+
+    r holds log returns; vol may name another column for the volatility, as simple returns.
+    """
+    v = vol or r
     w = Window.partitionBy(F.lit(0)).orderBy("session_no")
     n = lambda k: w.rowsBetween(-(k - 1), 0)
-    rows = market.withColumn("trend", F.when(F.count(r).over(n(trend)) == trend, F.exp(F.sum(r).over(n(trend))) - 1)).withColumn("vol", F.when(F.count(r).over(n(short)) == short, F.stddev_samp(r).over(n(short))))
+    rows = market.withColumn("trend", F.when(F.count(r).over(n(trend)) == trend, F.exp(F.sum(r).over(n(trend))) - 1)).withColumn("vol", F.when(F.count(v).over(n(short)) == short, F.stddev_samp(v).over(n(short))))
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("cut", F.when(F.count("vol").over(past) >= least, F.percentile("vol", F.lit(quantile)).over(past)))
     name = F.concat(F.when(F.col("trend") >= 0, "up").otherwise("down"), F.lit("_"), F.when(F.col("vol") > F.col("cut"), "wild").otherwise("calm"))
