@@ -197,8 +197,8 @@ def retention(states: DataFrame, gap: int, shock: Column) -> DataFrame:
 
 
 def paired_scopes(periods: DataFrame, base: str, case: str) -> DataFrame:
-    """Periods that both strategies settle: means, wins and coverage."""
-    wide = periods.groupBy("period").pivot("strategy", [base, case]).agg(F.first("r"))
+    """Periods that both strategies settle: means, wins and coverage. Returns are compared at ten digits, so equal names in another order do not win."""
+    wide = periods.groupBy("period").pivot("strategy", [base, case]).agg(F.round(F.first("r"), 10))
     both = F.col(base).isNotNull() & F.col(case).isNotNull()
     mean = lambda c: F.avg(F.when(both, F.col(c)))
     return wide.agg(F.count(F.when(both, 1)).alias("n_both"), F.count("*").alias("n_periods"), mean(base).alias("mean_base"), mean(case).alias("mean_case"), F.count(F.when(both & (F.col(case) > F.col(base)), 1)).alias("wins"))

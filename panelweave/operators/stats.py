@@ -93,7 +93,7 @@ def neutralised(df: DataFrame, value: str, controls: list[str], by: str = "date"
 
 
 def autocorrelation(series: DataFrame, value: str, lags: list[int], order: str = "date") -> DataFrame:
-    """Correlation of an ordered series with itself at each lag, and naive and thinned t of its mean."""
+    """Correlation of an ordered series with itself at each lag."""
     rows = series.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)))
     later = rows.select((F.col("_i") + F.col("lag")).alias("_i"), "lag", F.col(value).alias("_v")) if "lag" in rows.columns else rows.select("_i", F.col(value).alias("_v")).crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in lags], "lag int"))).withColumn("_i", F.col("_i") + F.col("lag"))
     return rows.join(later, "_i").groupBy("lag").agg(F.corr(value, "_v").alias("autocorrelation"), F.count("*").alias("n"))

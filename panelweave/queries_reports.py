@@ -377,7 +377,7 @@ def g13(spark, sf):
 
 
 @query("g14_paired_scopes", PICKS + """, pa AS (SELECT period, avg(target_simple) AS r FROM held GROUP BY 1), pb AS (SELECT CAST((session_no - 13) / 6 AS INTEGER) AS period, avg(target_simple) AS r FROM sig WHERE session_no >= 13 AND (session_no - 13) % 6 = 0 AND session_no + 7 <= (SELECT max(session_no) FROM cal) GROUP BY 1)
-SELECT count(*) FILTER (WHERE pa.r IS NOT NULL AND pb.r IS NOT NULL) AS n_both, count(*) AS n_periods, round(avg(pb.r), 6) AS mean_base, round(avg(pa.r), 6) AS mean_case, count(*) FILTER (WHERE pa.r > pb.r) AS wins FROM pa FULL JOIN pb USING (period)""")
+SELECT count(*) FILTER (WHERE pa.r IS NOT NULL AND pb.r IS NOT NULL) AS n_both, count(*) AS n_periods, round(avg(pb.r), 6) AS mean_base, round(avg(pa.r), 6) AS mean_case, count(*) FILTER (WHERE round(pa.r, 10) > round(pb.r, 10)) AS wins FROM pa FULL JOIN pb USING (period)""")
 def g14(spark, sf):
     days = labels.schedule(A.market(spark, sf), 13, HORIZON, HORIZON, LAG).select("date", "period")
     case = picks(spark, sf).groupBy("period").agg(F.avg("target_simple").alias("r")).withColumn("strategy", F.lit("case"))
@@ -444,10 +444,10 @@ def e3b(spark, sf):
 
 
 @query("e7_neutralised", """, k AS (SELECT ticker, date, rank() OVER (PARTITION BY date ORDER BY mom6) + (count(*) OVER (PARTITION BY date, mom6) - 1) / 2.0 AS y, rank() OVER (PARTITION BY date ORDER BY v) + (count(*) OVER (PARTITION BY date, v) - 1) / 2.0 AS x FROM (SELECT *, round(vol6, 10) AS v FROM sig WHERE vol6 IS NOT NULL)),
-f AS (SELECT ticker, date, y - avg(y) OVER w - coalesce(covar_pop(y, x) OVER w / nullif(var_pop(x) OVER w, 0), 0) * (x - avg(x) OVER w) AS e FROM k WINDOW w AS (PARTITION BY date)) SELECT ticker, date, round(CASE WHEN stddev_pop(e) OVER (PARTITION BY date) > 1e-10 THEN e END, 5) AS residual FROM f""")
+f AS (SELECT ticker, date, y - avg(y) OVER w - coalesce(covar_pop(y, x) OVER w / nullif(var_pop(x) OVER w, 0), 0) * (x - avg(x) OVER w) AS e FROM k WINDOW w AS (PARTITION BY date)) SELECT ticker, date, round(CASE WHEN stddev_pop(e) OVER (PARTITION BY date) > 1e-10 THEN e END, 5) + 0 AS residual FROM f""")
 def e7(spark, sf):
     rows = stats.neutralised(signals(spark, sf).withColumn("v", F.round("vol6", 10)), "mom6", ["v"])
-    return rows.select("ticker", "date", F.round("residual", 5).alias("residual"))
+    return rows.select("ticker", "date", (F.round("residual", 5) + 0.0).alias("residual"))  # no negative zeros
 
 
 @query("e8_autocorrelation", PRED + IC + ", s AS (SELECT ic, row_number() OVER (ORDER BY date) AS i FROM ic WHERE model = 'momentum') SELECT CAST(b.i - a.i AS INTEGER) AS lag, round(corr(a.ic, b.ic), 6) AS autocorrelation, count(*) AS n FROM s a JOIN s b ON b.i - a.i IN (1, 2, 6) GROUP BY 1")
