@@ -437,7 +437,7 @@ def test_pipeline_keeps_and_drops(spark, sf, docs, labelled):
         kept[name] = {r[0] for r in rows.select("doc_id").distinct().collect()}
         if name != "packing":
             assert set(rows.columns) == set(docs.columns)
-    clean = {r[0] for r in docs.join(labelled.filter("toxic = 1"), "doc_id", "left_anti").select("doc_id").collect()}
+    clean = {r[0] for r in docs.join(labelled.filter("toxic = 0"), "doc_id", "left_semi").select("doc_id").collect()}
     assert len(clean - kept["language"]) == 0 and len((clean & kept["language"]) - kept["toxicity"]) <= 0.02 * len(clean)
     groups, _ = brute_groups([(r.doc_id, r.text) for r in docs.filter(F.col("doc_id").isin(list(kept["toxicity"]))).collect()], 5, 80)
     assert kept["near_copies"] == {i for i, g in groups.items() if i == g}
