@@ -96,3 +96,13 @@ def relative_volume(volume: str, n: int) -> Column:
 def volume_trend(volume: str, short: int, long: int) -> Column:
     v = F.nullif(F.col(volume), F.lit(0))
     return full(v, trailing(short), short, F.avg(v)) / full(v, trailing(long), long, F.avg(v)) - 1
+
+
+def product(a: str, b: str, scale: float = 1.0) -> Column:
+    """An interaction of a name's feature with one of the session, as beta with a spread."""
+    return F.col(a) * F.col(b) / scale
+
+
+def guarded_ratio(a: str, log_b: str, guard: float = 1e-5) -> Column:
+    """A feature over the level that a log change stands for; the guard keeps the divisor from 0."""
+    return F.col(a) / (F.exp(log_b) + guard)

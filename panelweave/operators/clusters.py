@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from panelweave.operators.xsec import first_rank, z_score
 
+#: Up to so many groups, centres go through the driver and are broadcast.
+FEW = 10_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, in the checkpoint folder; a folder of this machine only for a local session that names none."""
@@ -33,7 +36,7 @@ def _lloyd(df: DataFrame, features: list[str], k: int, by: list[str], most: int,
     rows = rows.withColumn("_zs", F.array(*(F.round(z_score(f, *by), 10) for f in features)))
     rows = rows.withColumn("_sum", F.round(F.aggregate("_zs", F.lit(0.0), lambda acc, z: acc + z), 10))
     rows = rows.withColumn("_seed", F.floor((first_rank("_sum", *by, tie=tie) - 1) * k / F.col("_n")).cast("int")).drop("_sum").persist()
-    return walk(rows, len(features), k, by, most)
+    return walk(rows, len(features), k, by, most, rows.select(*by).distinct().count() <= FEW)
 
 
 def walk(rows: DataFrame, width: int, k: int, by: list[str], most: int, few: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -7,12 +7,12 @@ number of rows, and rows that come later never move it.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.operators.clusters import _gap, cut, walk
+from panelweave.operators.clusters import FEW, _gap, cut, walk
 from panelweave.operators.tables import seeded_sample
 from panelweave.operators.xsec import average_rank, percentile_rank
 
-#: Rank error of quantiles is 1 / ACCURACY; up to so many groups a model is broadcast.
-ACCURACY, FEW = 10_000, 10_000
+#: Rank error of quantiles is 1 / ACCURACY.
+ACCURACY = 10_000
 
 
 def _scale(train: DataFrame, features: list[str], by: str) -> DataFrame:

@@ -6,11 +6,16 @@ from pyspark.sql import functions as F
 from panelweave.operators.xsec import average_rank, buckets
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation as an aggregate; null, not an error, where a column is constant."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def daily_ic(df: DataFrame, pred: str, target: str, by: tuple[str, ...] = ("date",), least: int = 5) -> DataFrame:
     """Spearman correlation of each date, ranks taken where both are known."""
     rows = df.filter(F.col(pred).isNotNull() & F.col(target).isNotNull()).select(*by, pred, target)
     rows = rows.withColumn("_p", average_rank(pred, *by)).withColumn("_t", average_rank(target, *by))
-    out = rows.groupBy(*by).agg(F.corr("_p", "_t").alias("ic"), F.count("*").alias("n"), F.countDistinct(pred).alias("_a"), F.countDistinct(target).alias("_b"))
+    out = rows.groupBy(*by).agg(correlation("_p", "_t").alias("ic"), F.count("*").alias("n"), F.countDistinct(pred).alias("_a"), F.countDistinct(target).alias("_b"))
     return out.filter((F.col("n") >= least) & (F.col("_a") > 1) & (F.col("_b") > 1)).drop("_a", "_b")
 
 

@@ -143,8 +143,7 @@ def diagnose(
 def _daily_ic(held: DataFrame) -> DataFrame:
     by = ["model", "date", "regime"]
     ranked = held.withColumns({"_p": average_rank("pred", "model", "date"), "_f": average_rank("forward", "model", "date")})
-    varied = (F.max("_p") > F.min("_p")) & (F.max("_f") > F.min("_f"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.when(varied, F.corr("_p", "_f")).alias("ic"), F.avg(F.when(F.col("picked"), F.col("forward"))).alias("top_forward_gross"), F.avg("forward").alias("universe_forward_gross"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), stats.correlation("_p", "_f").alias("ic"), F.avg(F.when(F.col("picked"), F.col("forward"))).alias("top_forward_gross"), F.avg("forward").alias("universe_forward_gross"))
 
 
 def _periods(rows: DataFrame, cost: float) -> DataFrame:

@@ -4,9 +4,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelweave import queries as Q
-from panelweave.operators import clean, joins, reports, sector_model
+from panelweave.functions import frames as W
+from panelweave.operators import clean, clusters, joins, labels, reports, sector_model
 from panelweave.operators.clusters import cut
-from panelweave.queries import PRELUDE, WINDOWS, query, r6
+from panelweave.queries import HORIZON, LAG, PRELUDE, WINDOWS, YEAR, query, r6
 from panelweave.sources import adapters as A
 
 VOL, BETA, MOM = ([f"{name}_{n}" for n in WINDOWS] for name in ("vol", "beta", "mom"))
@@ -287,3 +288,221 @@ def b15_regime_performance(spark, sf):
 @query("b15_daily_portfolio", DIAGNOSIS_SQL + f" SELECT model, date, signal_date, entry_regime, {_six('net portfolio_net', 'uni universe_return', 'mr market_return', 'rf rf')} FROM daily")
 def b15_daily_portfolio(spark, sf):
     return diagnosis(spark, sf)["daily_portfolio"].select("model", "date", "signal_date", "entry_regime", *six("portfolio_net", "universe_return", "market_return", "rf"))
+
+
+#: Horizons in sessions, the first session that starts a fold, and names a portfolio.
+HORIZONS, FOLDS_FROM, TOP = (3, 6, 12), 49, 10
+
+HORIZON_SQL = PRELUDE + ", hl AS (" + " UNION ALL ".join(
+    f"SELECT ticker, date, session_no, observed, close, vol6, {h} AS horizon, lead(close, 1) OVER w AS c0, lead(close, {1 + h}) OVER w AS c1 FROM feat WINDOW w AS (PARTITION BY ticker ORDER BY session_no)" for h in HORIZONS
+) + f"""), hlab AS (
+  SELECT hl.*, e.date AS entry_date, x.date AS exit_date, c1 / nullif(c0, 0) - 1 AS simple, c1 / nullif(c0, 0) - 1 - (x.m_close / e.m_close - 1) AS excess,
+    CASE WHEN x.date IS NULL THEN 'immature' WHEN c0 IS NULL THEN 'no_entry' WHEN c1 IS NULL THEN 'no_exit' ELSE 'observed' END AS label_status
+  FROM hl LEFT JOIN cal e ON e.session_no = hl.session_no + 1 LEFT JOIN cal x ON x.session_no = hl.session_no + 1 + horizon WHERE observed
+), hfold AS (
+  SELECT h AS horizon, CAST((session_no - {FOLDS_FROM}) / h + 1 AS INTEGER) AS fold, date AS day FROM cal, (VALUES (3), (6), (12)) v(h)
+  WHERE session_no >= {FOLDS_FROM} AND (session_no - {FOLDS_FROM}) % h = 0 AND session_no + 1 + h <= (SELECT max(session_no) FROM cal)
+)"""
+
+
+def horizon_rows(spark, sf):
+    """Observed bars with features, once for each horizon with its labels."""
+    from panelweave.plans import suites
+
+    cal = A.market(spark, sf)
+    rows = Q.panel(spark, sf).withColumns({"vol": F.round(W.volatility("r", 6, YEAR), 10), "beta": F.round(W.beta("r", "m", 12), 10), "mom": W.momentum("close", 6), "rsi": W.rsi("diff", 6)})
+    rows = suites.horizon_labels(rows, cal, HORIZONS, LAG).filter("observed").withColumn("eligible", F.lit(True))
+    return joins.attach_sector(rows, A.sectors(spark, sf)), suites.horizon_schedule(cal, FOLDS_FROM, HORIZONS, LAG)
+
+
+@query("m6_horizon_labels", HORIZON_SQL + " SELECT ticker, date, horizon, entry_date, exit_date, round(simple, 6) AS target_simple, round(excess, 6) AS target_excess, label_status FROM hlab")
+def m6_labels(spark, sf):
+    return horizon_rows(spark, sf)[0].select("ticker", "date", "horizon", "entry_date", "exit_date", *r6("target_simple", "target_excess"), "label_status")
+
+
+@query("m6_training_audit", HORIZON_SQL + """, hdate AS (SELECT horizon, date, exit_date, count(*) AS n FROM hlab GROUP BY ALL),
+able AS (SELECT f.*, d.date, exit_date, n, dense_rank() OVER (PARTITION BY f.horizon, fold ORDER BY d.date) - 1 AS k FROM hfold f JOIN hdate d ON d.horizon = f.horizon AND d.date < day AND exit_date < day)
+SELECT horizon, fold, day, CAST(sum(n) AS BIGINT) AS n_train, count(DISTINCT date) AS n_dates, min(date) AS first_date, max(exit_date) AS last_exit, max(exit_date) AS last_available FROM able WHERE k % 5 = 0 GROUP BY ALL""")
+def m6_audit(spark, sf):
+    from panelweave.plans import suites
+
+    rows, folds = horizon_rows(spark, sf)
+    return suites.training_audit(suites.training_dates(rows, folds, ["horizon"]), ["horizon"])
+
+
+SETTLEMENT = "status, selected, round(return_settled, 6) AS return_settled, round(mdd, 6) AS mdd, round(missing_weight, 6) AS missing_weight, round(path_coverage, 6) AS path_coverage, round(assumption_loss50, 6) AS assumption_loss50"
+SETTLED_COLUMNS = ("return_settled", "mdd", "missing_weight", "path_coverage", "assumption_loss50")
+
+
+@query("m6_lowvol_periods", HORIZON_SQL + f""", held AS (
+  SELECT horizon * 1000 + fold AS period, ticker, entry_date, exit_date, simple AS target_simple FROM (
+    SELECT l.*, fold, row_number() OVER (PARTITION BY l.horizon, fold ORDER BY round(vol6, 10), ticker) AS k FROM hlab l JOIN hfold f ON f.horizon = l.horizon AND l.date = day WHERE vol6 IS NOT NULL) WHERE k <= {TOP})
+{Q.SETTLED[len(Q.PICKS):]} SELECT CAST(period // 1000 AS INTEGER) AS horizon, CAST(period % 1000 AS INTEGER) AS fold, {SETTLEMENT} FROM settled""")
+def m6_lowvol(spark, sf):
+    from panelweave.plans import suites
+
+    rows, folds = horizon_rows(spark, sf)
+    test = rows.withColumn("stable", F.lit(False)).join(F.broadcast(folds), "horizon").filter("date = day")
+    picks = suites.baseline_picks(test, TOP).filter("strategy = 'lowvol'")
+    periods, _ = suites.settled(picks, A.monthly_bars(spark, sf), A.market(spark, sf), ["horizon"], TOP, YEAR)
+    return periods.select("horizon", "fold", "status", "selected", *r6(*SETTLED_COLUMNS))
+
+
+def with_stable(rows):
+    """Marks rows of the calmest cluster of their date by volatility and absolute beta."""
+    points = rows.select("date", "ticker", "vol", F.abs("beta").alias("abs_beta")).dropDuplicates(["date", "ticker"])
+    found = clusters.grouped_kmeans(points, ["vol", "abs_beta"]).select("date", "ticker", "stable")
+    return rows.join(found, ["date", "ticker"], "left").withColumn("stable", F.coalesce("stable", F.lit(False)))
+
+
+@query("m6_horizon_suite")
+def m6(spark, sf):
+    from panelweave.plans import models, suites
+
+    rows, folds = horizon_rows(spark, sf)
+    features = ["vol", "beta", "mom", "rsi"]
+    out = suites.horizon_suite(with_stable(cut(rows)), cut(folds), cut(A.monthly_bars(spark, sf)), cut(A.market(spark, sf)), dict.fromkeys(HORIZONS, features), models.elastic_net, n=TOP, year=YEAR)
+    return out["summary"].select("horizon", "strategy", "n_periods", "settled_periods", "status", *r6("cumulative_return", "mdd", "annualized_volatility"))
+
+
+BASE, DIFFERENCES, VOLUME = list(Q.FEATURES), ["vol_change", "mom_change"], ["rel_volume", "volume_trend"]
+
+
+def control_rows(spark, sf):
+    """Model rows with features of differences and volume, the price at the exit as a target, and stable names marked."""
+    rows = Q.panel(spark, sf).withColumns({"vol": F.round(W.volatility("r", 6, YEAR), 10), "beta": F.round(W.beta("r", "m", 12), 10), "gap": W.ma_gap("close", 6), "mom": W.momentum("close", 6), "rsi": W.rsi("diff", 6), "rel_volume": W.relative_volume("volume", 6), "volume_trend": W.volume_trend("volume", 3, 12), "future_price": reports.future_close(HORIZON, LAG)})
+    rows = rows.withColumns({f"{c}_change": F.col(c) - F.lag(c, 3).over(W.by_ticker()) for c in ("vol", "mom")})
+    rows = labels.horizon_labels(rows, A.market(spark, sf), HORIZON, LAG).filter("observed").withColumn("eligible", F.lit(True))
+    return with_stable(cut(joins.attach_sector(rows, A.sectors(spark, sf))))
+
+
+def folds_at(spark, sf, sessions):
+    return list(enumerate(Q.fold_days(spark, sf, sessions), 1))
+
+
+@query("m7_controlled_models")
+def m7(spark, sf):
+    from panelweave.plans import models, suites
+
+    case = lambda name, more=(), make=models.boosted, **k: suites.Case(name, (*BASE, *more), make, **k)
+    cases = [case("base_excess"), case("absolute_target", target="target_simple"), case("future_price_target", target="future_price"), case("difference_features", DIFFERENCES), case("volume_features", VOLUME), case("rolling_3y", months=36), case("elastic_net", make=models.elastic_net)]
+    rows = suites.common_rows(control_rows(spark, sf), [*BASE, *DIFFERENCES, *VOLUME], F.col("stable"))
+    out = suites.controlled(rows, folds_at(spark, sf, [49, 67]), folds_at(spark, sf, [31, 37]), cases, cut(A.monthly_bars(spark, sf)), cut(A.market(spark, sf)), n=TOP, every=1, year=YEAR)
+    return out["metrics"].select("strategy", "fold", "day", "fit_rows", "n_test", "n_train", "n_dates", "first_date", "last_exit", *r6("ic"))
+
+
+MACROS = ["spread", "level", "change"]
+CROSSED = ["mom_x_spread", "vol_x_level", "mom_div_change"]
+
+
+def macro_rows(spark, sf):
+    """Labelled bars with the session's macro features, known a session before, and interactions of both."""
+    macro = Q.QUERIES["w20_macro"](spark, sf).select("date", *MACROS, "log_return")
+    rows = Q.labelled(spark, sf).filter("observed").join(F.broadcast(macro), "date", "left")
+    rows = rows.withColumns({"mom_x_spread": W.product("mom6", "spread"), "vol_x_level": W.product("vol6", "level", 100.0), "mom_div_change": W.guarded_ratio("mom6", "log_return")})
+    return joins.attach_sector(rows.withColumn("eligible", F.lit(True)), A.sectors(spark, sf))
+
+
+MACRO_SQL = PRELUDE + ", " + Q.MACRO[len("WITH "):] + """, known AS (SELECT date, """ + ", ".join(f"round(lag({c}) OVER (ORDER BY date), 6) AS {c}" for c in (*MACROS, "log_return")) + """ FROM made),
+crossed AS (SELECT lab.ticker, lab.date, mom6, vol6, k.spread, k.level, k.change, mom6 * k.spread AS mom_x_spread, vol6 * k.level / 100 AS vol_x_level, mom6 / (exp(k.log_return) + 1e-5) AS mom_div_change FROM lab LEFT JOIN known k ON k.date = lab.date WHERE observed)"""
+
+
+@query("w21_macro_interactions", MACRO_SQL + " SELECT ticker, date, round(mom_x_spread, 4) AS mom_x_spread, round(vol_x_level, 4) AS vol_x_level, round(mom_div_change, 6) AS mom_div_change FROM crossed")
+def w21_macro(spark, sf):
+    return macro_rows(spark, sf).select("ticker", "date", F.round("mom_x_spread", 4).alias("mom_x_spread"), F.round("vol_x_level", 4).alias("vol_x_level"), *r6("mom_div_change"))
+
+
+@query("m8_common_sample", MACRO_SQL + f" SELECT date, count(*) AS n_rows FROM crossed WHERE {' AND '.join(f'{c} IS NOT NULL' for c in ('mom6', 'vol6', *MACROS, *CROSSED))} GROUP BY date")
+def m8_sample(spark, sf):
+    from panelweave.plans import suites
+
+    return suites.common_rows(macro_rows(spark, sf), ["mom6", "vol6", *MACROS, *CROSSED]).groupBy("date").agg(F.count("*").alias("n_rows"))
+
+
+@query("m8_macro_suite")
+def m8(spark, sf):
+    from panelweave.plans import models, suites
+
+    micro = ("mom6", "vol6")
+    cases = [suites.Case("micro_base", micro, models.boosted), suites.Case("macro_added", (*micro, *MACROS), models.boosted), suites.Case("interactions_added", (*micro, *CROSSED), models.boosted)]
+    rows = suites.common_rows(macro_rows(spark, sf).withColumn("stable", F.lit(True)), [*micro, *MACROS, *CROSSED])
+    predictions, audit = suites.run_cases(rows, folds_at(spark, sf, [49, 61, 73]), cases, every=1)
+    return suites.case_metrics(predictions, audit).select("strategy", "fold", "day", "fit_rows", "n_test", "n_train", "n_dates", *r6("ic"))
+
+
+@query("m11_feature_sets")
+def m11(spark, sf):
+    from panelweave.plans import models, suites
+
+    sets = {"base": BASE, "differences": [*BASE, *DIFFERENCES], "volume": [*BASE, *VOLUME]}
+    rows = suites.common_rows(control_rows(spark, sf), [*BASE, *DIFFERENCES, *VOLUME])
+    predictions, audit = suites.run_cases(rows, folds_at(spark, sf, [37, 49, 61, 73]), [suites.Case(n, tuple(f), models.elastic_net) for n, f in sets.items()])
+    metrics = suites.case_metrics(predictions, audit)
+    return metrics.groupBy("strategy").agg(F.count("ic").alias("n_folds"), F.sum("n_test").alias("n_test"), F.round(F.avg("ic"), 6).alias("mean_ic"), F.round(F.min("ic"), 6).alias("least_ic"))
+
+
+@query("m11_search")
+def m11_search(spark, sf):
+    from pyspark.ml.regression import LinearRegression
+
+    from panelweave.plans import suites
+
+    make = lambda **k: LinearRegression(standardization=True, **k)
+    grid = {"regParam": [0.0001, 0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]}
+    out = suites.search(control_rows(spark, sf), folds_at(spark, sf, [37, 49, 61, 73]), BASE, make, grid, draws=6)
+    return out.select("candidate", "params", *r6("mean_ic"), "n_folds", "place")
+
+
+@query("m15_importance")
+def m15(spark, sf):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from panelweave.plans import suites
+
+    kinds = dict.fromkeys(("vol", "beta", "vol_change"), "risk") | dict.fromkeys(("gap", "mom", "rsi", "mom_change"), "trend") | dict.fromkeys(VOLUME, "volume")
+    rows = suites.common_rows(control_rows(spark, sf), list(kinds)).filter(F.col("session_no") < SPLIT)
+    table = suites.tree_importance(rows, list(kinds), "target_excess", RandomForestRegressor(numTrees=50, maxDepth=5, seed=42), kinds)
+    return table.groupBy("type").agg(F.count("*").alias("n_features"), F.round(F.sum("share"), 6).alias("share"))
+
+
+WARM = {"first": FOLDS_FROM, "gap": 6, "count": 5, "horizon": HORIZON, "lag": LAG}
+WARM_SQL = f""", warm AS (SELECT * FROM (SELECT c.date, CAST(c.session_no AS INTEGER) AS session_no, x.date AS available_at, row_number() OVER (ORDER BY c.session_no DESC) AS k FROM cal c JOIN cal x ON x.session_no = c.session_no + 7
+  WHERE c.session_no < {FOLDS_FROM} AND ({FOLDS_FROM} - c.session_no) % 6 = 0 AND x.session_no < {FOLDS_FROM}) WHERE k <= 5)"""
+
+
+@query("m16_warm_positions", PRELUDE + WARM_SQL + " SELECT date, session_no, available_at FROM warm")
+def m16(spark, sf):
+    from panelweave.plans import suites
+
+    return suites.warm_positions(A.market(spark, sf), **WARM)
+
+
+@query("c19_dynamic_weights", PRELUDE + Q.PRED + Q.IC + WARM_SQL + f""", sg AS (SELECT c.date, x.date AS available_at FROM cal c JOIN cal x ON x.session_no = c.session_no + 7 WHERE c.session_no >= {FOLDS_FROM} AND (c.session_no - {FOLDS_FROM}) % 6 = 0),
+known AS (SELECT date, available_at FROM warm UNION ALL SELECT date, available_at FROM sg),
+near AS (SELECT sg.date AS signal, model, ic, row_number() OVER (PARTITION BY model, sg.date ORDER BY k.date DESC) AS k FROM ic JOIN known k USING (date) JOIN sg ON k.available_at < sg.date),
+mean_ AS (SELECT signal, model, avg(ic) AS ic, count(*) AS n FROM near WHERE k <= 3 GROUP BY ALL)
+SELECT signal, model, round(ic, 6) AS ic, n, round(CASE WHEN sum(greatest(ic, 0)) OVER s > 0 THEN greatest(ic, 0) / sum(greatest(ic, 0)) OVER s ELSE 1.0 / count(*) OVER s END, 6) AS weight FROM mean_ WINDOW s AS (PARTITION BY signal)""")
+def c19_weights(spark, sf):
+    from panelweave.plans import suites
+
+    cal = A.market(spark, sf)
+    exits = cal.select((F.col("session_no") - LAG - HORIZON).alias("session_no"), F.col("date").alias("available_at"))
+    signals = cal.filter((F.col("session_no") >= FOLDS_FROM) & ((F.col("session_no") - FOLDS_FROM) % 6 == 0)).join(F.broadcast(exits), "session_no")
+    out = suites.dynamic_weights(Q.predictions(spark, sf), "target_excess", suites.warm_positions(cal, **WARM), signals)
+    return out.select("signal", "model", *r6("ic"), "n", *r6("weight"))
+
+
+@query("m17_fixed_blend", PRELUDE + Q.PRED + f""", days AS (SELECT date, CAST((session_no - 13) / 6 AS INTEGER) AS period FROM cal WHERE session_no >= 13 AND (session_no - 13) % 6 = 0 AND session_no + 7 <= (SELECT max(session_no) FROM cal)),
+part AS (SELECT model, date, ticker, CASE model WHEN 'momentum' THEN 0.6 ELSE 0.4 END * (rank() OVER (PARTITION BY model, date ORDER BY pred) + (count(*) OVER (PARTITION BY model, date, pred) - 1) / 2.0) / count(*) OVER (PARTITION BY model, date) AS p FROM preds JOIN days USING (date)),
+blend AS (SELECT date, ticker, sum(p) AS b, round(sum(p), 10) AS b10 FROM part GROUP BY date, ticker HAVING count(*) = 2),
+a AS (SELECT period, date, ticker, sector, entry_date, exit_date, target_simple, b10, row_number() OVER (PARTITION BY date, sector ORDER BY b10 DESC, ticker) AS s FROM blend JOIN days USING (date) JOIN sig USING (date, ticker)),
+held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY b10 DESC, ticker) AS k FROM a WHERE s <= 5) WHERE k <= {TOP})
+{Q.SETTLED[len(Q.PICKS):]} SELECT period AS fold, {SETTLEMENT} FROM settled""")
+def m17(spark, sf):
+    from panelweave.plans import suites
+
+    days = labels.schedule(A.market(spark, sf), 13, HORIZON, HORIZON, LAG).select("date", F.col("period").alias("fold"))
+    rows = Q.signals(spark, sf).join(F.broadcast(days), "date").select("date", "ticker", "sector", "fold", "entry_date", "exit_date", "target_simple")
+    scores = Q.predictions(spark, sf).select("model", F.lit("v1").alias("version"), "date", "ticker", "pred")
+    out = suites.scored_ensemble(cut(scores), {"momentum": 0.6, "low_vol": 0.4}, cut(rows), A.monthly_bars(spark, sf), A.market(spark, sf), n=TOP, year=YEAR)
+    return out["periods"].select("fold", "status", "selected", *r6(*SETTLED_COLUMNS))
