@@ -231,12 +231,14 @@ def group(docs: DataFrame, *, words: int = 5, share: int = 80, bands: int = 32,
     probability 5e-8. A bucket compares its members with a centre alone, the member that meets most
     others, so copies are not expanded into pairs; pairs that this may have left apart are found by
     the elements that they share outside the centre (see apart). No link within a bucket is lost.
-    Rows that repeat an id count as one node, with the set whose bytes come first; repeated rows stay. An empty table
-    gives no rows; other columns, however named, stay out; very long texts are taken whole. A null id is never kept.
+    Nodes are distinct sets: rows that share an id, with equal or different texts, are each judged by their own set, and all stay. A
+    component's id is the smallest of all its rows. An empty table gives no rows; other columns, however named, stay out; very long
+    texts are taken whole. A null id is never kept.
     """
     signed = hold(signatures(docs, words=words, bands=bands, rows=rows, id_column=id_column), "signatures")
-    classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "keys")).alias("x"))
-    classes = hold(classes.select("digest", F.col("x.id").alias("id"), F.col("x.n_shingles").alias("n"), F.col("x.keys").alias("keys")), "classes")
+    # a class of equal sets is a node; its number is of its own, as two of them may share their smallest id
+    classes = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = hold(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     members = classes.select("id", "n", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     shared = hold(members.join(buckets, "key"), "members")
@@ -244,19 +246,21 @@ def group(docs: DataFrame, *, words: int = 5, share: int = 80, bands: int = 32,
     meets = shared.groupBy("id").agg(F.sum("size").alias("meets"))
     centre = shared.join(meets, "id").groupBy("key").agg(F.max_by("id", F.struct("meets", -F.col("n"), -F.col("id"))).alias("centre"))
     shared = hold(shared.join(centre, "key").select("id", "centre").distinct(), "buckets")
-    nodes = hold(shared.select("id").distinct(), "nodes")
-    among = members_of(nodes)
+    nodes = hold(classes.select("digest", "id", "least").join(shared.select("id").distinct(), "id"), "nodes")
+    among = members_of(nodes.select(F.col("least").alias("id")))
 
     def cut(batches):
-        """The sets of the nodes. Most other rows are passed over here, so their sets are not shuffled; the join drops the rest."""
+        """The sets of the nodes' first rows. Most other rows are passed over here, so their sets are not shuffled; the join drops the rest."""
+        import xxhash
+
         for batch in batches:
             for part in slices(batch.filter(pa.array(among(batch.column("id"))))):
                 hashes = [s.tobytes() for s in shingle_sets(part.column("text"), words)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(hashes, pa.binary())], ["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h) for h in hashes], pa.binary()), pa.array(hashes, pa.binary())], ["digest", "hashes"])
 
     texts = whole_texts(docs, id_column).select(F.col(id_column).cast("long").alias("id"), "text")
-    cuts = texts.mapInArrow(cut, "id long, hashes binary").join(nodes, "id", "left_semi")
-    sets = hold(cuts.groupBy("id").agg(F.min("hashes").alias("hashes")), "sets")
+    cuts = texts.mapInArrow(cut, "digest binary, hashes binary").join(nodes.select("digest", "id"), "digest")
+    sets = hold(cuts.groupBy("digest").agg(F.first("id").alias("id"), F.first("hashes").alias("hashes")).select("id", "hashes"), "sets")
     linked = 100 * F.col("both") >= share * (F.col("na") + F.col("nb") - F.col("both"))
     seen = hold(compared(shared.select(F.col("id").alias("a"), F.col("centre").alias("b")).filter("a <> b").distinct(), sets), "compared")
     links = seen.filter(linked).select("a", "b")
@@ -265,7 +269,11 @@ def group(docs: DataFrame, *, words: int = 5, share: int = 80, bands: int = 32,
     if not pairs.isEmpty():
         more = hold(compared(pairs, sets).filter(linked).select("a", "b"), "more-links")
         found = components(links.unionByName(more))
-    named = classes.join(found, classes.id == found.node, "left").select("digest", F.coalesce("component", "id").alias("component_id"))
+    linked = hold(classes.select("digest", "least", F.col("id").alias("node")).join(found, "node"), "linked")
+    first = linked.groupBy("component").agg(F.min("least").alias("first"))
+    named = linked.join(first, "component").select("digest", F.col("first").alias("component_id"))
+    alone = classes.join(linked.select("digest"), "digest", "left_anti").select("digest", F.col("least").alias("component_id"))
+    named = named.unionByName(alone)
     out = signed.select("id", "n_shingles", "digest").join(named, "digest", "left")
     out = out.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_column) == F.col("component_id"))
