@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import hold
 
-#: Rates are written into the table after so many steps, which bounds the expression.
-CHAIN = 6
+#: Weight of what domains owe beside the targets, which settles targets that no rates can meet.
+RIDGE = 1e-6
 
 
 def learn_marks(docs: DataFrame, labelled: DataFrame, *, each: int = 4, sample_rows: int = 400, chars: int = 3, id_column: str = "doc_id") -> tuple[str, ...]:
@@ -104,22 +104,29 @@ def mix(docs: DataFrame, labelled: DataFrame, *, targets: dict[str, float] | Non
         weight = np.array([targets.get(d, 0.0) for d in domains]) if targets else have**power
         weight = weight / max(weight.sum(), 1e-12)
         want = weight * (budget or max(have.sum(), least * (have[weight > 0] / weight[weight > 0]).max(initial=0.0)))
-        scale = 1 / np.maximum(np.diag(g), 1.0)
-        step = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * g * np.sqrt(scale)[None, :]).max()
-        rate, pending = F.col("rate"), 0
+        every = float(want.sum() or have.sum())
+        ridge = RIDGE * np.diag(np.maximum(np.diag(g), 1.0))
+        # a rate is its start less what its memberships owe, cut off at the least: of all rates that meet the targets the nearest
+        # to their start over all tokens. What a domain owes is found by gradient steps in the metric of the rows that are not cut off.
+        owed, before, halved = np.zeros(len(domains)), None, 0
         for _ in range(steps):
-            now = np.array([x or 0.0 for x in table.agg(*(F.sum(rate * F.col("n_tokens") * F.col(f"p_{k}")) for k in ks)).first()])
-            miss = now - want
-            if np.abs(miss).max() <= tolerance * want.sum():
+            value = F.col("rate") - sum((F.col(f"p_{k}") * float(owed[k]) for k in ks), F.lit(0.0))
+            rate = F.greatest(F.lit(float(least)), value)
+            free = F.when(value >= float(least), F.col("n_tokens"))
+            sums = table.agg(*(F.sum(rate * F.col("n_tokens") * F.col(f"p_{k}")) for k in ks), *(F.sum(free * F.col(f"p_{i}") * F.col(f"p_{j}")) for i in ks for j in ks)).first()
+            sums = np.array([x or 0.0 for x in sums])
+            miss, own = sums[: len(domains)] - want, sums[len(domains) :].reshape(len(domains), -1)
+            if np.abs(miss).max() <= tolerance * every:
                 break
-            # the gradient of a document's rate over its tokens: a step in the metric that tokens weigh
-            way = step * scale * miss
-            rate, pending = F.greatest(F.lit(float(least)), rate - sum((F.col(f"p_{k}") * float(way[k]) for k in ks), F.lit(0.0))), pending + 1
-            if pending == CHAIN:
-                table = hold(table.withColumn("rate", rate), "mixing")
-                rate, pending = F.col("rate"), 0
+            slope = miss - ridge @ owed
+            size = float(np.abs(slope / np.sqrt(np.diag(ridge))).max())
+            if before is not None and size >= before[1] and halved < 6:
+                owed, halved = (owed + before[0]) / 2, halved + 1  # too far: half the step
+                continue
+            before, halved = (owed, size), 0
+            owed = owed + np.linalg.solve(own + ridge, slope)
         else:
-            warnings.warn(f"mixing targets missed by {np.abs(miss).max() / want.sum():.2%} of all tokens after {steps} steps", stacklevel=2)
+            warnings.warn(f"mixing targets missed by {np.abs(miss).max() / every:.2%} of all tokens after {steps} steps", stacklevel=2)
         table = table.withColumn("rate", F.when(F.col("n_tokens") > 0, rate).otherwise(F.lit(1.0)))
     u = F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit("mix")), F.lit(1_000_000)) / 1e6
     best = F.greatest(*(F.struct(F.col(f"p_{k}").alias("p"), F.lit(d).alias("d")) for k, d in enumerate(domains)))["d"] if len(domains) > 1 else F.lit(domains[0])

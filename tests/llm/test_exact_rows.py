@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.llm import dedup, topk
+from panelweave.llm import dedup, mixing, topk
 
 
 def brute_rows(rows, words, share):
@@ -82,3 +82,23 @@ def test_sortable_bytes_sort_as_integers():
     rng = np.random.default_rng(6)
     numbers = [0, 1, -1, 127, 128, -128, -129, 2**63, -(2**63), 10**200, -(10**200), *(int(x) for x in rng.integers(-(10**6), 10**6, 300))]
     assert sorted(numbers) == sorted(numbers, key=topk.sortable)
+
+
+@pytest.mark.parametrize(("least", "kw"), [(1.0, {"power": 0.8}), (0.0, {"targets": {"en": 0.42, "de": 0.18, "fr": 0.18, "es": 0.14, "junk": 0.08}}), (0.0, {"targets": {"de": 0.5, "junk": 0.5}})])
+def test_mixing_rates_are_the_nearest_that_meet_the_targets(spark, sf, least, kw, recwarn):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = mixing.mix(docs, mixing.domains_of(docs, labels), least=least, **kw).toPandas()
+    got = got[got.n_tokens > 0]
+    names = [c for c in got.columns if c.startswith("p_")]
+    p, r, n = got[names].to_numpy(), got.rate.to_numpy(), got.n_tokens.to_numpy(float)
+    have = (n[:, None] * p).sum(axis=0)
+    weight = np.array([kw["targets"].get(c[2:], 0.0) for c in names]) if "targets" in kw else have**0.8
+    weight = weight / weight.sum()
+    want = weight * max(have.sum(), least * (have[weight > 0] / weight[weight > 0]).max())
+    assert np.abs(((r * n)[:, None] * p).sum(axis=0) - want).max() <= 1e-3 * want.sum() and r.min() >= least
+    # conditions of the least squares over tokens: inside, the way from the start is a combination of memberships; at the bound it points out
+    inside = r > least + 1e-9
+    owed = np.linalg.lstsq(p[inside], 1.0 - r[inside], rcond=None)[0]
+    assert np.abs(p[inside] @ owed - (1.0 - r[inside])).max() < 1e-6
+    assert (1.0 - p[~inside] @ owed <= least + 1e-6).all()
+    assert not [w for w in recwarn if "missed" in str(w.message)]
