@@ -46,6 +46,11 @@ def downside(r: str, n: int, year: int) -> Column:
     return F.when(F.count(r).over(trailing(n)) == n, F.sqrt(F.avg(F.when(F.col(r).isNotNull(), low * low)).over(trailing(n)) * year))
 
 
+def sortino(r: str, n: int, year: int, guard: float = 1e-9) -> Column:
+    """Annual mean over annual downside deviation; the guard keeps windows without losses finite."""
+    return annual_mean(r, n, year) / (downside(r, n, year) + guard)
+
+
 def annual_mean(r: str, n: int, year: int) -> Column:
     return full(F.col(r), trailing(n), n, F.avg(r)) * year
 

@@ -385,3 +385,23 @@ def recommendation(blend: DataFrame, n: int, cap: float = 0.5) -> DataFrame:
     rows = capped_top(blend.join(F.broadcast(last), "date", "left_semi"), "blend", n, cap)
     held = F.count("*").over(Window.partitionBy())
     return rows.withColumn("status", F.when(held == n, "complete").otherwise("short")).withColumn("weight", F.lit(1.0) / held)
+
+
+def live_recommendation(scores: DataFrame, eligible: DataFrame, weights: dict[str, float], n: int = 10, cap: float = 0.5, horizon: int = 120) -> tuple[DataFrame, DataFrame]:
+    """(picks of the latest date that has eligible names, their weight by sector): a signal whose outcome is not yet known.
+
+    scores: model, date, ticker, pred; eligible: date, ticker, sector. Percentile ranks are taken among that date's eligible names, and the blend adds
+    them up by weight; the explanation names each model's rank. Weights of picks are 1 / n even where fewer than n names are found.
+    """
+    from panelweave.operators.xsec import capped_top, percentile_rank
+
+    last = eligible.agg(F.max("date").alias("date"))
+    names = eligible.join(F.broadcast(last), "date", "left_semi").select("date", "ticker", "sector")
+    rows = scores.filter(F.col("model").isin(list(weights))).join(names, ["date", "ticker"]).withColumn("_p", percentile_rank("pred", "model", "date"))
+    part = lambda m: F.max(F.when(F.col("model") == m, F.col("_p")))
+    blend = rows.groupBy("date", "ticker", "sector").agg(*(part(m).alias(f"{m}_rank_pct") for m in weights), F.count("*").alias("_n")).filter(F.col("_n") == len(weights)).drop("_n")
+    score = sum((F.col(f"{m}_rank_pct") * w for m, w in weights.items()), F.lit(0.0))
+    picks = capped_top(blend.withColumn("blend", F.round(score, 10)), "blend", n, cap)
+    said = F.concat_ws("; ", *(F.format_string(f"{m} %.3f", F.round(f"{m}_rank_pct", 3)) for m in weights))
+    picks = picks.withColumns({"weight": F.lit(1.0 / n), "recommendation_status": F.lit("unsettled_live_signal"), "holding_sessions": F.lit(horizon), "intended_entry": F.lit("next_session"), "explanation": said})
+    return picks.withColumnRenamed("date", "signal_date"), picks.groupBy("sector").agg(F.sum("weight").alias("weight"))

@@ -124,6 +124,29 @@ def hac_mean(series: DataFrame, value: str, max_lag: int, order: str = "date") -
     return out.withColumn("t", F.col("mean") / F.col("se")).withColumn("p", 2 * normal_tail(F.col("t"))).withColumn("max_lag", F.lit(max_lag)).drop("s")
 
 
+def hac_grid(series: DataFrame, value: str, lags: list[int], order: str = "date") -> DataFrame:
+    """The mean's test of hac_mean at several greatest lags: max_lag, mean, n, se, t, p; products of all lags are summed in one pass."""
+    rows = series.filter(F.col(value).isNotNull()).select(F.col(value).alias("_v"), F.row_number().over(Window.orderBy(order)).alias("_i"))  # one row a date
+    mean = rows.agg(F.avg("_v").alias("mean"), F.count("*").alias("n"))
+    rows = rows.crossJoin(F.broadcast(mean)).select("_i", (F.col("_v") - F.col("mean")).alias("_u"))  # mean is one row
+    ahead = rows.select(F.explode(F.sequence(F.lit(0), F.lit(max(lags)))).alias("_k"), "_i", F.col("_u").alias("_w")).withColumn("_i", F.col("_i") + F.col("_k"))
+    sums = rows.join(ahead, "_i").groupBy("_k").agg(F.sum(F.col("_u") * F.col("_w")).alias("_s"))
+    grid = sums.withColumn("max_lag", F.explode(F.array(*map(F.lit, lags)))).filter("_k <= max_lag")
+    weight = F.when(F.col("_k") == 0, 1.0).otherwise(2 * (1 - F.col("_k") / (F.col("max_lag") + 1)))
+    out = grid.groupBy("max_lag").agg(F.sum(weight * F.col("_s")).alias("_s")).crossJoin(F.broadcast(mean))
+    out = out.withColumn("se", F.when((F.col("n") > 1) & (F.col("_s") > 0), F.sqrt(F.greatest("_s", F.lit(0.0))) / F.col("n"))).withColumn("t", F.col("mean") / F.nullif(F.col("se"), F.lit(0.0)))
+    return out.select("max_lag", "mean", "n", "se", "t", (2 * normal_tail(F.col("t"))).alias("p"))
+
+
+def evaluation(df: DataFrame, pred: str, target: str, by: tuple[str, ...] = ("date",)) -> DataFrame:
+    """One row: daily IC's mean, deviation, ratio and hit rate, the pooled IC, and how many rows and dates have a score and a target."""
+    summary = ic_summary(daily_ic(df, pred, target, by))
+    scored, both = F.col(pred).isNotNull(), F.col(pred).isNotNull() & F.col(target).isNotNull()
+    counts = df.agg(F.count("*").alias("n_rows"), F.count(F.when(scored, 1)).alias("n_scored"), F.count(F.when(both, 1)).alias("n_evaluated"), F.countDistinct(F.when(both, F.struct(*by))).alias("n_dates"))
+    counts = counts.withColumn("coverage", F.col("n_evaluated") / F.nullif(F.col("n_scored"), F.lit(0)))
+    return summary.crossJoin(pooled_ic(df, pred, target).select("pooled_ic")).crossJoin(counts)  # each is one row
+
+
 def draw(*parts) -> Column:
     """A reproducible whole number from text: the first eight hexadecimal digits of its md5."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
@@ -248,6 +271,13 @@ def redundancy(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.dropna(subset=[a, b]).agg(F.corr(a, b).alias("pearson"), (1 / F.nullif(1 - F.pow(F.corr(a, b), 2), F.lit(0.0))).alias("vif"), F.count("*").alias("n"))
 
 
+def redundancy_by(df: DataFrame, a: str, b: str, by: str = "date") -> DataFrame:
+    """By group: Pearson and Spearman correlation of two columns and the variance inflation of both together."""
+    rows = df.dropna(subset=[a, b]).withColumns({"_a": average_rank(a, by), "_b": average_rank(b, by)})
+    out = rows.groupBy(by).agg(F.count("*").alias("n"), correlation(a, b).alias("pearson"), correlation("_a", "_b").alias("spearman"))
+    return out.withColumn("vif", 1 / F.nullif(1 - F.col("pearson") * F.col("pearson"), F.lit(0.0)))
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     row = df.agg(*(F.corr(a, b).alias(f"{a}__{b}") for i, a in enumerate(columns) for b in columns[i:]))
     return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}__{b}").alias("r")) for i, a in enumerate(columns) for b in columns[i:]))).alias("x")).select("x.*")

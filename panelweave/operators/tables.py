@@ -67,6 +67,12 @@ def offset_sweep(df: DataFrame, target: str, step: int, pick: Column) -> DataFra
     return rows.groupBy("offset").agg(F.avg(F.when(pick, F.col(target))).alias("picked"), F.avg(target).alias("equal"), F.countDistinct("date").alias("n_dates"))
 
 
+def offset_summary(sweep: DataFrame) -> DataFrame:
+    """Over all offsets of a sweep: how often the picks beat equal weights, and the 5th, 50th and 95th percentile of the difference."""
+    rows = sweep.filter("picked is not null and equal is not null").withColumn("_d", F.round(F.col("picked") - F.col("equal"), 12))
+    return rows.agg(F.count("*").alias("n_offsets"), F.avg((F.col("_d") > 0).cast("double")).alias("win_share"), *(F.percentile("_d", F.lit(q)).alias(f"excess_p{round(100 * q)}") for q in (0.05, 0.5, 0.95)))
+
+
 def seeded_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """n rows in the order of a hash of their keys: the same on any partitioning."""
     return df.orderBy(draw(F.lit(str(seed)), *keys), *keys).limit(n)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from panelweave import queries as Q
 from panelweave.functions import frames as W
-from panelweave.operators import clean, clusters, joins, labels, reports, sector_model
+from panelweave.operators import clean, clusters, joins, labels, reports, sector_model, stats, tables, xsec
 from panelweave.operators.clusters import cut
 from panelweave.queries import HORIZON, LAG, PRELUDE, WINDOWS, YEAR, query, r6
 from panelweave.sources import adapters as A
@@ -506,3 +506,58 @@ def m17(spark, sf):
     scores = Q.predictions(spark, sf).select("model", F.lit("v1").alias("version"), "date", "ticker", "pred")
     out = suites.scored_ensemble(cut(scores), {"momentum": 0.6, "low_vol": 0.4}, cut(rows), A.monthly_bars(spark, sf), A.market(spark, sf), n=TOP, year=YEAR)
     return out["periods"].select("fold", "status", "selected", *r6(*SETTLED_COLUMNS))
+
+
+@query("w8_sortino", """ SELECT ticker, date, round(gain / (loss + 1e-9), 4) AS sortino_12 FROM (
+  SELECT *, CASE WHEN count(r) OVER w = 12 THEN avg(r) OVER w * 12 END AS gain, CASE WHEN count(r) OVER w = 12 THEN sqrt(avg(CASE WHEN r < 0 THEN r * r WHEN r >= 0 THEN 0 END) OVER w * 12) END AS loss
+  FROM rets WINDOW w AS (PARTITION BY ticker ORDER BY session_no ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) WHERE observed""")
+def w8_sortino(spark, sf):
+    return Q.panel(spark, sf).withColumn("sortino_12", F.round(W.sortino("r", 12, YEAR), 4)).filter("observed").select("ticker", "date", "sortino_12")
+
+
+@query("e9_hac_grid", PRELUDE + Q.PRED + Q.IC + """, s AS (SELECT ic, row_number() OVER (ORDER BY date) AS i FROM ic WHERE model = 'momentum'), mu AS (SELECT avg(ic) AS m, count(*) AS n FROM s),
+c AS (SELECT b.i - a.i AS k, sum((a.ic - m) * (b.ic - m)) AS s FROM s a JOIN s b ON b.i - a.i BETWEEN 0 AND 12 CROSS JOIN mu GROUP BY 1),
+g AS (SELECT l AS max_lag, sqrt(sum(CASE WHEN k = 0 THEN s ELSE 2 * (1 - k / (l + 1)) * s END)) AS root FROM c JOIN (VALUES (0), (3), (6), (12)) v(l) ON k <= l GROUP BY l)
+SELECT max_lag, round(m, 6) AS mean, n, round(root / n, 6) AS se, round(m / (root / n), 4) AS t FROM g, mu""")
+def e9_grid(spark, sf):
+    ic = stats.daily_ic(Q.predictions(spark, sf).filter("model = 'momentum'"), "pred", "target_excess")
+    return stats.hac_grid(ic, "ic", [0, 3, 6, 12]).select("max_lag", *r6("mean"), "n", *r6("se"), F.round("t", 4).alias("t"))
+
+
+@query("e2_report", PRELUDE + Q.PRED + Q.IC + """, p AS (SELECT * FROM preds WHERE model = 'momentum'),
+pooled AS (SELECT corr(a, b) AS c FROM (SELECT rank() OVER (ORDER BY pred) + (count(*) OVER (PARTITION BY pred) - 1) / 2.0 AS a, rank() OVER (ORDER BY target_excess) + (count(*) OVER (PARTITION BY target_excess) - 1) / 2.0 AS b FROM p WHERE target_excess IS NOT NULL))
+SELECT round(avg(ic), 6) AS mean_ic, round(stddev_samp(ic), 6) AS ic_std, round(avg(ic) / stddev_samp(ic), 6) AS ic_ir, round(avg(CAST(ic > 0 AS DOUBLE)), 6) AS hit_rate, count(*) AS n_days, (SELECT round(c, 6) FROM pooled) AS pooled_ic,
+  (SELECT count(*) FROM p) AS n_rows, (SELECT count(*) FROM p) AS n_scored, (SELECT count(target_excess) FROM p) AS n_evaluated, (SELECT count(DISTINCT date) FROM p WHERE target_excess IS NOT NULL) AS n_dates, (SELECT round(count(target_excess) / count(*), 6) FROM p) AS coverage
+FROM ic WHERE model = 'momentum'""")
+def e2_report(spark, sf):
+    out = stats.evaluation(Q.predictions(spark, sf).filter("model = 'momentum'"), "pred", "target_excess")
+    return out.select(*r6("mean_ic", "ic_std", "ic_ir", "hit_rate"), "n_days", *r6("pooled_ic"), "n_rows", "n_scored", "n_evaluated", "n_dates", *r6("coverage"))
+
+
+@query("e20_by_date", """, f AS (SELECT date, mom6 AS a, round(vol6, 10) AS b FROM sig WHERE vol6 IS NOT NULL),
+k AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY a) + (count(*) OVER (PARTITION BY date, a) - 1) / 2.0 AS x, rank() OVER (PARTITION BY date ORDER BY b) + (count(*) OVER (PARTITION BY date, b) - 1) / 2.0 AS y FROM f)
+SELECT date, count(*) AS n, round(corr(a, b), 6) AS pearson, round(corr(x, y), 6) AS spearman, round(1 / (1 - pow(corr(a, b), 2)), 4) AS vif FROM k GROUP BY date""")
+def e20_by_date(spark, sf):
+    out = stats.redundancy_by(Q.signals(spark, sf).withColumn("v", F.round("vol6", 10)), "mom6", "v")
+    return out.select("date", "n", *r6("pearson", "spearman"), F.round("vif", 4).alias("vif"))
+
+
+@query("e13_offset_summary", Q.RANKS + """, o AS (SELECT session_no % 6 AS o, avg(target_simple) FILTER (WHERE pct > 0.8) AS p, avg(target_simple) AS e FROM rk GROUP BY 1), d AS (SELECT round(p - e, 12) AS d FROM o WHERE p IS NOT NULL AND e IS NOT NULL)
+SELECT count(*) AS n_offsets, round(avg(CAST(d > 0 AS DOUBLE)), 6) AS win_share, round(quantile_cont(d, 0.05), 6) AS excess_p5, round(quantile_cont(d, 0.5), 6) AS excess_p50, round(quantile_cont(d, 0.95), 6) AS excess_p95 FROM d""")
+def e13_summary(spark, sf):
+    rows = Q.signals(spark, sf).withColumn("pct", xsec.percentile_rank("mom6", "date"))
+    return tables.offset_summary(tables.offset_sweep(rows, "target_simple", 6, F.col("pct") > 0.8)).select("n_offsets", *r6("win_share", "excess_p5", "excess_p50", "excess_p95"))
+
+
+@query("b19_live", PRELUDE + Q.PRED + f""", able AS (SELECT s.date, s.ticker, sector FROM sig s WHERE EXISTS (SELECT 1 FROM member m WHERE m.ticker = s.ticker AND s.date >= m.start_date AND (m.end_date IS NULL OR s.date < m.end_date)) AND volume > 0),
+now AS (SELECT * FROM able WHERE date = (SELECT max(date) FROM able)),
+k AS (SELECT model, date, ticker, sector, (rank() OVER (PARTITION BY model ORDER BY pred) + (count(*) OVER (PARTITION BY model, pred) - 1) / 2.0) / count(*) OVER (PARTITION BY model) AS p FROM preds JOIN now USING (date, ticker)),
+b AS (SELECT date, ticker, sector, max(p) FILTER (WHERE model = 'momentum') AS pm, max(p) FILTER (WHERE model = 'low_vol') AS pl FROM k GROUP BY ALL HAVING count(*) = 2),
+a AS (SELECT *, round(pm * 0.6 + pl * 0.4, 10) AS blend FROM b), c AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY blend DESC, ticker) AS s FROM a)
+SELECT date AS signal_date, ticker, sector, pick, round(blend, 6) AS blend, 1.0::DOUBLE / {TOP} AS weight, 'unsettled_live_signal' AS recommendation_status, 'momentum ' || format('{{:.3f}}', round(pm, 3)) || '; low_vol ' || format('{{:.3f}}', round(pl, 3)) AS explanation
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY blend DESC, ticker) AS INTEGER) AS pick FROM c WHERE s <= 5) WHERE pick <= {TOP}""")
+def b19_live(spark, sf):
+    rows = joins.members(Q.signals(spark, sf), A.membership(spark, sf, A.market(spark, sf)))
+    eligible = clean.eligibility(rows.withColumn("identified", F.lit(True))).filter("status = 'eligible'")
+    picks, _ = reports.live_recommendation(Q.predictions(spark, sf), eligible, {"momentum": 0.6, "low_vol": 0.4}, TOP, horizon=HORIZON)
+    return picks.select("signal_date", "ticker", "sector", "pick", *r6("blend"), "weight", "recommendation_status", "explanation")
