@@ -267,6 +267,22 @@ def paired_exact(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
+def refit_comparison(df: DataFrame, label: str, confirm: int) -> DataFrame:
+    """One row: recall and average precision of all_pred/all_score and own_pred/own_score on the same rows, and the exact test on rows that one finds."""
+    y, a, b = F.col(label) == 1, F.col("all_pred") == 1, F.col("own_pred") == 1
+    n = lambda c: F.count(F.when(c, 1))
+    counts = df.agg(n(y).alias("actual_risky_n"), n(y & a).alias("_a"), n(y & b).alias("_b"), n(y & a & ~b).alias("_only_a"), n(y & b & ~a).alias("_only_b"))
+    area = lambda p: classification(df, label, f"{p}_pred", f"{p}_score").select(F.col("pr_auc").alias(f"{p}_pr_auc"))
+    hit = lambda c: F.coalesce(F.col(c) / F.nullif("actual_risky_n", F.lit(0)), F.lit(0.0))
+    apart = F.col("_only_a") + F.col("_only_b")
+    out = counts.crossJoin(area("all")).crossJoin(area("own"))
+    return out.select(
+        "actual_risky_n", F.when(F.col("actual_risky_n") >= confirm, "CONFIRMATORY").otherwise("EXPLORATORY").alias("status"), hit("_a").alias("global_recall"), hit("_b").alias("sector_refit_recall"),
+        (hit("_b") - hit("_a")).alias("delta_recall"), F.col("all_pr_auc").alias("global_pr_auc"), F.col("own_pr_auc").alias("sector_pr_auc"), apart.alias("discordant_pairs"),
+        F.when(apart > 0, paired_exact(F.col("_only_a"), F.col("_only_b"))).alias("paired_exact_p"),
+    )
+
+
 def redundancy(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.dropna(subset=[a, b]).agg(F.corr(a, b).alias("pearson"), (1 / F.nullif(1 - F.pow(F.corr(a, b), 2), F.lit(0.0))).alias("vif"), F.count("*").alias("n"))
 

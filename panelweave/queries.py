@@ -762,4 +762,4 @@ def p16(spark, sf):
     return clean.common_sample(predictions(spark, sf))[1]
 
 
-from panelweave import queries_models, queries_reports  # noqa: E402, F401  they register their queries in the same tables
+from panelweave import queries_audits, queries_models, queries_reports  # noqa: E402, F401  they register their queries in the same tables
