@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.llm.common import CACHE_WORDS, hold, slices, whole_texts
+from panelweave.llm.common import hold, slices, whole_texts
 
 #: Texts of these characters alone take the fast way to the same ids: ASCII and Latin-1 letters and signs.
 PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{ff}]"
 
+#: Words that an encoder may know before a fresh one takes its place: about 150 MB of a Python worker.
+KEEP_WORDS = 600_000
+
 
 def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, index: np.ndarray):
     """The lists flat[starts:starts+sizes] named by index, on end; and their sizes."""
@@ -94,19 +97,34 @@ class Encoder:
         return [np.array(self.model.encode(texts[i].as_py(), add_special_tokens=False).ids, np.int32) if hard else next(easy) for i, hard in enumerate(odd)]
 
 
+_KEPT: dict[str, Encoder] = {}
+
+
+def encoded(path: str, texts: pa.Array) -> list[np.ndarray]:
+    """Ids of texts by this Python worker's encoder: tasks that follow each other in a worker share the words it has learned.
+
+    An encoder that fails is not kept.
+    """
+    encode = _KEPT.pop(path, None)
+    if encode is None or len(encode.known) > KEEP_WORDS:
+        encode = Encoder(path)
+    ids = encode(texts)
+    _KEPT[path] = encode
+    return ids
+
+
 def pieces(docs: DataFrame, *, tokenizer: str, end_id: int, capacity: int, id_column: str = "doc_id") -> DataFrame:
     """Every document's ids with the end id, cut at multiples of the capacity: start, length and checksum of each piece."""
     rows = whole_texts(docs, id_column)
     head = rows.schema[id_column]
 
     def cut(batches):
-        encode = Encoder(tokenizer)
+        from panelweave.llm.packing import encoded  # the worker's own module, whose encoder outlives this task
+
         for batch in batches:
             for part in slices(batch):
-                if len(encode.known) > CACHE_WORDS:
-                    encode = Encoder(tokenizer)
                 at, start, length, crc, total = [], [], [], [], []
-                for i, ids in enumerate(encode(part.column("text"))):
+                for i, ids in enumerate(encoded(tokenizer, part.column("text"))):
                     ids = np.append(ids, end_id).astype("<u4")
                     for s in range(0, len(ids), capacity):
                         at.append(i)
