@@ -184,3 +184,31 @@ def test_diagnosis_sectors_and_schedule(spark, world):
 def test_diagnosis_refuses_what_would_bend_its_result(spark, world, change, message):
     with pytest.raises(ValueError, match=message):
         diagnostics.diagnose(*frames(spark, *change(*world[3:])), **OPTIONS)
+
+
+def test_clustering_does_not_take_a_job_a_step(spark):
+    rng = np.random.default_rng(5)
+    rows = [(d, f"T{i}", float(a), float(b)) for d in range(9) for i, (a, b) in enumerate(rng.random((400, 2)))]
+    df = spark.createDataFrame(rows, "date int, ticker string, a double, b double")
+    _, steps = clusters.settled(rng.random((400, 2)), np.arange(400) * 5 // 400, 5, 300)
+    assert not steps  # uniform points take many steps
+    spark.sparkContext.setJobGroup("kmeans", "kmeans")
+    try:
+        got = {(r.date, r.ticker): r.risk_rank for r in clusters.grouped_kmeans(df, ["a", "b"], 5).collect()}
+        clusters.k_sensitivity(df, ["a", "b"]).collect()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("kmeans")) < 60
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert len(got) == len(rows) and set(got.values()) == set(range(5))
+
+
+def test_the_walks_of_few_and_many_groups_find_the_same_centres(spark):
+    rng = np.random.default_rng(6)
+    points = [("ab"[i % 2], [round(float(x), 10) for x in z], int(i * 3 // 300)) for i, z in enumerate(rng.random((300, 3)))]
+    rows = spark.createDataFrame(points, "g string, _zs array<double>, _seed int").repartition(5)
+    few, many = ({r.g: r._centres for r in clusters.walk(rows, 3, 4, ["g"], 100, f)[1].collect()} for f in (True, False))
+    assert few == many and few["a"][3] is None
+    for g, centres in few.items():
+        own = [(z, s) for name, z, s in points if name == g]
+        alone, moved = clusters.settled(np.array([z for z, _ in own]), np.array([s for _, s in own]), 4, 100)
+        assert not moved and np.allclose(alone[:3], np.array(centres[:3]), rtol=0, atol=1e-8) and np.isnan(alone[3]).all()
