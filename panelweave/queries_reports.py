@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import frames as W
 from panelweave.operators import clean, joins, labels, portfolio, reports, stats, tables, xsec
+from panelweave.operators.clusters import cut
 from panelweave.queries import CAPPED, HORIZON, IC, LAG, MARKS, PICKS, PRED, RANKS, RISK, SETTLED, YEAR, A, S, panel, picks, predictions, query, r6, risk_rows, signals
 
 RANKED = RANKS.replace("(rn - 1) * 5 / ", "(rn - 1) * 5.0::DOUBLE / ")
@@ -161,7 +162,7 @@ def j14(spark, sf):
     s = signals(spark, sf)
     one = xsec.capped_top(s, "mom6", 10).select("date", "ticker", F.lit("momentum").alias("model"))
     two = xsec.lowest(s.withColumn("v", F.round("vol6", 10)), "v", 10).select("date", "ticker", F.lit("calm").alias("model"))
-    return joins.holdings_overlap(one.unionByName(two))
+    return joins.holdings_overlap(cut(one.unionByName(two)))  # at most twenty rows a date
 
 
 @query("j15_settlements", """, x AS (SELECT *, CASE WHEN volume % 2 = 0 THEN target_simple END AS had, target_simple + CASE WHEN volume % 7 = 0 THEN 0.01 ELSE 0 END AS paid, volume % 3 <> 0 AS verified FROM lab WHERE observed AND target_simple IS NOT NULL)

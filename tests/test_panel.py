@@ -275,3 +275,9 @@ def test_scopes_settle_only_whole_picks(spark):
     assert got[b].missing_weight == 0.25 and got[b].assumption_loss50 == pytest.approx((0.4 - 0.5) / 4)
     with pytest.raises(Exception, match="under -100"):
         reports.scope_comparison(spark.createDataFrame(scope(a, [-1.5, 0.2, 0.3, 0.0, 0.5]), df.schema), "ret", (4,)).collect()
+
+
+def test_overlap_tells_pairs_that_share_nothing(spark):
+    rows = [(1, "A", "x"), (1, "B", "x"), (1, "A", "y"), (2, "A", "y"), (2, "B", "z")]
+    got = {(r.a, r.b): (r.n_common, r.n_dates) for r in joins.holdings_overlap(spark.createDataFrame(rows, "date int, ticker string, model string")).collect()}
+    assert got == {("x", "y"): (1, 1), ("x", "z"): (0, 0), ("y", "z"): (0, 0)}
