@@ -281,3 +281,25 @@ def test_overlap_tells_pairs_that_share_nothing(spark):
     rows = [(1, "A", "x"), (1, "B", "x"), (1, "A", "y"), (2, "A", "y"), (2, "B", "z")]
     got = {(r.a, r.b): (r.n_common, r.n_dates) for r in joins.holdings_overlap(spark.createDataFrame(rows, "date int, ticker string, model string")).collect()}
     assert got == {("x", "y"): (1, 1), ("x", "z"): (0, 0), ("y", "z"): (0, 0)}
+
+
+def test_permutations_equal_a_plain_loop_and_are_drawn_in_the_tasks(spark):
+    import hashlib
+
+    rng = np.random.default_rng(8)
+    rows = [(dt.date(2020, 1, 1 + d), f"S{i}", float(x), float(y)) for d in range(4) for i, (x, y) in enumerate(rng.random((1 if d == 3 else 23, 2)))]
+    out = stats.permutation_null(spark.createDataFrame(rows, "date date, ticker string, x double, y double"), "x", "y", reps=30)
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().toString()  # no row is copied once for each replicate
+    got, spreads, seen = out.first(), [[] for _ in range(30)], []
+    for day in sorted({r[0] for r in rows})[:3]:  # a single name has no top
+        own = sorted((r for r in rows if r[0] == day), key=lambda r: (r[2], r[1]))
+        bucket = [max(1, int(np.ceil(k * 5 / (len(own) - 1)))) for k in range(len(own))]
+        top, low = bucket.count(5), bucket.count(1)
+        mean = lambda xs: sum(r[3] for r in xs) / len(xs)
+        seen.append(mean(own[len(own) - top :]) - mean(own[:low]))
+        for rep in range(30):
+            mixed = sorted(own, key=lambda r: (hashlib.md5(f"42|{rep}|{day}|{r[1]}".encode()).hexdigest()[:8], r[1]))
+            spreads[rep].append(mean(mixed[len(own) - top :]) - mean(mixed[:low]))
+    observed = np.mean(seen)
+    assert np.isclose(got.observed, observed) and got.reps == 30
+    assert np.isclose(got.p, (sum(np.mean(s) >= observed for s in spreads) + 1) / 31)
