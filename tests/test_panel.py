@@ -303,3 +303,19 @@ def test_permutations_equal_a_plain_loop_and_are_drawn_in_the_tasks(spark):
     observed = np.mean(seen)
     assert np.isclose(got.observed, observed) and got.reps == 30
     assert np.isclose(got.p, (sum(np.mean(s) >= observed for s in spreads) + 1) / 31)
+
+
+@pytest.mark.parametrize(("function", "query"), [("training_scopes", "m4_training_scopes"), ("purged_cv", "m14_locked_ensemble"), ("risk_classifiers", "m12_risk_classifiers")])
+def test_fits_read_rows_that_are_held(spark, sf, monkeypatch, function, query):
+    from panelweave.plans import models
+
+    class Seen(Exception):
+        pass
+
+    def stop(*args, **more):
+        raise Seen(args[0])
+
+    monkeypatch.setattr(models, function, stop)
+    with pytest.raises(Seen) as e:
+        Q.QUERIES[query](spark, sf)
+    assert "lineitem" not in e.value.args[0]._jdf.queryExecution().toString()  # a fit's passes do not build the panel again
