@@ -212,3 +212,13 @@ def test_the_walks_of_few_and_many_groups_find_the_same_centres(spark):
         own = [(z, s) for name, z, s in points if name == g]
         alone, moved = clusters.settled(np.array([z for z, _ in own]), np.array([s for _, s in own]), 4, 100)
         assert not moved and np.allclose(alone[:3], np.array(centres[:3]), rtol=0, atol=1e-8) and np.isnan(alone[3]).all()
+
+
+def test_quantiles_are_of_exact_rank(spark):
+    rng = np.random.default_rng(9)
+    x = {"a": rng.random(60_000), "b": rng.integers(0, 7, 50) / 2, "c": np.array([3.5])}
+    rows = [(g, float(v), float(-v)) for g, own in x.items() for v in own]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["g", "x", "y"])).repartition(8)
+    got = {r.g: (r.n, r.quantiles) for r in sector_model.exact_quantiles(df, ["x", "y"], [0.25, 0.5, 0.75], "g").collect()}
+    rank = lambda v, q: float(np.sort(v)[max(1, int(np.ceil(q * len(v)))) - 1])
+    assert got == {g: (len(v), [[rank(s * v, q) for q in (0.25, 0.5, 0.75)] for s in (1, -1)]) for g, v in x.items()}
