@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.frames import by_ticker, ratio, trailing
-from panelweave.operators.xsec import percentile_rank
+from panelweave.operators.xsec import average_rank, percentile_rank
 
 
 def macro_features(macro: DataFrame, a: str, b: str, *, short: int = 20, long: int = 60, fill: int = 3) -> DataFrame:
@@ -121,10 +121,22 @@ def composite(rows: DataFrame, risk: list[str], reward: list[str]) -> DataFrame:
 
 
 def rank_within(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
-    """Place of a row in its date and group by the mean percentile of the columns, lowest first."""
-    score = sum((percentile_rank(c, "date", group) for c in columns[1:]), percentile_rank(columns[0], "date", group)) / len(columns)
-    out = rows.withColumn("within", F.round(score, 10))
-    return out.withColumn("within_rank", F.row_number().over(Window.partitionBy("date", group).orderBy("within", "ticker")))
+    """Place of a row in its date and group by the mean percentile of the columns, lowest first, equal ones by ticker; within is that mean to ten digits.
+
+    Places follow the mean as a whole number, ranks over the columns' common denominator: rounded fractions of equal means can differ.
+    """
+    by = ["date", group]
+    score = sum((percentile_rank(c, *by) for c in columns[1:]), percentile_rank(columns[0], *by)) / len(columns)
+    whole = lambda x: x.cast("decimal(20,0)")
+    known = {c: whole(F.count(c).over(Window.partitionBy(*by))) for c in columns}
+    parts = []
+    for c in columns:
+        part = whole(2 * average_rank(c, *by))
+        for other in columns:
+            part = part * known[other] if other != c else part
+        parts.append(part)
+    out = rows.withColumns({"within": F.round(score, 10), "_exact": sum(parts[1:], parts[0])})
+    return out.withColumn("within_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_exact", "ticker"))).drop("_exact")
 
 
 def axis_ablation(rows: DataFrame, axes: list[str], stable: str = "stable") -> DataFrame:

@@ -287,7 +287,11 @@ def c12(spark, sf):
     return reports.composite(rows, ["v"], ["mom6"]).select("ticker", "date", *r6("stability", "profitability", "selection"))
 
 
-@query("c13_within", RANKED + CLUSTER + f", k AS (SELECT ticker, date, state, round(({PCT.format(by='date, state', c='v')} + {PCT.format(by='date, state', c='mom6')}) / 2, 10) AS w FROM (SELECT *, round(vol6, 10) AS v FROM st WHERE vol6 IS NOT NULL)) SELECT ticker, date, state, CAST(row_number() OVER (PARTITION BY date, state ORDER BY w, ticker) AS INTEGER) AS within_rank FROM k")
+#: Twice the mean rank, a whole number. v and mom6 are both known in every row of c13, so the sum of both orders as their mean percentile does, without its rounding.
+TWICE = "2 * rank() OVER (PARTITION BY {by} ORDER BY {c}) + count(*) OVER (PARTITION BY {by}, {c}) - 1"
+
+
+@query("c13_within", RANKED + CLUSTER + f", k AS (SELECT ticker, date, state, {TWICE.format(by='date, state', c='v')} + {TWICE.format(by='date, state', c='mom6')} AS w FROM (SELECT *, round(vol6, 10) AS v FROM st WHERE vol6 IS NOT NULL)) SELECT ticker, date, state, CAST(row_number() OVER (PARTITION BY date, state ORDER BY w, ticker) AS INTEGER) AS within_rank FROM k")
 def c13(spark, sf):
     rows = states(spark, sf).filter("vol6 is not null").withColumn("v", F.round("vol6", 10))
     return reports.rank_within(rows, "state", ["v", "mom6"]).select("ticker", "date", "state", "within_rank")
