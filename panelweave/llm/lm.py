@@ -1,21 +1,64 @@
 """Stupid-backoff scores from n-gram counts of the whole corpus.
 
-Texts are dealt into blocks, and every block explodes into its distinct n-grams of all orders, one row each with
-its count: so a very frequent n-gram is one row a block, not one a document. These rows are dealt by the n-gram's hash;
-there they add up to the count table and are joined with it. The joined rows of n-grams that several blocks have go back
-to their blocks, where each document looks its n-grams up and sums its scores.
+Texts are dealt into blocks, and every block gives its distinct n-grams of all orders with their counts: so a very frequent
+n-gram counts once a block, not once a document. They are dealt by ranges of the n-gram's hash, the sorted hashes of a block and range packed
+as differences in one row; there they add up, and each row goes back to its block with what the other blocks count, in the order in
+which it came, so no hash travels twice. Each document then looks its n-grams up and sums its scores.
 """
 
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import hold, letter_words, mix, partitions, string_hashes, whole_texts
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of texts that a task deals into bundles at a time.
+BUNDLE_BYTES = 32_000_000
+
+
+def packed(x: np.ndarray) -> bytes:
+    """64-bit integers by planes of equal significance, compressed: high bytes of small numbers cost next to nothing."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind=np.uint64) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(kind).ravel()
+
+
+def bundles(table: pa.Table) -> pa.RecordBatch:
+    """The rows (id, text) of each block as one compressed stream: a shuffle of them is smaller than one of rows."""
+    table = table.take(np.argsort(np.asarray(table.column("block")), kind="stable"))
+    block = np.asarray(table.column("block"))
+    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+    rows, out = table.select(["id", "text"]).combine_chunks(), []
+    for begin, end in zip(starts, np.r_[starts[1:], len(block)], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_table(rows.slice(begin, end - begin))
+        out.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(block[starts], pa.int64()), pa.array(out, pa.binary())], ["block", "bundle"])
+
+
+def unbundled(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("bundle")])
+
+
+def known_grams(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct n-grams, how often each occurs)."""
+    known, n = np.unique(np.concatenate(keys), return_counts=True)
+    return known[known > 0], n[known > 0].astype(np.int64)
+
+
+def range_starts(known: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of `ranges` even ranges of hashes starts in sorted n-grams, and where the last one ends."""
+    return np.searchsorted((known >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
 
 
 def grams(texts: pa.Array, order: int):
@@ -53,20 +96,45 @@ def score(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, id_column: s
     blocks = max(partitions(spark), math.ceil(chars / block_chars))
     dealt = rows.select(F.col(id_column).cast("long").alias("id"), "text", F.pmod(F.xxhash64(id_column, "text"), F.lit(blocks)).cast("long").alias("block"))
 
+    def bundle(batches):
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.nbytes
+            if size >= BUNDLE_BYTES:
+                yield bundles(pa.Table.from_batches(waiting))
+                waiting, size = [], 0
+        if waiting:
+            yield bundles(pa.Table.from_batches(waiting))
+
+    ranges = 2 * blocks  # about half as many n-grams as a block has
+
     def explode(table: pa.Table) -> pa.Table:
-        keys, _ = grams(table.column("text").combine_chunks(), order)
-        keys, counts = np.unique(np.concatenate(keys), return_counts=True)
-        keys, counts = keys[keys > 0], counts[keys > 0]
-        return pa.table({"block": pa.array(np.full(len(keys), table.column("block")[0].as_py())), "gram": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
+        known, n = known_grams(grams(unbundled(table).column("text").combine_chunks(), order)[0])
+        starts = range_starts(known, ranges)
+        full = np.flatnonzero(np.diff(starts))
+        cuts = [slice(starts[r], starts[r + 1]) for r in full]
+        steps = [packed(np.diff(known[c], prepend=np.uint64(0))) for c in cuts]
+        block = np.full(len(full), table.column("block")[0].as_py(), np.int64)
+        return pa.table({"range": pa.array(full.astype(np.int64)), "block": pa.array(block), "steps": pa.array(steps, pa.binary()), "n": pa.array([packed(n[c]) for c in cuts], pa.binary())})
+
+    def add_up(table: pa.Table) -> pa.Table:
+        lists = [np.cumsum(unpacked(x.as_py())) for x in table.column("steps")]
+        n = np.concatenate([unpacked(x.as_py(), np.int64) for x in table.column("n")])
+        known, place = np.unique(np.concatenate(lists), return_inverse=True)
+        # sums of whole numbers in doubles are exact up to 2 ** 53
+        elsewhere = np.bincount(place, n, len(known)).astype(np.int64)[place] - n
+        ends = np.cumsum([len(x) for x in lists])[:-1]
+        return pa.table({"block": table.column("block"), "range": table.column("range"), "elsewhere": pa.array([packed(x) for x in np.split(elsewhere, ends)], pa.binary())})
 
-    def look_up(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def look_up(bundled: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = unbundled(bundled)
         keys, of = grams(texts.column("text").combine_chunks(), order)
         n = texts.num_rows
-        # n-grams of this block alone have no answer: their count is the block's own
-        known, totals = np.unique(np.concatenate(keys), return_counts=True)
-        known, totals = known[known > 0], totals[known > 0].astype(np.int64)
-        if answers.num_rows:
-            totals[np.searchsorted(known, np.asarray(answers.column("gram")).view(np.uint64))] = np.asarray(answers.column("total"))
+        known, totals = known_grams(keys)
+        starts = range_starts(known, ranges)
+        for r, more in zip(answers.column("range").to_pylist(), answers.column("elsewhere"), strict=True):
+            totals[starts[r] : starts[r + 1]] += unpacked(more.as_py(), np.int64)
 
         def others(key: np.ndarray) -> np.ndarray:
             """Corpus counts of the n-grams at each token, less the document's own."""
@@ -96,12 +164,9 @@ def score(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, id_column: s
         by_all = np.bincount(of, last, n) if len(of) else np.zeros(n)
         return pa.table({"id": texts.column("id"), "n_tokens": pa.array(tokens.astype(np.int64)), "n_backed_off": pa.array((np.bincount(of, depth > 0, n) if len(of) else np.zeros(n)).astype(np.int64)), "sum": pa.array(sums), "by_all": pa.array(by_all)})
 
-    exploded = dealt.groupBy("block").applyInArrow(explode, "block long, gram long, n long").repartition(blocks, "gram")
-    # the count table, joined in place: rows of an n-gram lie together, at most one a block, and get its total; a join of two
-    # tables would explode the texts twice
-    gram = Window.partitionBy("gram")
-    counts = exploded.withColumn("total", F.sum("n").over(gram)).withColumn("blocks", F.count("*").over(gram))
-    answers = counts.filter("blocks > 1").select("block", "gram", "total")
+    dealt = dealt.mapInArrow(bundle, "block long, bundle binary")
+    exploded = dealt.groupBy("block").applyInArrow(explode, "range long, block long, steps binary, n binary")
+    answers = exploded.groupBy("range").applyInArrow(add_up, "block long, range long, elsewhere binary")
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(look_up, "id long, n_tokens long, n_backed_off long, sum double, by_all double")
     found = hold(found, "lm-sums")
     tokens = found.agg(F.sum("n_tokens")).first()[0] or 1
