@@ -38,7 +38,7 @@ def bundles(table: pa.Table) -> pa.RecordBatch:
     block = np.asarray(table.column("block"))
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
     rows, out = table.select(["id", "text"]).combine_chunks(), []
-    for begin, end in zip(starts, np.r_[starts[1:], len(block)], strict=True):
+    for begin, end in zip(starts, np.r_[starts[1:], len(block)][: len(starts)], strict=True):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
             stream.write_table(rows.slice(begin, end - begin))
