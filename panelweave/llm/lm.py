@@ -56,6 +56,26 @@ def known_grams(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return known[known > 0], n[known > 0].astype(np.int64)
 
 
+def tallied(keys: list[np.ndarray], of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct n-grams, how often each occurs; by order and token, the place of its n-gram among them and how often its own document has it).
+
+    of: the document of each token, ascending. One stable sort brings an n-gram's tokens together, those of a document side by side. Where there is no n-gram, place and own count mean nothing.
+    """
+    flat, doc = np.concatenate(keys), np.tile(of, len(keys))
+    turn = np.argsort(flat, kind="stable")
+    ordered, doc = flat[turn], doc[turn]
+    new = np.ones(len(flat), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    run = new.copy()
+    run[1:] |= doc[1:] != doc[:-1]
+    known, begins = ordered[new], np.flatnonzero(new)
+    n, runs = np.diff(begins, append=len(flat)), np.diff(np.flatnonzero(run), append=len(flat))
+    at, own = np.empty(len(flat), np.int64), np.empty(len(flat), np.int64)
+    at[turn], own[turn] = np.cumsum(new) - 1, np.repeat(runs, runs)
+    none = int(len(known) > 0 and known[0] == 0)
+    return known[none:], n[none:], (at - none).reshape(len(keys), -1), own.reshape(len(keys), -1)
+
+
 def range_starts(known: np.ndarray, ranges: int) -> np.ndarray:
     """Where each of `ranges` even ranges of hashes starts in sorted n-grams, and where the last one ends."""
     return np.searchsorted((known >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
@@ -131,19 +151,13 @@ def score(docs: DataFrame, *, order: int = 3, backoff: float = 0.4, id_column: s
         texts = unbundled(bundled)
         keys, of = grams(texts.column("text").combine_chunks(), order)
         n = texts.num_rows
-        known, totals = known_grams(keys)
+        known, totals, at, own = tallied(keys, of)
         starts = range_starts(known, ranges)
         for r, more in zip(answers.column("range").to_pylist(), answers.column("elsewhere"), strict=True):
             totals[starts[r] : starts[r + 1]] += unpacked(more.as_py(), np.int64)
 
-        def others(key: np.ndarray) -> np.ndarray:
-            """Corpus counts of the n-grams at each token, less the document's own."""
-            at = np.searchsorted(known, key)
-            at[at == len(known)] = 0
-            pair, inverse, own = np.unique(of.astype(np.int64) * (len(known) + 1) + np.where(key > 0, at + 1, 0), return_inverse=True, return_counts=True)
-            return np.where(key > 0, (totals[at] if len(totals) else 0) - own[inverse], 0)
-
-        counts = [others(k) for k in keys]
+        # corpus counts of the n-grams at each token, less the document's own
+        counts = [np.where(key > 0, (totals[at[k]] if len(totals) else 0) - own[k], 0) for k, key in enumerate(keys)]
         total, open_, depth = np.zeros(len(of)), np.ones(len(of), bool), np.zeros(len(of), np.int64)
         for k in range(order, 0, -1):
             real = keys[k - 1] > 0
