@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import frames as W
 from panelweave.operators import audits, labels
-from panelweave.queries import FEATURES, HORIZON, RANKS, RISK, YEAR, A, fold_days, model_rows, panel, query, r6, risk_rows, signals
+from panelweave.operators.clusters import cut
+from panelweave.queries import FEATURES, HORIZON, RANKS, RISK, YEAR, A, model_rows, panel, query, r6, risk_rows, signals
 from panelweave.queries_reports import CLUSTER, states
 
 RANKED = RANKS.replace("(rn - 1) * 5 / ", "(rn - 1) * 5.0::DOUBLE / ")
@@ -167,9 +168,10 @@ def m12b(spark, sf):
 
     from panelweave.plans import models
 
-    rows = labels.future_risk(labels.forward_outcomes(model_rows(spark, sf), HORIZON, YEAR).dropna(subset=["future_vol", "future_mdd"]), 0.3)
-    day = fold_days(spark, sf, [60])[0]
+    cal, bars = cut(A.market(spark, sf)), cut(A.monthly_bars(spark, sf).select("ticker", "date", "close"))
+    rows = labels.future_risk(labels.forward_outcomes(model_rows(spark, sf, bars, cal), HORIZON, YEAR).dropna(subset=["future_vol", "future_mdd"]), 0.3)
+    rows = cut(rows.select("date", "sector", "future_risky", *FEATURES))  # training and test rows come from one pass
     # labels of the training rows end before the test begins
-    last = fold_days(spark, sf, [60 - HORIZON - 1])[0]
+    last, day = (r["date"] for r in cal.filter(F.col("session_no").isin(60 - HORIZON - 1, 60)).orderBy("session_no").collect())
     out = models.sector_refit(rows.filter(F.col("date") < F.lit(last)), rows.filter(F.col("date") >= F.lit(day)), FEATURES, "future_risky", lambda: LogisticRegression(maxIter=2000, regParam=0.01))
     return out.select("sector", "actual_risky_n", "status", *r6("global_recall", "sector_refit_recall", "delta_recall", "global_pr_auc", "sector_pr_auc"), "discordant_pairs", *r6("paired_exact_p"))
