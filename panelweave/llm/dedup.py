@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import hold, mix, slices, string_hashes, whole_texts
+from panelweave.llm.common import freeing, hold, mix, slices, string_hashes, whole_texts
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, *, words: int, bands: int, rows: int, id_column:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(id_column).cast(pa.int64()), pa.array(size), pa.array(digest, pa.binary()), lists], ["id", "n_shingles", "digest", "keys"])
 
-    return source.mapInArrow(sign, "id long, n_shingles long, digest binary, keys array<long>")
+    return source.mapInArrow(freeing(sign), "id long, n_shingles long, digest binary, keys array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def components(edges: DataFrame) -> DataFrame:
         nodes = [*parent]
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["a", "b"])
 
-    links = edges.select("a", "b").mapInArrow(forest, "a long, b long").filter("a <> b")
+    links = edges.select("a", "b").mapInArrow(freeing(forest), "a long, b long").filter("a <> b")
     links = hold(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = hold(links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
@@ -159,7 +159,7 @@ def members_of(nodes: DataFrame, bits: int = 26):
             at = spots(batch.column("id")).ravel()
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "mask"])
 
-    words = nodes.mapInArrow(fill, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    words = nodes.mapInArrow(freeing(fill), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
     table = np.zeros(1 << (bits - 6), np.uint64)
     table[words.word.to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).view(np.uint64)
 
@@ -187,7 +187,7 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 outside.append(x[~inside].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in (na, nb, both)), pa.array(outside, pa.list_(pa.int64()))], ["a", "b", "na", "nb", "both", "outside"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long, na long, nb long, both long, outside array<long>")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(freeing(compare), "a long, b long, na long, nb long, both long, outside array<long>")
 
 
 def apart(seen: DataFrame, found: DataFrame, share: int) -> DataFrame:
@@ -259,7 +259,7 @@ def group(docs: DataFrame, *, words: int = 5, share: int = 80, bands: int = 32,
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(h) for h in hashes], pa.binary()), pa.array(hashes, pa.binary())], ["digest", "hashes"])
 
     texts = whole_texts(docs, id_column).select(F.col(id_column).cast("long").alias("id"), "text")
-    cuts = texts.mapInArrow(cut, "digest binary, hashes binary").join(nodes.select("digest", "id"), "digest")
+    cuts = texts.mapInArrow(freeing(cut), "digest binary, hashes binary").join(nodes.select("digest", "id"), "digest")
     sets = hold(cuts.groupBy("digest").agg(F.first("id").alias("id"), F.first("hashes").alias("hashes")).select("id", "hashes"), "sets")
     linked = 100 * F.col("both") >= share * (F.col("na") + F.col("nb") - F.col("both"))
     seen = hold(compared(shared.select(F.col("id").alias("a"), F.col("centre").alias("b")).filter("a <> b").distinct(), sets), "compared")

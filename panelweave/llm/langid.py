@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import CACHE_WORDS, crc_mod, hold, letter_words, slices, whole_texts
+from panelweave.llm.common import CACHE_WORDS, crc_mod, freeing, hold, letter_words, slices, whole_texts
 
 #: Characters after which the forward sums of a longer word are scaled, so that they do not vanish.
 SCALED = 16
@@ -179,7 +179,7 @@ def train(docs: DataFrame, *, vocabulary_path: str, held_out=None, sample_rows:
                 pair, n = np.unique(of.astype(np.int64) * len(words) + codes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(pair // len(words))), words.take(pa.array(pair % len(words))), pa.array(n)], ["lang", "word", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).filter("word <> ''")
+    counts = sample.mapInArrow(freeing(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).filter("word <> ''")
     counts = hold(counts, "language-words")
     lattice, known = Lattice(pieces), {name: k for k, name in enumerate(languages)}
     p = np.full((len(languages), len(pieces) + 1), 1.0 / len(pieces))
@@ -199,7 +199,7 @@ def train(docs: DataFrame, *, vocabulary_path: str, held_out=None, sample_rows:
             k, piece = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(piece), pa.array(total[k, piece])], ["language", "piece", "n"])
 
-        rows = counts.mapInArrow(expect, "language long, piece long, n double").groupBy("language", "piece").agg(F.sum("n").alias("n")).toPandas()
+        rows = counts.mapInArrow(freeing(expect), "language long, piece long, n double").groupBy("language", "piece").agg(F.sum("n").alias("n")).toPandas()
         n = np.zeros_like(p)
         n[rows.language.to_numpy(np.int64), rows.piece.to_numpy(np.int64)] = rows.n
         n[:, :-1] += 0.02
@@ -256,7 +256,7 @@ def predict(docs: DataFrame, model: Model, *, id_column: str = "doc_id", keep: t
 
     from pyspark.sql import types as T
 
-    return rows.mapInArrow(score, T.StructType([*head, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(freeing(score), T.StructType([*head, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(id_column: str = "doc_id"):

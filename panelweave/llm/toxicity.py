@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.llm.common import CACHE_WORDS, code_points, crc_mod, hold, letter_words, slices, whole_texts
+from panelweave.llm.common import CACHE_WORDS, code_points, crc_mod, freeing, hold, letter_words, slices, whole_texts
 
 #: Characters that one subsequence may span, and the kernel's decay for each.
 SPAN, DECAY = 6, 0.7
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", out=
                 both = np.bincount(unit[toxic == 1], minlength=n), np.bincount(unit[toxic == 0], minlength=n)
                 yield pa.RecordBatch.from_arrays([words, pa.array(both[0]), pa.array(both[1])], ["unit", "toxic", "clean"])
 
-    units = sentences.mapInArrow(count, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.length("unit") >= 2)
+    units = sentences.mapInArrow(freeing(count), "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter(F.length("unit") >= 2)
     units = hold(units, "toxicity-units")
     n = sentences.groupBy("y").count().toPandas().set_index("y")["count"]
     if len(n) < 2:
@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", out=
                 if len(pair):
                     yield pa.RecordBatch.from_arrays([words.take(pa.array(pair // len(words))), words.take(pa.array(pair % len(words)))], ["unit", "before"])
 
-    told = sentences.mapInArrow(contexts, "unit string, before string").groupBy("unit").agg(F.countDistinct("before").alias("toxic")).toPandas()
+    told = sentences.mapInArrow(freeing(contexts), "unit string, before string").groupBy("unit").agg(F.countDistinct("before").alias("toxic")).toPandas()
     top = top.merge(told, on="unit")
     # chance puts some rare words only in toxic documents: keep those too surprising for so many tries
     tries = max(units.filter("toxic > 0").count(), 2)
@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", out=
                 if batch.num_rows:
                     yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("toxic"), batch.column("clean"), pa.array(machine.units(batch.column("unit")).astype(float))], ["unit", "toxic", "clean", "f"])
 
-        valued = units.mapInArrow(value, "unit string, toxic long, clean long, f double")
+        valued = units.mapInArrow(freeing(value), "unit string, toxic long, clean long, f double")
         hard = valued.filter("clean > 0 and f > -1").orderBy(F.desc("f"), "unit").limit(negatives // 4).toPandas()
         push |= {x: 4 * push.get(x, 2.0) for x, v in zip(hard.unit, hard.f, strict=True) if v > -0.3}
         counts |= {x: n for x, n in zip(hard.unit, hard.clean, strict=True) if x not in set(positive)}
@@ -312,7 +312,7 @@ def _largest(rows: DataFrame, machine: Machine, keep: tuple[str, ...]) -> DataFr
                     out[full] = np.maximum.reduceat(value[codes], offsets[:-1][full])
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in head), pa.array(out)], [*(f.name for f in head), "f"])
 
-    return rows.mapInArrow(score, T.StructType([*head, T.StructField("f", T.DoubleType())]))
+    return rows.mapInArrow(freeing(score), T.StructType([*head, T.StructField("f", T.DoubleType())]))
 
 
 def predict(docs: DataFrame, machine: Machine, *, id_column: str = "doc_id", threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
