@@ -1,0 +1,8 @@
+"""Models and experiments: many fits over held panels."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel by value, so executors need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
